@@ -51,18 +51,26 @@ def read_indexed_csv(
     return rows if max_rows is None else rows.where(F.col(index) < max_rows)
 
 
-def read_drift_lines(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
-    """(file_name, line) of ``batch*.dat`` files in a folder, blank lines left out."""
-    lines = spark.read.option("pathGlobFilter", "batch*.dat").text(path)
-    named = lines.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("line"))
-    if max_lines is not None:
+def read_drift_lines(
+    spark: SparkSession, path: str, max_lines: int | None = None, pattern: str = "batch*.dat"
+) -> DataFrame:
+    """(file_name, line) of the batches in a folder, blank lines left out.
+
+    A batch is a ``.dat`` file, or a folder of that name with text parts.
+    """
+    name = F.regexp_extract("_metadata.file_path", r"([^/=]+\.dat)(/|$)", 1)
+    lines = spark.read.text(f"{path}/{pattern}")
+    if max_lines is None:
+        named = lines.select(name.alias("file_name"), F.col("value").alias("line"))
+    else:
         placed = lines.select(
-            F.col("_metadata.file_name").alias("file_name"),
+            name.alias("file_name"),
             F.col("value").alias("line"),
+            F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
         )
-        numbered = ordered_index(placed, ["_block", "_row"], ["file_name"], out="_no")
+        numbered = ordered_index(placed, ["_file", "_block", "_row"], ["file_name"], out="_no")
         named = numbered.where(F.col("_no") < max_lines).select("file_name", "line")
     return named.where(F.trim("line") != "")
 

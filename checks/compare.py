@@ -1,0 +1,91 @@
+"""Run registered queries against their SQL twins: ``python -m checks.compare [sf] [names...]``."""
+
+from __future__ import annotations
+
+import math
+import sys
+import time
+
+import duckdb
+from pyspark.sql import SparkSession
+
+from checks.oracles import ORACLES
+from checks.queries import registered
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
+def session() -> SparkSession:
+    spark = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "8g")
+        .config("spark.sql.session.timeZone", "UTC")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def duck(sf_dir: str):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return con
+
+
+def plain(v):
+    if isinstance(v, float):
+        return ("f", None) if math.isnan(v) else round(v, 6) + 0.0
+    return v
+
+
+def key(row):
+    return tuple((v is None, str(type(v)), str(v)) for v in row)
+
+
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=key)
+
+
+def differences(spark, con, name, sf_dir) -> str | None:
+    """None when both sides agree, else what differs."""
+    df = registered()[name](spark, sf_dir)
+    got = df.collect()
+    if name not in ORACLES:
+        return None if got else "no rows"
+    result = con.execute(ORACLES[name])
+    columns = [d[0] for d in result.description]
+    want = result.fetchall()
+    if sorted(df.columns) != sorted(columns):
+        return f"columns {sorted(df.columns)} vs {sorted(columns)}"
+    a, b = rows_of(df.columns, got), rows_of(columns, want)
+    if len(a) != len(b):
+        return f"rows {len(a)} vs {len(b)}"
+    off = [(x, y) for x, y in zip(a, b) if x != y]
+    return f"{len(off)} of {len(a)} differ, e.g. {off[0]}" if off else None
+
+
+def main(argv):
+    sf = argv[0] if argv else "0.01"
+    names = argv[1:] or list(registered())
+    spark, sf_dir = session(), f"/root/testdata/sf{sf}"
+    con, bad = duck(sf_dir), 0
+    for name in names:
+        t = time.time()
+        try:
+            problem = differences(spark, con, name, sf_dir)
+        except Exception as e:
+            problem = f"{type(e).__name__}: {str(e)[:600]}"
+        bad += problem is not None
+        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - t:.1f}s {problem or ''}", flush=True)
+    print(f"{len(names) - bad} of {len(names)} agree")
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(min(1, main(sys.argv[1:])))
