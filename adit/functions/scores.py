@@ -38,6 +38,26 @@ DRIFT_WARNING_BELOW = 70.0
 RISK_COST_FACTOR = 0.20
 
 
+def exact_round(x: Column, digits: int) -> Column:
+    """Correctly rounded decimal rounding of the binary value, ties to even.
+
+    ``round`` works on the shortest decimal text of a double, so 2.6755
+    (stored just below) goes up. Here the product with the power of ten is
+    taken together with its rounding error (Dekker's exact product), which
+    decides apparent ties. Up to 6 digits.
+    """
+    scale = float(10**digits)
+    spread = x * 134217729.0
+    high = spread - (spread - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product).cast("double")
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 != 0))))
+    rounded = (whole + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / scale
+    return F.when(F.abs(x) < 1e9, rounded).otherwise(F.round(x, digits))
+
+
 def clamp(x: Column, lo: float = 0.0, hi: float = 100.0) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 

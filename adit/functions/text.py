@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adit.functions.scores import exact_round
+
 # Columns that carry a segment id.
 SEGMENT_ID_COLUMNS = (
     "segment_id",
@@ -61,7 +63,7 @@ def human_size(size: Column) -> Column:
         shown = (
             F.concat(F.floor(value).cast("string"), F.lit(" B"))
             if power == 0
-            else F.format_string(f"%.1f {unit}", scaled)
+            else F.format_string(f"%.1f {unit}", exact_round(scaled, 1))
         )
         text = text.otherwise(shown) if unit == SIZE_UNITS[-1] else text.when(scaled < 1024, shown)
     return text
@@ -73,6 +75,7 @@ def numbered(prefix: str, width: int, number: Column) -> Column:
 
 def reason_map(lidar: Column, graph: Column, methane: Column, adjusted: Column, exposure: Column) -> Column:
     """Four readable reasons behind a fused score."""
+    lidar, graph, methane, adjusted = (exact_round(c, 1) for c in (lidar, graph, methane, adjusted))
     # Message texts.
     return F.create_map(
         F.lit("lidar"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adit.functions.scores import FUSION_WEIGHTS, confidence_factor, risk_level, weighted_sum
+from adit.functions.scores import FUSION_WEIGHTS, confidence_factor, exact_round, risk_level, weighted_sum
 from adit.functions.text import active_reasons, canonical_record, reason_map
 from adit.operators.steps import max_time_step
 
@@ -93,13 +93,13 @@ def fuse(
         "time_step",
         "seg_no",
         "segment_id",
-        F.round("lidar_geometry_risk", 3).alias("lidar_geometry_risk"),
-        F.round("graph_risk_score", 3).alias("graph_risk_score"),
-        F.round("adjusted_methane", 3).alias("methane_risk_score"),
-        F.round("_methane", 3).alias("raw_methane_risk_score"),
-        F.round("_reliability", 3).alias("sensor_reliability_score"),
+        exact_round(F.col("lidar_geometry_risk"), 3).alias("lidar_geometry_risk"),
+        exact_round(F.col("graph_risk_score"), 3).alias("graph_risk_score"),
+        exact_round(F.col("adjusted_methane"), 3).alias("methane_risk_score"),
+        exact_round(F.col("_methane"), 3).alias("raw_methane_risk_score"),
+        exact_round(F.col("_reliability"), 3).alias("sensor_reliability_score"),
         "worker_exposure_score",
-        F.round("_final", 3).alias("final_segment_risk"),
+        exact_round(F.col("_final"), 3).alias("final_segment_risk"),
         risk_level(F.col("_final")).alias("risk_level"),
         "active_worker_ids",
         "active_sensor_ids",

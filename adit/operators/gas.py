@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adit.functions.scores import gas_status, ratio_score
+from adit.functions.scores import exact_round, gas_status, ratio_score
 from adit.functions.text import to_float
 from adit.operators.quantiles import percentiles, value_counts
 from adit.operators.sampling import decimate
@@ -54,8 +54,8 @@ def gas_timeline(means: DataFrame, sensors: DataFrame, stride: int, steps: int)
         "time_step",
         "_sensor.sensor_id",
         "_sensor.segment_id",
-        F.round("methane", 6).alias("methane_value"),
-        F.round("_risk", 3).alias("methane_risk_score"),
+        exact_round(F.col("methane"), 6).alias("methane_value"),
+        exact_round(F.col("_risk"), 3).alias("methane_risk_score"),
         gas_status(F.col("_risk")).alias("status"),
         "_sensor.placement_reason",
     )

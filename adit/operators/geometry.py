@@ -11,7 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adit.functions.scores import GEOMETRY_WEIGHTS, clamp, normalize, normalize_inverse, risk_level, weighted_sum
+from adit.functions.scores import (
+    GEOMETRY_WEIGHTS,
+    clamp,
+    exact_round,
+    normalize,
+    normalize_inverse,
+    risk_level,
+    weighted_sum,
+)
 from adit.operators.quantiles import percentiles
 from adit.workspace import materialize, one_row
 
@@ -134,8 +142,8 @@ def geometry_risk(features: DataFrame, segments: DataFrame) -> DataFrame:
         .select(
             F.coalesce("segment_id", F.format_string("SLICE_%03d", "slice_index")).alias("segment_id"),
             *features.columns,
-            *[F.round(c, 3).alias(c) for c in GEOMETRY_WEIGHTS],
-            F.round("_risk", 3).alias("lidar_geometry_risk"),
+            *[exact_round(F.col(c), 3).alias(c) for c in GEOMETRY_WEIGHTS],
+            exact_round(F.col("_risk"), 3).alias("lidar_geometry_risk"),
             risk_level(F.col("_risk")).alias("risk_level"),
         )
     )
@@ -143,7 +151,7 @@ def geometry_risk(features: DataFrame, segments: DataFrame) -> DataFrame:
 
 def segment_positions(slices: DataFrame) -> DataFrame:
     """Centroid per segment to two decimals; the last slice of a segment wins."""
-    axes = F.struct(*[F.round(f"centroid_{a}", 2).alias(a) for a in "xyz"])
+    axes = F.struct(*[exact_round(F.col(f"centroid_{a}"), 2).alias(a) for a in "xyz"])
     return slices.groupBy("segment_id").agg(F.max_by(axes, "slice_index").alias("p")).select("segment_id", "p.*")
 
 

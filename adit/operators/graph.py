@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adit.functions.scores import GRAPH_WEIGHTS, normalize, risk_level, weighted_sum
+from adit.functions.scores import GRAPH_WEIGHTS, exact_round, normalize, risk_level, weighted_sum
 from adit.operators.segments import nodes
 from adit.workspace import materialize, materialize_counted, one_row
 
@@ -232,10 +232,10 @@ def graph_risk(segments: DataFrame, exit_node: str) -> DataFrame:
         "is_chokepoint",
         "disconnected_node_count",
         "total_node_count",
-        F.round("graph_blocking_score", 3).alias("graph_blocking_score"),
-        F.round("chokepoint_score", 3).alias("chokepoint_score"),
-        F.round("length_score", 3).alias("length_score"),
-        F.round("_score", 3).alias("graph_risk_score"),
+        exact_round(F.col("graph_blocking_score"), 3).alias("graph_blocking_score"),
+        exact_round(F.col("chokepoint_score"), 3).alias("chokepoint_score"),
+        exact_round(F.col("length_score"), 3).alias("length_score"),
+        exact_round(F.col("_score"), 3).alias("graph_risk_score"),
         risk_level(F.col("_score")).alias("risk_level"),
     )
 
@@ -244,48 +244,52 @@ def walk(starts: DataFrame, tree: DataFrame, steps_per_table: int = 6) -> DataFr
     """Follow parents from each start node to the root.
 
     ``starts``: (request_id, scenario, node); requests whose node is not in
-    the tree drop out. Adds ``route_nodes`` and ``route_segments``.
+    the tree drop out. Adds ``route_nodes``, ``route_segments`` and the
+    ``weights`` of those segments (nulls in a tree without weights).
     """
-    up = tree.select("scenario", "node", "parent", "parent_segment")
+    weight = F.col("parent_weight") if "parent_weight" in tree.columns else F.lit(None).cast("double")
+    up = tree.select("scenario", "node", "parent", "parent_segment", weight.alias("parent_weight"))
+    ahead = [
+        F.col("parent").alias("node"),
+        F.struct(F.col("parent_segment").alias("segment"), F.col("parent_weight").alias("weight")).alias("via"),
+    ]
     at = starts.join(up, ["scenario", "node"]).select(
         "request_id",
         "scenario",
         F.array("node").alias("route_nodes"),
-        F.array().cast("array<string>").alias("route_segments"),
-        F.col("parent").alias("node"),
-        F.col("parent_segment").alias("via"),
+        F.array().cast("array<struct<segment: string, weight: double>>").alias("taken"),
+        *ahead,
     )
+    onward = up.withColumnsRenamed({"scenario": "_in", "node": "_at"})
     finished: list[DataFrame] = []
     while True:
         for _ in range(steps_per_table):
             # Pending rows move one node; finished ones match nothing and stay.
+            moving = F.col("_node").isNotNull()
             at = (
                 at.withColumnsRenamed({"node": "_node", "via": "_via"})
-                .join(
-                    up.select(F.col("scenario").alias("_sc"), F.col("node").alias("_n"), "parent", "parent_segment"),
-                    (F.col("scenario") == F.col("_sc")) & (F.col("_node") == F.col("_n")),
-                    "left",
-                )
+                .join(onward, (F.col("scenario") == F.col("_in")) & (F.col("_node") == F.col("_at")), "left")
                 .select(
                     "request_id",
                     "scenario",
-                    F.when(F.col("_node").isNull(), F.col("route_nodes"))
-                    .otherwise(F.array_append("route_nodes", F.col("_node")))
+                    F.when(moving, F.array_append("route_nodes", F.col("_node")))
+                    .otherwise(F.col("route_nodes"))
                     .alias("route_nodes"),
-                    F.when(F.col("_node").isNull(), F.col("route_segments"))
-                    .otherwise(F.array_append("route_segments", F.col("_via")))
-                    .alias("route_segments"),
-                    F.col("parent").alias("node"),
-                    F.col("parent_segment").alias("via"),
+                    F.when(moving, F.array_append("taken", F.col("_via"))).otherwise(F.col("taken")).alias("taken"),
+                    *ahead,
                 )
             )
-        at = materialize(at, "walk")
+        at, pending = materialize_counted(at, "walk", F.col("node").isNotNull())
         finished.append(at.where(F.col("node").isNull()))
-        at, pending = materialize_counted(at.where(F.col("node").isNotNull()), "walk")
+        at = at.where(F.col("node").isNotNull())
         if not pending:
             break
     return reduce(DataFrame.unionByName, finished).select(
-        "request_id", "scenario", "route_nodes", "route_segments"
+        "request_id",
+        "scenario",
+        "route_nodes",
+        F.col("taken.segment").alias("route_segments"),
+        F.col("taken.weight").alias("weights"),
     )
 
 
@@ -300,4 +304,4 @@ def hop_routes(segments: DataFrame, requests: DataFrame, exit_node: str) -> Data
     roots = keyed.select("scenario", F.lit(exit_node).alias("root"), "blocked_segment").distinct()
     tree, _ = hop_tree(segments, roots)
     routes = walk(keyed.select("request_id", "scenario", F.col("start_node").alias("node")), tree)
-    return requests.join(routes.drop("scenario"), "request_id", "left")
+    return requests.join(routes.drop("scenario", "weights"), "request_id", "left")

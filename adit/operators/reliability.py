@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adit.functions.scores import DRIFT_WARNING_BELOW, reliability_score
+from adit.functions.scores import DRIFT_WARNING_BELOW, exact_round, reliability_score
 from adit.functions.text import numbered, strip, to_float
 from adit.operators.indexing import ordered_index
 from adit.workspace import one_row
@@ -77,9 +77,9 @@ def sensor_reliability(batches: DataFrame) -> DataFrame:
         .select(
             numbered("GAS_SENSOR_", 2, F.col("_idx") % SENSOR_CYCLE + 1).alias("sensor_id"),
             F.col("file_name").alias("source_batch"),
-            F.round(score, 3).alias("sensor_reliability_score"),
+            exact_round(score, 3).alias("sensor_reliability_score"),
             (score < DRIFT_WARNING_BELOW).alias("drift_warning"),
-            F.round(F.lit(100.0) - score, 3).alias("sensor_anomaly_score"),
+            exact_round(F.lit(100.0) - score, 3).alias("sensor_anomaly_score"),
             # Message texts.
             F.when(score >= DRIFT_WARNING_BELOW, F.lit("gas reading is considered reliable"))
             .otherwise(F.lit("drift/anomaly warning should reduce confidence"))

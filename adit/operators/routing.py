@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adit.functions.scores import edge_weight
+from adit.functions.scores import edge_weight, exact_round
 from adit.operators.graph import walk
 from adit.workspace import materialize, materialize_counted, one_row
 
@@ -52,7 +52,7 @@ def cost_trees(edges: DataFrame, scenarios: DataFrame, exit_node: str) -> DataFr
     """Shortest-path tree from the exit for each (time_step, blocked_segment).
 
     Returns (time_step, blocked_segment, node, cost, hops, parent,
-    parent_segment); ``blocked_segment`` is '' for none. Costs are relaxed
+    parent_segment, parent_weight); ``blocked_segment`` is '' for none. Costs are relaxed
     along the frontier until no node improves; parents are chosen at the end
     by (cost, hops, next node, segment number).
     """
@@ -100,7 +100,7 @@ def cost_trees(edges: DataFrame, scenarios: DataFrame, exit_node: str) -> DataFr
         .join(toward, [*keys, "dst"])
         .where((F.col("cost") == F.col("_c") + F.col("weight")) & (F.col("hops") == F.col("_h") + 1))
         .groupBy(*keys, F.col("src").alias("node"))
-        .agg(F.min(F.struct("dst", "seg_no", "segment_id")).alias("_p"))
+        .agg(F.min(F.struct("dst", "seg_no", "segment_id", "weight")).alias("_p"))
     )
     tree = state.join(parents, [*keys, "node"], "left").select(
         *keys,
@@ -109,6 +109,7 @@ def cost_trees(edges: DataFrame, scenarios: DataFrame, exit_node: str) -> DataFr
         "hops",
         F.col("_p.dst").alias("parent"),
         F.col("_p.segment_id").alias("parent_segment"),
+        F.col("_p.weight").alias("parent_weight"),
     )
     return materialize(tree, "cost-tree")
 
@@ -198,9 +199,11 @@ def emergency_routes(
     scenario = F.struct("time_step", "blocked_segment")
     routes = walk(
         best.select("request_id", scenario.alias("scenario"), F.col("_b.node").alias("node")),
-        trees.select(scenario.alias("scenario"), "node", "parent", "parent_segment"),
+        trees.select(scenario.alias("scenario"), "node", "parent", "parent_segment", "parent_weight"),
     )
-    found = best.select("request_id", F.col("_b.cost").alias("_cost")).join(routes.drop("scenario"), "request_id")
+    # Added up from the start, the way a traveller would.
+    total = F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w)
+    found = routes.select("request_id", "route_nodes", "route_segments", total.alias("_cost"))
     outcome = (
         F.when(F.col("_known").isNull(), F.lit("start_segment_not_found"))
         .when(F.col("start_segment") == F.col("_block"), F.lit("worker_segment_blocked"))
@@ -224,7 +227,7 @@ def emergency_routes(
             F.when(known, F.lit(exit_node)).alias("exit_node"),
             F.when(known, F.coalesce("route_segments", empty)).alias("route_segments"),
             F.when(known, F.coalesce("route_nodes", empty)).alias("route_nodes"),
-            F.round("_cost", 3).alias("total_cost"),
+            exact_round(F.col("_cost"), 3).alias("total_cost"),
             F.when(reason == "route_found", F.lit(COST_POLICY)).alias("cost_policy"),
         )
     )

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adit.functions.scores import exact_round
+
 MAX_WINDOWS = 100
 
 
@@ -31,7 +33,7 @@ def every_nth(points: DataFrame, n: int) -> DataFrame:
 
 def first_points(points: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` points with coordinates to two decimals."""
-    axes = {c: F.round(c, 2) for c in ("x", "y", "z")}
+    axes = {c: exact_round(F.col(c), 2) for c in ("x", "y", "z")}
     return points.where(F.col("point_idx") < limit).withColumns(axes)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adit.functions.scores import distance, magnitude
+from adit.functions.scores import distance, exact_round, magnitude
 from adit.functions.text import canonical_record, canonical_segment_id, to_float
 from adit.operators.sampling import decimate
 from adit.workspace import one_row
@@ -57,7 +57,7 @@ def worker_timeline(tracks: DataFrame, segments: DataFrame, stride: int, steps:
         "worker_id",
         "uwb_pose",
         F.coalesce("mapped_segment_id", F.lit("SEG_001")).alias("mapped_segment_id"),
-        F.round("_acc", 4).alias("acc_magnitude"),
+        exact_round(F.col("_acc"), 4).alias("acc_magnitude"),
         "motion_status",
     )
 

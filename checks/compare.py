@@ -43,6 +43,12 @@ def plain(v):
     return v
 
 
+def kind(t: str) -> str:
+    """Spark and DuckDB type names on common ground."""
+    names = {"number": "?", "tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "string": "varchar"}
+    return names.get(t.lower(), t.lower())
+
+
 def key(row):
     return tuple((v is None, str(type(v)), str(v)) for v in row)
 
@@ -63,6 +69,10 @@ def differences(spark, con, name, sf_dir) -> str | None:
     want = result.fetchall()
     if sorted(df.columns) != sorted(columns):
         return f"columns {sorted(df.columns)} vs {sorted(columns)}"
+    kinds = {d[0]: kind(str(d[1])) for d in result.description}
+    other = {c: kind(t) for c, t in df.dtypes}
+    if kinds != other:
+        return f"types {[(c, other[c], kinds[c]) for c in kinds if kinds[c] != other[c]]}"
     a, b = rows_of(df.columns, got), rows_of(columns, want)
     if len(a) != len(b):
         return f"rows {len(a)} vs {len(b)}"

@@ -15,6 +15,23 @@ def view(name: str, *deps: str, sql: str) -> None:
     VIEWS[name] = (deps, sql)
 
 
+def expand_rounding(sql: str) -> str:
+    """``rnd(x, d)`` as correctly rounded decimal rounding of the double."""
+    while "rnd(" in sql:
+        at = sql.rindex("rnd(")
+        depth, comma = 1, None
+        for i in range(at + 4, len(sql)):
+            c = sql[i]
+            depth += (c == "(") - (c == ")")
+            if c == "," and depth == 1:
+                comma = i
+            if depth == 0:
+                break
+        value, digits = sql[at + 4 : comma], int(sql[comma + 1 : i])
+        sql = f"{sql[:at]}(CAST(printf('%.{digits}f', CAST({value} AS DOUBLE)) AS DOUBLE) + 0.0){sql[i + 1:]}"
+    return sql
+
+
 def compose(deps: tuple[str, ...], final: str) -> str:
     order: list[str] = []
 
@@ -66,7 +83,7 @@ view("canonical", "spellings", sql="""
        THEN printf('S%03d', CAST(regexp_extract(trim(raw_id), '([0-9]+)$', 1) AS BIGINT)) ELSE trim(raw_id) END AS segment_id
   FROM spellings""")
 view("numbered_cloud", sql="""
-  SELECT event_id AS point_idx, value AS x, user_id * 0.25 AS y, CAST(length(event_type) AS DOUBLE) AS z FROM events""")
+  SELECT event_id AS point_idx, value AS x, user_id * CAST(0.25 AS DOUBLE) AS y, CAST(length(event_type) AS DOUBLE) AS z FROM events""")
 
 # Geometry
 view("cloud", sql="SELECT l_extendedprice / 100 AS x, l_quantity AS y, l_discount * 100 + l_tax * 100 AS z FROM lineitem")
@@ -118,7 +135,7 @@ view("moves", "sampled", "segments", sql="""
     (SELECT min(pose_x) FROM sampled) AS lo, (SELECT max(pose_x) FROM sampled) AS hi, (SELECT count(*) FROM segments) AS n
   FROM sampled WINDOW w AS (PARTITION BY worker_id ORDER BY time_step)""")
 view("workers", "moves", "segments", sql="""
-  SELECT time_step, worker_id, pose_x, pose_y, segment_id AS mapped_segment_id, round(acc, 4) AS acc_magnitude,
+  SELECT time_step, worker_id, pose_x, pose_y, segment_id AS mapped_segment_id, rnd(acc, 4) AS acc_magnitude,
     CASE WHEN px IS NULL THEN 'moving' WHEN acc > 18.0 THEN 'possible_fall'
          WHEN sqrt((px - pose_x) * (px - pose_x) + (py - pose_y) * (py - pose_y)) < 0.01 THEN 'still'
          WHEN sqrt((px - pose_x) * (px - pose_x) + (py - pose_y) * (py - pose_y)) > 1.5 THEN 'fast_motion'
@@ -143,7 +160,7 @@ view("gas_raw", "methane", "gas_norm", "sensors", sql="""
     greatest(0.0, least(100.0, methane / normaliser * 100.0)) AS risk
   FROM methane, gas_norm, sensors WHERE row_idx % 8 = 0 AND row_idx < 720""")
 view("gas", "gas_raw", sql="""
-  SELECT time_step, sensor_id, segment_id, round(methane, 6) AS methane_value, round(risk, 3) AS methane_risk_score,
+  SELECT time_step, sensor_id, segment_id, rnd(methane, 6) AS methane_value, rnd(risk, 3) AS methane_risk_score,
     CASE WHEN risk >= 80 THEN 'critical' WHEN risk >= 60 THEN 'high' WHEN risk >= 30 THEN 'medium' ELSE 'normal' END AS status,
     placement_reason FROM gas_raw""")
 view("drift", sql="""
@@ -163,8 +180,8 @@ view("batch_scores", "batch_stats", sql="""
     greatest(45.0, 100.0 - (CASE WHEN (SELECT max(dev) FROM batch_stats) = 0 THEN 0.0
       ELSE dev / (SELECT max(dev) FROM batch_stats) END) * 35.0) AS score FROM batch_stats""")
 view("reliability", "batch_scores", sql="""
-  SELECT printf('GAS_SENSOR_%02d', idx % 3 + 1) AS sensor_id, file_name AS source_batch, round(score, 3) AS sensor_reliability_score,
-    score < 70.0 AS drift_warning, round(100.0 - score, 3) AS sensor_anomaly_score,
+  SELECT printf('GAS_SENSOR_%02d', idx % 3 + 1) AS sensor_id, file_name AS source_batch, rnd(score, 3) AS sensor_reliability_score,
+    score < 70.0 AS drift_warning, rnd(100.0 - score, 3) AS sensor_anomaly_score,
     CASE WHEN score >= 70.0 THEN 'gas reading is considered reliable'
          ELSE 'drift/anomaly warning should reduce confidence' END AS interpretation FROM batch_scores""")
 
@@ -223,12 +240,12 @@ view("worker_cells", "workers", sql="""
   SELECT time_step, mapped_segment_id AS segment_id, string_agg(DISTINCT worker_id, ',' ORDER BY worker_id) AS people
   FROM workers GROUP BY 1, 2""")
 view("shape_by_segment", "geometry", sql="""
-  SELECT segment_id, greatest(0.0, max(round(risk, 3))) AS shape FROM geometry GROUP BY segment_id""")
+  SELECT segment_id, greatest(0.0, max(rnd(risk, 3))) AS shape FROM geometry GROUP BY segment_id""")
 view("grid", "segments", "workers", "gas", "shape_by_segment", "graph_risk", "gas_cells", "worker_cells", sql="""
-  SELECT CAST(t.i AS INTEGER) AS time_step, s.seg_no, s.segment_id, coalesce(shape, 0.0) AS shape, coalesce(round(g.score, 3), 0.0) AS graph,
+  SELECT CAST(t.i AS INTEGER) AS time_step, s.seg_no, s.segment_id, coalesce(shape, 0.0) AS shape, coalesce(rnd(g.score, 3), 0.0) AS graph,
     coalesce(methane, 0.0) AS methane, coalesce(rel, 100.0) AS rel,
     coalesce(methane, 0.0) * greatest(0.65, coalesce(rel, 100.0) / 100.0) AS adjusted,
-    CASE WHEN people IS NOT NULL THEN 100.0 ELSE 0.0 END AS exposure, coalesce(people, '') AS people, coalesce(sensors, '') AS sensors
+    CAST(CASE WHEN people IS NOT NULL THEN 100.0 ELSE 0.0 END AS DOUBLE) AS exposure, coalesce(people, '') AS people, coalesce(sensors, '') AS sensors
   FROM range((SELECT greatest((SELECT max(time_step) FROM workers), (SELECT max(time_step) FROM gas)) + 1)) t(i)
   CROSS JOIN segments s
   LEFT JOIN shape_by_segment sh ON sh.segment_id = s.segment_id
@@ -242,11 +259,11 @@ def level(score: str) -> str:
 
 
 view("fused", "grid", sql=f"""
-  SELECT time_step, seg_no, segment_id, round(shape, 3) AS lidar_geometry_risk, round(graph, 3) AS graph_risk_score,
-    round(adjusted, 3) AS methane_risk_score, round(methane, 3) AS raw_methane_risk_score, round(rel, 3) AS sensor_reliability_score,
-    exposure AS worker_exposure_score, round(final, 3) AS final_segment_risk, {level('final')} AS risk_level,
+  SELECT time_step, seg_no, segment_id, rnd(shape, 3) AS lidar_geometry_risk, rnd(graph, 3) AS graph_risk_score,
+    rnd(adjusted, 3) AS methane_risk_score, rnd(methane, 3) AS raw_methane_risk_score, rnd(rel, 3) AS sensor_reliability_score,
+    exposure AS worker_exposure_score, rnd(final, 3) AS final_segment_risk, {level('final')} AS risk_level,
     people AS active_worker_ids, sensors AS active_sensor_ids,
-    printf('Methane risk %.1f, confidence-adjusted %.1f', round(methane, 1), round(adjusted, 1)) AS gas_reason,
+    printf('Methane risk %.1f, confidence-adjusted %.1f', methane, adjusted) AS gas_reason,
     CASE WHEN exposure > 0 THEN 'worker is inside this segment' ELSE 'no active worker exposure' END AS worker_reason
   FROM (SELECT *, 0.35 * shape + 0.25 * graph + 0.25 * adjusted + 0.15 * exposure AS final FROM grid)""")
 view("event", "fused", sql="""
@@ -323,7 +340,7 @@ def cost_views(prefix: str, situations: str, *deps: str) -> None:
     view(f"{prefix}_costs", f"{prefix}_rounds", sql=f"""
       SELECT time_step, blocked_segment, node, best.c AS cost, best.h AS hops FROM {prefix}_rounds WHERE k = 30""")
     view(f"{prefix}_parents", f"{prefix}_costs", f"{prefix}_moves", sql=f"""
-      SELECT a.time_step, a.blocked_segment, a.node, a.cost, a.hops, min({{'n': m.dst, 's': m.seg_no, 'g': m.seg}}) AS up
+      SELECT a.time_step, a.blocked_segment, a.node, a.cost, a.hops, min({{'n': m.dst, 's': m.seg_no, 'g': m.seg, 'w': m.w}}) AS up
       FROM {prefix}_costs a LEFT JOIN ({prefix}_moves m JOIN {prefix}_costs b
           ON b.time_step = m.time_step AND b.blocked_segment = m.blocked_segment AND b.node = m.dst)
         ON m.time_step = a.time_step AND m.blocked_segment = a.blocked_segment AND m.src = a.node AND m.h = 1
@@ -340,9 +357,9 @@ view("starts", "asks", "segments", "esc2_costs", sql=f"""
         WHERE a.start_segment <> a.blocked_segment)
   GROUP BY request_id, time_step, blocked_segment""")
 view("route_walk", "starts", "esc2_parents", sql="""
-  SELECT request_id, time_step, blocked_segment, cost, node AS here, node AS nodes, '' AS segs FROM starts
+  SELECT request_id, time_step, blocked_segment, CAST(0.0 AS DOUBLE) AS cost, node AS here, node AS nodes, '' AS segs FROM starts
   UNION ALL
-  SELECT r.request_id, r.time_step, r.blocked_segment, r.cost, p.up.n, r.nodes || '>' || p.up.n,
+  SELECT r.request_id, r.time_step, r.blocked_segment, r.cost + p.up.w, p.up.n, r.nodes || '>' || p.up.n,
     CASE WHEN r.segs = '' THEN p.up.g ELSE r.segs || '>' || p.up.g END
   FROM route_walk r JOIN esc2_parents p ON p.time_step = r.time_step AND p.blocked_segment = r.blocked_segment AND p.node = r.here
   WHERE r.here <> '0'""")
@@ -351,7 +368,7 @@ view("answers", "asks", "route_walk", sql="""
     CASE WHEN a.start_segment = a.blocked_segment THEN 'worker_segment_blocked' WHEN r.request_id IS NULL THEN 'no_route_to_exit'
          ELSE 'route_found' END AS reason,
     a.start_segment, a.blocked_segment, '0' AS exit_node, coalesce(r.segs, '') AS route_segments, coalesce(r.nodes, '') AS route_nodes,
-    round(r.cost, 3) AS total_cost
+    rnd(r.cost, 3) AS total_cost
   FROM asks a LEFT JOIN (SELECT * FROM route_walk WHERE here = '0') r USING (request_id)""")
 view("first_step", sql="SELECT 0 AS time_step, '' AS blocked_segment")
 cost_views("one", "first_step")
@@ -360,7 +377,7 @@ ORACLES: dict[str, str] = {}
 
 
 def oracle(name: str, *deps: str, sql: str) -> None:
-    ORACLES[name] = compose(deps, sql)
+    ORACLES[name] = expand_rounding(compose(deps, sql))
 
 
 oracle("segments", "segments", sql="SELECT seg_no, segment_id, from_node, to_node, length, notes, is_chokepoint FROM segments")
@@ -384,17 +401,17 @@ oracle("float_coercion", sql="""
   SELECT p_partkey, coalesce(TRY_CAST(CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN p_brand
     WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_retailprice AS VARCHAR) END AS DOUBLE), 0.0) AS value FROM part""")
 oracle("risk_bands", sql=f"""
-  SELECT c_custkey, round(s, 6) AS score, round(100.0 - s, 6) AS inverse_score,
+  SELECT c_custkey, rnd(s, 6) AS score, rnd(100.0 - s, 6) AS inverse_score,
     greatest(0.0, least(100.0, c_acctbal)) AS clamped, {level('s')} AS risk_level,
     CASE WHEN s >= 80 THEN 'critical' WHEN s >= 60 THEN 'high' WHEN s >= 30 THEN 'medium' ELSE 'normal' END AS status
   FROM (SELECT c_custkey, c_acctbal, (c_acctbal - (SELECT min(c_acctbal) FROM customer))
           / ((SELECT max(c_acctbal) FROM customer) - (SELECT min(c_acctbal) FROM customer)) * 100.0 AS s FROM customer)""")
 oracle("human_size", sql="""
   SELECT o_orderkey, b AS size_bytes, CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B'
-    WHEN b / 1024 < 1024 THEN printf('%.1f KB', round(b / 1024, 1))
-    WHEN b / 1048576 < 1024 THEN printf('%.1f MB', round(b / 1048576, 1))
-    WHEN b / 1073741824 < 1024 THEN printf('%.1f GB', round(b / 1073741824, 1))
-    ELSE printf('%.1f TB', round(b / 1099511627776, 1)) END AS size
+    WHEN b / 1024 < 1024 THEN printf('%.1f KB', b / 1024)
+    WHEN b / 1048576 < 1024 THEN printf('%.1f MB', b / 1048576)
+    WHEN b / 1073741824 < 1024 THEN printf('%.1f GB', b / 1073741824)
+    ELSE printf('%.1f TB', b / 1099511627776) END AS size
   FROM (SELECT o_orderkey, CAST(trunc(pow(o_totalprice, 2) * pow(10.0, o_orderkey % 6 - 3)) AS BIGINT) AS b FROM orders)""")
 oracle("time_step_filter", "workers", sql="""
   SELECT 3 AS asked, time_step, worker_id, mapped_segment_id FROM workers WHERE time_step = 3
@@ -405,13 +422,13 @@ oracle("json_source", "segments", sql="SELECT seg_no, segment_id, from_node, to_
 oracle("drift_text_source", "drift_parsed", sql="""
   SELECT file_name, class, count(*) AS rows, count(concentration) AS parsed FROM drift_parsed GROUP BY file_name, class""")
 oracle("las_scan", sql="""
-  SELECT round(l_quantity, 2) AS y, round(l_discount * 100, 2) AS z, count(*) AS points, round(sum(rint_x), 2) AS sum_x
+  SELECT rnd(l_quantity, 2) AS y, rnd(l_discount * 100, 2) AS z, count(*) AS points, rnd(sum(rint_x), 2) AS sum_x
   FROM (SELECT *, round_even(l_extendedprice / 100 / 0.01, 0) * 0.01 AS rint_x FROM lineitem) GROUP BY 1, 2""")
 oracle("las_headers", sql="""
-  SELECT count(*) AS points, round(min(l_quantity), 2) AS min_y, round(max(l_quantity), 2) AS max_y, CAST(0 AS BIGINT) AS errors FROM lineitem""")
+  SELECT count(*) AS points, rnd(min(l_quantity), 2) AS min_y, rnd(max(l_quantity), 2) AS max_y, CAST(0 AS BIGINT) AS errors FROM lineitem""")
 oracle("stored_points", "numbered_cloud", sql="""
-  SELECT point_idx, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 2) AS x, round(CAST(CAST(y AS FLOAT) AS DOUBLE), 2) AS y,
-    round(CAST(CAST(z AS FLOAT) AS DOUBLE), 2) AS z FROM numbered_cloud""")
+  SELECT point_idx, rnd(CAST(CAST(x AS FLOAT) AS DOUBLE), 2) AS x, rnd(CAST(CAST(y AS FLOAT) AS DOUBLE), 2) AS y,
+    rnd(CAST(CAST(z AS FLOAT) AS DOUBLE), 2) AS z FROM numbered_cloud""")
 oracle("published_timeline", "fused", sql="""
   SELECT time_step, count(*) AS rows, max(final_segment_risk) AS top_risk FROM fused GROUP BY time_step""")
 oracle("decimate", "sampled", sql="SELECT worker_id, time_step, pose_x, pose_y FROM sampled")
@@ -424,33 +441,33 @@ oracle("window_sample", sql="""
   SELECT i * per + event_id - first AS sample_idx, event_id AS point_idx, value AS x
   FROM w JOIN events ON event_id >= first AND event_id < first + per AND i * per + event_id - first < take""")
 oracle("point_limit", "numbered_cloud", sql="""
-  SELECT point_idx, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z FROM numbered_cloud WHERE point_idx < 5000""")
+  SELECT point_idx, rnd(x, 2) AS x, rnd(y, 2) AS y, rnd(z, 2) AS z FROM numbered_cloud WHERE point_idx < 5000""")
 oracle("point_bounds", "cloud", sql="""
-  SELECT round(min(x), 6) AS min_x, round(min(y), 6) AS min_y, round(min(z), 6) AS min_z,
-         round(max(x), 6) AS max_x, round(max(y), 6) AS max_y, round(max(z), 6) AS max_z FROM cloud""")
+  SELECT rnd(min(x), 6) AS min_x, rnd(min(y), 6) AS min_y, rnd(min(z), 6) AS min_z,
+         rnd(max(x), 6) AS max_x, rnd(max(y), 6) AS max_y, rnd(max(z), 6) AS max_z FROM cloud""")
 SLICE_COLUMNS = (
     "bbox_width_x", "bbox_width_y", "bbox_height_z", "centroid_x", "centroid_y", "centroid_z", "width_proxy",
     "height_proxy", "ceiling_z_p95", "floor_z_p05", "ceiling_roughness",
 )
 oracle("slice_features", "slices", sql=f"""
-  SELECT slice_index, point_count, {', '.join(f'round({c}, 6) AS {c}' for c in SLICE_COLUMNS)} FROM slices""")
+  SELECT slice_index, point_count, {', '.join(f'rnd({c}, 6) AS {c}' for c in SLICE_COLUMNS)} FROM slices""")
 oracle("geometry_risk", "geometry", sql=f"""
-  SELECT segment_id, slice_index, round(narrowness_score, 3) AS narrowness_score, round(low_ceiling_score, 3) AS low_ceiling_score,
-    round(ceiling_roughness_score, 3) AS ceiling_roughness_score, round(geometry_change_score, 3) AS geometry_change_score,
-    round(risk, 3) AS lidar_geometry_risk, {level('risk')} AS risk_level FROM geometry""")
+  SELECT segment_id, slice_index, rnd(narrowness_score, 3) AS narrowness_score, rnd(low_ceiling_score, 3) AS low_ceiling_score,
+    rnd(ceiling_roughness_score, 3) AS ceiling_roughness_score, rnd(geometry_change_score, 3) AS geometry_change_score,
+    rnd(risk, 3) AS lidar_geometry_risk, {level('risk')} AS risk_level FROM geometry""")
 oracle("segment_positions", "geometry", sql="""
-  SELECT segment_id, round(arg_max(centroid_x, slice_index), 2) AS x, round(arg_max(centroid_y, slice_index), 2) AS y,
-    round(arg_max(centroid_z, slice_index), 2) AS z FROM geometry GROUP BY segment_id""")
+  SELECT segment_id, rnd(arg_max(centroid_x, slice_index), 2) AS x, rnd(arg_max(centroid_y, slice_index), 2) AS y,
+    rnd(arg_max(centroid_z, slice_index), 2) AS z FROM geometry GROUP BY segment_id""")
 oracle("point_density", "slices", sql="""
-  SELECT slice_index, point_count, round(CASE WHEN bbox_width_x * bbox_width_y * bbox_height_z > 0
+  SELECT slice_index, point_count, rnd(CASE WHEN bbox_width_x * bbox_width_y * bbox_height_z > 0
     THEN point_count / (bbox_width_x * bbox_width_y * bbox_height_z) ELSE 0.0 END, 6) AS point_density FROM slices""")
 oracle("worker_timeline", "workers", sql="SELECT * FROM workers")
-oracle("gas_row_mean", "methane", sql="SELECT row_idx, round(methane, 6) AS methane FROM methane")
+oracle("gas_row_mean", "methane", sql="SELECT row_idx, rnd(methane, 6) AS methane FROM methane")
 oracle("gas_normaliser", "gas_norm", sql="""
-  SELECT round(p99, 6) AS p99, round(max_value, 6) AS max_value, round(normaliser, 6) AS normaliser FROM gas_norm""")
+  SELECT rnd(p99, 6) AS p99, rnd(max_value, 6) AS max_value, rnd(normaliser, 6) AS normaliser FROM gas_norm""")
 oracle("gas_timeline", "gas", sql="SELECT * FROM gas")
 oracle("drift_batches", "batch_stats", "drift_parsed", sql="""
-  SELECT file_name, rows_scanned, counts AS class_counts, round(mean, 3) AS concentration_mean, round(dev, 3) AS concentration_stdev
+  SELECT file_name, rows_scanned, counts AS class_counts, rnd(mean, 3) AS concentration_mean, rnd(dev, 3) AS concentration_stdev
   FROM batch_stats JOIN (SELECT file_name, string_agg(class || ':' || CAST(n AS VARCHAR), ',' ORDER BY class) AS counts
     FROM (SELECT file_name, class, count(*) AS n FROM drift_parsed GROUP BY file_name, class) GROUP BY file_name) USING (file_name)""")
 oracle("reliability", "reliability", sql="SELECT * FROM reliability")
@@ -460,12 +477,12 @@ oracle("unreached", "open_reach", "node_set", sql="SELECT node_id FROM node_set
 oracle("edge_impact", "impact", sql="SELECT segment_id, disconnected_node_count, total_node_count FROM impact")
 oracle("graph_risk", "graph_risk", sql=f"""
   SELECT segment_id, from_node, to_node, length, is_chokepoint, disconnected_node_count, total_node_count,
-    round(blocking, 3) AS graph_blocking_score, round(choke, 3) AS chokepoint_score, round(len_score, 3) AS length_score,
-    round(score, 3) AS graph_risk_score, {level('score')} AS risk_level FROM graph_risk""")
+    rnd(blocking, 3) AS graph_blocking_score, rnd(choke, 3) AS chokepoint_score, rnd(len_score, 3) AS length_score,
+    rnd(score, 3) AS graph_risk_score, {level('score')} AS risk_level FROM graph_risk""")
 oracle("hop_route", "node_set", "hop_routes", sql="""
   SELECT node_id AS start_node, 'SEG_003' AS blocked_segment, route AS route_nodes FROM node_set LEFT JOIN hop_routes ON start = node_id""")
 oracle("weighted_route", "one_parents", sql="""
-  SELECT node, round(cost, 3) AS cost, hops, up.n AS parent, 'SEG_' || substr(up.g, 2) AS parent_segment FROM one_parents""")
+  SELECT node, rnd(cost, 3) AS cost, hops, up.n AS parent, 'SEG_' || substr(up.g, 2) AS parent_segment FROM one_parents""")
 oracle("route_requests", "asks", sql="SELECT request_id, worker_id, time_step, start_segment, blocked_segment FROM asks")
 oracle("emergency_route", "answers", sql="SELECT * FROM answers")
 oracle("emergency_scenario", "scenario", sql="SELECT * EXCLUDE (event_level) FROM scenario")
@@ -473,7 +490,7 @@ oracle("graph_nodes", "node_set", sql="SELECT node_id, node_id = '0' AS is_exit
 oracle("graph_edges", "segments", sql=f"SELECT {short('segment_id')} AS segment_id, from_node, to_node, length, is_chokepoint FROM segments")
 oracle("fused_timeline", "fused", sql="SELECT * EXCLUDE (seg_no) FROM fused")
 oracle("fusion_alternative", "grid", sql=f"""
-  SELECT time_step, segment_id, round(f, 3) AS final_segment_risk, {level('f')} AS risk_level
+  SELECT time_step, segment_id, rnd(f, 3) AS final_segment_risk, {level('f')} AS risk_level
   FROM (SELECT *, 0.30 * adjusted + 0.25 * shape + 0.25 * exposure + 0.20 * graph AS f FROM grid)""")
 oracle("top_risks", "fused", sql="""
   SELECT time_step, segment_id, final_segment_risk FROM fused ORDER BY final_segment_risk DESC, time_step, seg_no LIMIT 10""")
@@ -518,21 +535,21 @@ oracle("risk_by_segment", "fused", sql=f"""
   FROM fused GROUP BY segment_id""")
 oracle("gas_threshold", "gas", sql="SELECT time_step, sensor_id, methane_value, methane_value >= 40.0 AS above_threshold FROM gas")
 oracle("zscore", sql="""
-  SELECT event_id, event_type, round(value, 6) AS value, round(CASE WHEN dev > 0 THEN (value - mean) / dev ELSE 0.0 END, 6) AS zscore
+  SELECT event_id, event_type, rnd(value, 6) AS value, rnd(CASE WHEN dev > 0 THEN (value - mean) / dev ELSE 0.0 END, 6) AS zscore
   FROM events JOIN (SELECT event_type, avg(value) AS mean, stddev_samp(value) AS dev FROM events GROUP BY event_type) USING (event_type)""")
 oracle("rolling_mean", "tracks", sql="""
-  SELECT worker_id, row_idx, pose_x AS value, round(avg(pose_x) OVER w, 6) AS rolling_mean,
+  SELECT worker_id, row_idx, pose_x AS value, rnd(avg(pose_x) OVER w, 6) AS rolling_mean,
     pose_x - first_value(pose_x) OVER w AS rolling_change
   FROM tracks WINDOW w AS (PARTITION BY worker_id ORDER BY row_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 oracle("anomaly_score", "gas", sql="""
-  SELECT time_step, sensor_id, round(z, 6) AS zscore, round(m, 6) AS rolling_mean, round(c, 6) AS rolling_change,
-    round(least(1.0, greatest(0.0, 0.4 * (CASE WHEN methane_value >= 40.0 THEN 1.0 ELSE 0.0 END) + 0.3 * least(1.0, abs(z) / 3.0)
+  SELECT time_step, sensor_id, rnd(z, 6) AS zscore, round(m, 9) AS rolling_mean, rnd(c, 6) AS rolling_change,
+    rnd(least(1.0, greatest(0.0, 0.4 * (CASE WHEN methane_value >= 40.0 THEN 1.0 ELSE 0.0 END) + 0.3 * least(1.0, abs(z) / 3.0)
       + 0.3 * least(1.0, abs(c) / 50.0))), 6) AS anomaly_score
   FROM (SELECT time_step, sensor_id, methane_value, avg(methane_value) OVER w AS m, methane_value - first_value(methane_value) OVER w AS c,
           (methane_value - avg(methane_value) OVER (PARTITION BY sensor_id)) / stddev_samp(methane_value) OVER (PARTITION BY sensor_id) AS z
         FROM gas WINDOW w AS (PARTITION BY sensor_id ORDER BY time_step ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))""")
 oracle("nearest_segment", "numbered_cloud", "geometry", "segments", sql="""
-  SELECT point_idx AS pos_id, b.s AS segment_id, round(b.d, 6) AS distance
+  SELECT point_idx AS pos_id, b.s AS segment_id, rnd(b.d, 6) AS distance
   FROM (SELECT point_idx, min({'d': sqrt((x - centroid_x) ** 2 + (y - centroid_y) ** 2 + (z - centroid_z) ** 2), 'n': s.seg_no, 's': g.segment_id}) AS b
         FROM numbered_cloud CROSS JOIN geometry g JOIN segments s ON s.segment_id = g.segment_id GROUP BY point_idx)""")
 oracle("stillness", "workers", sql="""
@@ -540,6 +557,6 @@ oracle("stillness", "workers", sql="""
   FROM (SELECT *, time_step - row_number() OVER (PARTITION BY worker_id ORDER BY time_step) AS run FROM workers WHERE motion_status = 'still')
   GROUP BY worker_id, run""")
 oracle("risk_trend", "fused", sql="""
-  SELECT segment_id, round(coalesce(regr_slope(final_segment_risk, time_step), 0.0), 6) AS risk_slope, count(*) AS steps FROM fused GROUP BY segment_id""")
+  SELECT segment_id, rnd(coalesce(regr_slope(final_segment_risk, time_step), 0.0), 6) AS risk_slope, count(*) AS steps FROM fused GROUP BY segment_id""")
 oracle("worker_status", "answers", "asks", sql="""
   SELECT worker_id, time_step, start_segment AS current_segment, CASE WHEN trapped THEN 'trapped' ELSE 'safe' END AS status FROM answers""")

@@ -39,7 +39,7 @@ def forget_stages() -> None:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
+    return df.withColumns({c: scores.exact_round(F.col(c), digits) for c, t in df.dtypes if t == "double"})
 
 
 def joined(c: str):
@@ -105,8 +105,8 @@ def q_risk_bands(spark, sf):
     inverse = scores.normalize_inverse(F.col("c_acctbal"), span["lo"], span["hi"])
     return customer.select(
         "c_custkey",
-        F.round(score, 6).alias("score"),
-        F.round(inverse, 6).alias("inverse_score"),
+        scores.exact_round(score, 6).alias("score"),
+        scores.exact_round(inverse, 6).alias("inverse_score"),
         scores.clamp(F.col("c_acctbal")).alias("clamped"),
         scores.risk_level(score).alias("risk_level"),
         scores.gas_status(score).alias("status"),
@@ -190,7 +190,7 @@ def q_stored_points(spark, sf):
     path = new_path(spark, "points")
     tables.write_points(testtables.numbered_cloud(spark, sf), path)
     return tables.read_points(spark, path).select(
-        "point_idx", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in "xyz"]
+        "point_idx", *[scores.exact_round(F.col(c).cast("double"), 2).alias(c) for c in "xyz"]
     )
 
 
@@ -298,8 +298,8 @@ def q_drift_batches(spark, sf):
         "file_name",
         "rows_scanned",
         F.array_join(F.array_sort(counts), ",").alias("class_counts"),
-        F.round("concentration_mean", 3).alias("concentration_mean"),
-        F.round("concentration_stdev", 3).alias("concentration_stdev"),
+        scores.exact_round(F.col("concentration_mean"), 3).alias("concentration_mean"),
+        scores.exact_round(F.col("concentration_stdev"), 3).alias("concentration_stdev"),
     )
 
 
@@ -349,7 +349,7 @@ def q_weighted_route(spark, sf):
     first = spark.range(1).select(F.lit(0).alias("time_step"))
     edges = materialize(routing.risk_edges(p.segments, risks, first), "weighted")
     tree = routing.cost_trees(edges, first.withColumn("blocked_segment", F.lit("")), EXIT)
-    return tree.select("node", F.round("cost", 3).alias("cost"), "hops", "parent", "parent_segment")
+    return tree.select("node", scores.exact_round(F.col("cost"), 3).alias("cost"), "hops", "parent", "parent_segment")
 
 
 def _asks(spark, sf):
@@ -564,7 +564,15 @@ def q_rolling_mean(spark, sf):
 
 def q_anomaly_score(spark, sf):
     scored = anomaly.gas_anomalies(stages(spark, sf).gas, 40.0, 3, 50.0)
-    return rounded(scored.select("time_step", "sensor_id", "zscore", "rolling_mean", "rolling_change", "anomaly_score"))
+    # A mean of four six-digit values can end in a tie at six digits.
+    return scored.select(
+        "time_step",
+        "sensor_id",
+        scores.exact_round(F.col("zscore"), 6).alias("zscore"),
+        F.round("rolling_mean", 9).alias("rolling_mean"),
+        scores.exact_round(F.col("rolling_change"), 6).alias("rolling_change"),
+        scores.exact_round(F.col("anomaly_score"), 6).alias("anomaly_score"),
+    )
 
 
 def q_nearest_segment(spark, sf):
