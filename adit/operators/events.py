@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adit.functions.text import canonical_record, canonical_risk_level, canonical_segment_id
-from adit.operators.graph import hop_routes
+from adit.operators.routing import hop_routes
 from adit.operators.steps import max_time_step
 from adit.workspace import materialize, one_row
 

@@ -291,17 +291,3 @@ def walk(starts: DataFrame, tree: DataFrame, steps_per_table: int = 6) -> DataFr
         F.col("taken.segment").alias("route_segments"),
         F.col("taken.weight").alias("weights"),
     )
-
-
-def hop_routes(segments: DataFrame, requests: DataFrame, exit_node: str) -> DataFrame:
-    """Fewest-segment route to the exit per request.
-
-    ``requests``: (request_id, start_node, blocked_segment). All columns are
-    kept; ``route_nodes`` is null where the exit cannot be reached. Requests
-    that share a blocked segment share one tree.
-    """
-    keyed = requests.withColumn("scenario", F.coalesce("blocked_segment", F.lit("")))
-    roots = keyed.select("scenario", F.lit(exit_node).alias("root"), "blocked_segment").distinct()
-    tree, _ = hop_tree(segments, roots)
-    routes = walk(keyed.select("request_id", "scenario", F.col("start_node").alias("node")), tree)
-    return requests.join(routes.drop("scenario", "weights"), "request_id", "left")

@@ -1,18 +1,22 @@
 """Lowest-cost escape routes for many workers, steps and blockages at once.
 
-One tree per (time step, blocked segment) is grown from the exit and serves
-every worker in that situation. The blocked variant is grown only where the
-unblocked tree of the step uses the blocked segment; elsewhere removing it
-changes no route.
+One tree per time step is grown from the exit, over all segments, and serves
+every worker of the step. A blockage matters only to those whose route uses
+the blocked segment, and it moves only the nodes that hang below it in the
+tree: just these are searched again, starting from their untouched
+neighbours, so the work follows what a blockage cuts and not the graph size
+times the number of blockages.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adit.functions.scores import edge_weight, exact_round
-from adit.operators.graph import walk
+from adit.operators.graph import adjacency, exit_roots, hop_tree, walk
 from adit.workspace import materialize, materialize_counted, one_row
 
 COST_POLICY = "length + final_risk_score * 0.20"
@@ -48,36 +52,22 @@ def risk_edges(segments: DataFrame, risks: DataFrame | None, steps: DataFrame) -
     )
 
 
-def cost_trees(edges: DataFrame, scenarios: DataFrame, exit_node: str) -> DataFrame:
-    """Shortest-path tree from the exit for each (time_step, blocked_segment).
+def settle(state: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """Relax costs along ``links`` until no node improves.
 
-    Returns (time_step, blocked_segment, node, cost, hops, parent,
-    parent_segment, parent_weight); ``blocked_segment`` is '' for none. Costs are relaxed
-    along the frontier until no node improves; parents are chosen at the end
-    by (cost, hops, next node, segment number).
+    ``state``: keys, node, cost, hops of the nodes known so far. ``links``:
+    keys, node, dst, weight; a node takes over its neighbour ``dst``.
     """
-    keys = ["time_step", "blocked_segment"]
-    edges = edges.where(F.col("src") != F.col("dst"))
-    state = materialize(
-        scenarios.select(
-            *keys,
-            F.lit(exit_node).alias("node"),
-            F.lit(0.0).alias("cost"),
-            F.lit(0).alias("hops"),
-            F.lit(0).alias("round"),
-        ),
-        "costs",
-    )
+    state = materialize(state.select(*keys, "node", "cost", "hops", F.lit(0).alias("round")), "costs")
     turn, improved = 0, 1
     while improved:
         reached = (
             state.where(F.col("round") == turn)
-            .withColumnRenamed("node", "src")
-            .join(edges, ["time_step", "src"])
-            .where(F.col("segment_id") != F.col("blocked_segment"))
+            .withColumnRenamed("node", "dst")
+            .join(links.select(*keys, "node", "dst", "weight"), [*keys, "dst"])
             .select(
                 *keys,
-                F.col("dst").alias("node"),
+                "node",
                 (F.col("cost") + F.col("weight")).alias("cost"),
                 (F.col("hops") + 1).alias("hops"),
                 F.lit(turn + 1).alias("round"),
@@ -92,17 +82,25 @@ def cost_trees(edges: DataFrame, scenarios: DataFrame, exit_node: str) -> DataFr
         )
         turn += 1
         state, improved = materialize_counted(best, "costs", F.col("round") == turn)
-    toward = state.select(*keys, F.col("node").alias("dst"), F.col("cost").alias("_c"), F.col("hops").alias("_h"))
+    return state.drop("round")
+
+
+def with_parents(costs: DataFrame, links: DataFrame, ahead: DataFrame, keys: list[str]) -> DataFrame:
+    """The tree behind settled costs.
+
+    ``ahead`` has the costs of everything a link can lead to. Of the next
+    nodes that explain a cost the smallest is taken, then the lowest segment
+    number.
+    """
+    toward = ahead.select(*keys, F.col("node").alias("dst"), F.col("cost").alias("_c"), F.col("hops").alias("_h"))
     parents = (
-        state.withColumnRenamed("node", "src")
-        .join(edges, ["time_step", "src"])
-        .where(F.col("segment_id") != F.col("blocked_segment"))
+        costs.join(links, [*keys, "node"])
         .join(toward, [*keys, "dst"])
         .where((F.col("cost") == F.col("_c") + F.col("weight")) & (F.col("hops") == F.col("_h") + 1))
-        .groupBy(*keys, F.col("src").alias("node"))
+        .groupBy(*keys, "node")
         .agg(F.min(F.struct("dst", "seg_no", "segment_id", "weight")).alias("_p"))
     )
-    tree = state.join(parents, [*keys, "node"], "left").select(
+    return costs.join(parents, [*keys, "node"], "left").select(
         *keys,
         "node",
         "cost",
@@ -111,26 +109,144 @@ def cost_trees(edges: DataFrame, scenarios: DataFrame, exit_node: str) -> DataFr
         F.col("_p.segment_id").alias("parent_segment"),
         F.col("_p.weight").alias("parent_weight"),
     )
-    return materialize(tree, "cost-tree")
 
 
-def scenario_trees(
-    segments: DataFrame, risks: DataFrame | None, requests: DataFrame, exit_node: str
-) -> DataFrame:
-    """Trees covering every (time_step, blocked_segment) in ``requests``.
+def cost_trees(edges: DataFrame, exit_node: str) -> DataFrame:
+    """Shortest-path tree from the exit per time step of ``edges``.
+
+    Returns (time_step, node, cost, hops, parent, parent_segment,
+    parent_weight).
+    """
+    links = edges.where(F.col("src") != F.col("dst")).withColumnRenamed("src", "node")
+    exits = edges.select("time_step").distinct().select(
+        "time_step", F.lit(exit_node).alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops")
+    )
+    costs = settle(exits, links, ["time_step"])
+    return materialize(with_parents(costs, links, costs, ["time_step"]), "tree")
+
+
+def detour_trees(edges: DataFrame, base: DataFrame, cuts: DataFrame) -> DataFrame:
+    """For each cut, new tree rows of the nodes that hung on the cut segment.
+
+    ``cuts``: distinct (time_step, blocked_segment). Nodes without another
+    way to the exit are absent.
+    """
+    keys = ["time_step", "blocked_segment"]
+    top = base.select("time_step", F.col("parent_segment").alias("blocked_segment"), "node")
+    below = base.select("time_step", F.col("parent").alias("node"), F.col("node").alias("_child"))
+    frontier, found = materialize_counted(cuts.join(top, keys).select(*keys, "node"), "cut-off")
+    cut_off = [frontier]
+    while found:
+        deeper = frontier.join(below, ["time_step", "node"]).select(*keys, F.col("_child").alias("node"))
+        frontier, found = materialize_counted(deeper, "cut-off")
+        cut_off.append(frontier)
+    affected = reduce(DataFrame.unionByName, cut_off)
+
+    inside = affected.select(*keys, F.col("node").alias("dst"), F.lit(True).alias("_inside"))
+    links = materialize(
+        affected.join(edges.withColumnRenamed("src", "node"), ["time_step", "node"])
+        .where((F.col("segment_id") != F.col("blocked_segment")) & (F.col("node") != F.col("dst")))
+        .join(inside, [*keys, "dst"], "left")
+        .withColumn("_inside", F.coalesce("_inside", F.lit(False))),
+        "detours",
+    )
+    untouched = base.select("time_step", F.col("node").alias("dst"), F.col("cost").alias("_c"), F.col("hops").alias("_h"))
+    rim = materialize(
+        links.where(~F.col("_inside"))
+        .join(untouched, ["time_step", "dst"])
+        .select(*keys, "node", "dst", "seg_no", "segment_id", "weight", "_c", "_h"),
+        "rim",
+    )
+    entry = F.struct((F.col("_c") + F.col("weight")).alias("cost"), (F.col("_h") + 1).alias("hops"))
+    seeds = rim.groupBy(*keys, "node").agg(F.min(entry).alias("_e")).select(*keys, "node", "_e.cost", "_e.hops")
+    within = links.where("_inside").drop("_inside")
+    costs = settle(seeds, within, keys)
+    around = rim.select(*keys, F.col("dst").alias("node"), F.col("_c").alias("cost"), F.col("_h").alias("hops")).distinct()
+    every = within.unionByName(rim.drop("_c", "_h"))
+    return materialize(with_parents(costs, every, costs.unionByName(around), keys), "detour-tree")
+
+
+def best_routes(edges: DataFrame, base: DataFrame, starts: DataFrame) -> DataFrame:
+    """Routes for (start_id, time_step, blocked_segment, node); '' blocks nothing.
+
+    Returns start_id, route_nodes, route_segments, weights; starts without a
+    way to the exit drop out.
+    """
+    columns = ["route_nodes", "route_segments", "weights"]
 
-    Adds ``tree_block``: the blockage the tree was grown with ('' where the
-    unblocked tree of the step already avoids the segment).
+    def along_base(places: DataFrame) -> DataFrame:
+        # Starts at one node share a walk.
+        asked = places.select("time_step", "node").distinct()
+        keyed = asked.select(F.struct("time_step", "node").alias("request_id"), F.col("time_step").alias("scenario"), "node")
+        routes = walk(keyed, base.withColumnRenamed("time_step", "scenario"))
+        return materialize(routes.select("request_id.*", *columns), "base-routes")
+
+    plain = starts.join(along_base(starts), ["time_step", "node"])
+    plain = plain.withColumn("_hit", F.array_contains("route_segments", F.col("blocked_segment")))
+    direct = plain.where(~F.col("_hit")).select("start_id", *columns)
+    cut_starts, hit = materialize_counted(
+        plain.where("_hit").select("start_id", "time_step", "blocked_segment", "node"), "cut-starts"
+    )
+    if not hit:
+        return direct
+    trees = detour_trees(edges, base, cut_starts.select("time_step", "blocked_segment").distinct())
+    scenario = F.struct("time_step", "blocked_segment").alias("scenario")
+    # The walk leaves the detour tree at the first node the cut did not move.
+    head = materialize(
+        walk(
+            cut_starts.select(F.col("start_id").alias("request_id"), scenario, "node"),
+            trees.select(scenario, "node", "parent", "parent_segment", "parent_weight"),
+        ).select(
+            F.col("request_id").alias("start_id"),
+            F.col("scenario.time_step").alias("time_step"),
+            F.element_at("route_nodes", -1).alias("node"),
+            *[F.col(c).alias(f"_{c}") for c in columns],
+        ),
+        "heads",
+    )
+    rest = F.slice("route_nodes", F.lit(2), F.greatest(F.size("route_nodes") - 1, F.lit(0)))
+    around = head.join(along_base(head), ["time_step", "node"]).select(
+        "start_id",
+        F.concat("_route_nodes", rest).alias("route_nodes"),
+        F.concat("_route_segments", "route_segments").alias("route_segments"),
+        F.concat("_weights", "weights").alias("weights"),
+    )
+    return direct.unionByName(around)
+
+
+def hop_routes(segments: DataFrame, requests: DataFrame, exit_node: str) -> DataFrame:
+    """Fewest-segment route to the exit per request.
+
+    ``requests``: (request_id, start_node, blocked_segment). All columns are
+    kept; ``route_nodes`` is null where the exit cannot be reached.
     """
-    asked = materialize(requests.select("time_step", "blocked_segment").distinct(), "scenarios")
-    steps = asked.select("time_step").distinct()
-    edges = materialize(risk_edges(segments, risks, steps), "weighted")
-    open_trees = cost_trees(edges, steps.withColumn("blocked_segment", F.lit(NO_BLOCK)), exit_node)
-    in_use = open_trees.select("time_step", F.col("parent_segment").alias("blocked_segment"))
-    hit, count = materialize_counted(asked.join(in_use, ["time_step", "blocked_segment"], "left_semi"), "hit")
-    if not count:
-        return open_trees
-    return open_trees.unionByName(cost_trees(edges, hit, exit_node))
+    edges = materialize(
+        adjacency(segments).select(
+            F.lit(0).alias("time_step"), "src", "dst", "seg_no", "segment_id", F.lit(1.0).alias("weight")
+        ),
+        "hops",
+    )
+    tree, _ = hop_tree(segments, exit_roots(segments, exit_node))
+    base = materialize(
+        tree.select(
+            F.lit(0).alias("time_step"),
+            "node",
+            F.col("depth").cast("double").alias("cost"),
+            F.col("depth").alias("hops"),
+            "parent",
+            "parent_segment",
+            F.lit(1.0).alias("parent_weight"),
+        ),
+        "hop-tree",
+    )
+    starts = requests.select(
+        F.col("request_id").alias("start_id"),
+        F.lit(0).alias("time_step"),
+        F.coalesce("blocked_segment", F.lit(NO_BLOCK)).alias("blocked_segment"),
+        F.col("start_node").alias("node"),
+    )
+    routes = best_routes(edges, base, starts).withColumnRenamed("start_id", "request_id")
+    return requests.join(routes.drop("weights"), "request_id", "left")
 
 
 def risk_step(requests: DataFrame, risks: DataFrame | None) -> DataFrame:
@@ -167,43 +283,35 @@ def emergency_routes(
         .join(ends, "start_segment", "left"),
         "requests",
     )
-    open_ = asked.where(F.col("_known") & (F.col("start_segment") != F.col("_block"))).select(
-        "request_id", F.col("_step").alias("time_step"), F.col("_block").alias("blocked_segment"), "from_node", "to_node"
-    )
-    trees = scenario_trees(segments, risks, open_, exit_node)
-    own = (
-        trees.where(F.col("blocked_segment") != NO_BLOCK)
-        .select("time_step", "blocked_segment", F.lit(True).alias("_own"))
-        .distinct()
-    )
-    starts = (
-        open_.join(own, ["time_step", "blocked_segment"], "left")
-        .select(
-            "request_id",
-            "time_step",
-            F.when(F.col("_own"), F.col("blocked_segment")).otherwise(F.lit(NO_BLOCK)).alias("blocked_segment"),
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("rank"), F.col("from_node").alias("node")),
-                    F.struct(F.lit(1).alias("rank"), F.col("to_node").alias("node")),
-                )
-            ).alias("_s"),
+    end = F.explode(
+        F.array(
+            F.struct(F.lit(0).alias("rank"), F.col("from_node").alias("node")),
+            F.struct(F.lit(1).alias("rank"), F.col("to_node").alias("node")),
         )
-        .select("request_id", "time_step", "blocked_segment", "_s.rank", "_s.node")
-    )
-    best = (
-        starts.join(trees.select("time_step", "blocked_segment", "node", "cost"), ["time_step", "blocked_segment", "node"])
-        .groupBy("request_id", "time_step", "blocked_segment")
-        .agg(F.min(F.struct("cost", "rank", "node")).alias("_b"))
     )
-    scenario = F.struct("time_step", "blocked_segment")
-    routes = walk(
-        best.select("request_id", scenario.alias("scenario"), F.col("_b.node").alias("node")),
-        trees.select(scenario.alias("scenario"), "node", "parent", "parent_segment", "parent_weight"),
+    starts = materialize(
+        asked.where(F.col("_known") & (F.col("start_segment") != F.col("_block")))
+        .select("request_id", "_step", "_block", end.alias("_e"))
+        .select(
+            F.struct("request_id", "_e.rank").alias("start_id"),
+            F.col("_step").alias("time_step"),
+            F.col("_block").alias("blocked_segment"),
+            "_e.node",
+        ),
+        "starts",
     )
+    edges = materialize(risk_edges(segments, risks, starts.select("time_step").distinct()), "weighted")
+    routes = best_routes(edges, cost_trees(edges, exit_node), starts)
     # Added up from the start, the way a traveller would.
     total = F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w)
-    found = routes.select("request_id", "route_nodes", "route_segments", total.alias("_cost"))
+    choice = F.struct(
+        total.alias("cost"), F.col("start_id.rank").alias("rank"), F.col("route_nodes"), F.col("route_segments")
+    )
+    found = (
+        routes.groupBy("start_id.request_id")
+        .agg(F.min(choice).alias("_b"))
+        .select("request_id", "_b.route_nodes", "_b.route_segments", F.col("_b.cost").alias("_cost"))
+    )
     outcome = (
         F.when(F.col("_known").isNull(), F.lit("start_segment_not_found"))
         .when(F.col("start_segment") == F.col("_block"), F.lit("worker_segment_blocked"))

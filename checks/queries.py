@@ -6,8 +6,6 @@ columns; the operators themselves return arrays, maps and structs.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +21,20 @@ from adit.workspace import materialize, new_path
 EXIT = testtables.SETTINGS.exit_node
 
 
-@lru_cache(maxsize=None)
-def _stages(app: str, sf_dir: str) -> Pipeline:
-    return testtables.pipeline(SparkSession.getActiveSession(), sf_dir)
+_pipelines: dict[tuple[str, str], Pipeline] = {}
 
 
 def stages(spark: SparkSession, sf_dir: str) -> Pipeline:
-    """One pipeline per session and folder, its stages shared by the queries."""
-    return _stages(spark.sparkContext.applicationId, sf_dir)
+    """One pipeline per application and folder, its stages shared by the queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _pipelines:
+        _pipelines[key] = testtables.pipeline(spark, sf_dir)
+    return _pipelines[key]
 
 
 def forget_stages() -> None:
     """Make the next query compute its stages again (used for timing)."""
-    _stages.cache_clear()
+    _pipelines.clear()
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -339,7 +338,7 @@ def q_hop_route(spark, sf):
     asks = segments.nodes(rows).select(
         F.col("node_id").alias("request_id"), F.col("node_id").alias("start_node"), F.lit("SEG_003").alias("blocked_segment")
     )
-    return graph.hop_routes(rows, asks, EXIT).select("start_node", "blocked_segment", joined("route_nodes"))
+    return routing.hop_routes(rows, asks, EXIT).select("start_node", "blocked_segment", joined("route_nodes"))
 
 
 def q_weighted_route(spark, sf):
@@ -348,8 +347,10 @@ def q_weighted_route(spark, sf):
     risks = p.fused.select("time_step", "segment_id", F.col("final_segment_risk").alias("final_risk_score"))
     first = spark.range(1).select(F.lit(0).alias("time_step"))
     edges = materialize(routing.risk_edges(p.segments, risks, first), "weighted")
-    tree = routing.cost_trees(edges, first.withColumn("blocked_segment", F.lit("")), EXIT)
-    return tree.select("node", scores.exact_round(F.col("cost"), 3).alias("cost"), "hops", "parent", "parent_segment")
+    tree = routing.cost_trees(edges, EXIT)
+    return tree.select(
+        "node", scores.exact_round(F.col("cost"), 3).alias("cost"), "hops", "parent", "parent_segment"
+    )
 
 
 def _asks(spark, sf):
