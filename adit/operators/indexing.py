@@ -34,15 +34,37 @@ def ordered_index(
         .withColumn("_pos", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_id")
     )
-    rows = materialize(stamped, "index")
-    runs = rows.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return _number(materialize(stamped, "index"), ["_range"], keys, df.columns, out, start)
+
+
+def scan_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
+    """Append ``out``: the row's position in its files, in (file, offset) order.
+
+    ``df`` is a plain file scan. Its splits are ordered already, so nothing
+    is sorted or shuffled: the rows are written once with their place in the
+    split, and the splits' row counts give the offsets.
+    """
+    placed = df.select(
+        *df.columns,
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_pos"),
+    )
+    return _number(materialize(placed, "scan"), ["_file", "_block"], [], df.columns, out, 0)
+
+
+def _number(rows: DataFrame, piece: list[str], keys: list[str], columns: list[str], out: str, start: int) -> DataFrame:
+    """Turn positions inside ordered pieces into positions inside keys."""
+    runs = rows.groupBy(*piece, *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
     shifts = runs.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop(
         "_n", "_first"
     )
     left, right = rows.alias("l"), shifts.alias("r")
-    same = reduce(lambda a, b: a & b, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in ["_range", *keys]))
+    same = reduce(
+        lambda a, b: a & b, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*piece, *keys])
+    )
     return left.join(right, same).select(
-        *[F.col(f"l.{c}") for c in df.columns],
+        *[F.col(f"l.{c}") for c in columns],
         (F.col("l._pos") + F.col("r._shift") + start).cast("bigint").alias(out),
     )

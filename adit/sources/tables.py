@@ -6,22 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adit import schemas
-from adit.operators.indexing import ordered_index
-
-
-def with_row_number(df: DataFrame, out: str) -> DataFrame:
-    """Number the rows of a file scan in (file, offset) order, from 0.
-
-    Splits of a file start at their block offset, and within a split the row
-    id grows with the position.
-    """
-    placed = df.select(
-        *df.columns,
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    return ordered_index(placed, ["_file", "_block", "_row"], out=out).drop("_file", "_block", "_row")
+from adit.operators.indexing import ordered_index, scan_index
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +29,7 @@ def read_indexed_csv(
     index: str = "row_idx",
 ) -> DataFrame:
     """A CSV with its rows numbered; ``max_rows`` keeps only the first ones."""
-    rows = with_row_number(read_csv(spark, path), index)
+    rows = scan_index(read_csv(spark, path), index)
     if columns is not None:
         missing = F.lit(None).cast("string")
         rows = rows.select(index, *[F.col(c) if c in rows.columns else missing.alias(c) for c in columns])
