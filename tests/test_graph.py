@@ -78,7 +78,7 @@ def random_edges(seed):
     return [(str(rng.randrange(n)), str(rng.randrange(n)), float(rng.randrange(1, 9)), "") for _ in range(count)]
 
 
-@pytest.mark.parametrize("edges", [LADDER, *[random_edges(s) for s in range(6)]], ids=str)
+@pytest.mark.parametrize("edges", [LADDER, *[random_edges(s) for s in range(4)]], ids=str)
 def test_edge_impact_equals_one_search_per_segment(spark, edges):
     s = build(spark, edges)
     exit_node = edges[0][0]
@@ -134,7 +134,7 @@ def cheapest(edges, weight, start, goal, blocked):
     return None
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_emergency_routes_are_cheapest_under_every_blockage(spark, seed):
     edges = LADDER if seed == 0 else random_edges(100 + seed)
     goal = "3" if seed == 0 else edges[0][0]
