@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adit.functions.scores import GRAPH_WEIGHTS, exact_round, normalize, risk_level, weighted_sum
-from adit.operators.segments import nodes
+from adit.operators.segments import node_degree, nodes
 from adit.workspace import materialize, materialize_counted, one_row
 
 # Levels of the tree folded upwards per written table.
@@ -104,10 +104,105 @@ def exit_roots(segments: DataFrame, exit_node: str, blocked_segment: str | None
     )
 
 
+def chains(segments: DataFrame, keep: str) -> DataFrame:
+    """Assign every segment to the unbranched passage it is part of.
+
+    Tunnels are mostly passages: nodes with two segments and nothing else.
+    Such runs are followed by pointer doubling, so a passage of n segments
+    takes log2(n) rounds. Returns the segments with ``chain``, its end nodes
+    ``a`` and ``b`` and the number of segments ``to_a`` and ``to_b`` up to
+    them, this one included. ``keep`` never lies inside a passage. Segments
+    of a ring without any other connection have a null ``chain``.
+    """
+    loops = segments.where(F.col("from_node") == F.col("to_node")).select(F.col("from_node").alias("node_id"))
+    inner = (
+        node_degree(segments)
+        .where((F.col("degree") == 2) & (F.col("node_id") != keep))
+        .join(loops, "node_id", "left_anti")
+        .select(F.col("node_id").alias("dst"), F.lit(True).alias("_inner"))
+    )
+    # An arc is a segment in one direction: 2 * seg_no, or that plus 1 backwards.
+    ways = F.explode(
+        F.array(
+            F.struct((F.col("seg_no") * 2).alias("arc"), F.col("from_node").alias("src"), F.col("to_node").alias("dst")),
+            F.struct((F.col("seg_no") * 2 + 1).alias("arc"), F.col("to_node").alias("src"), F.col("from_node").alias("dst")),
+        )
+    )
+    arcs = segments.select("seg_no", ways.alias("_w")).select("seg_no", "_w.*").join(inner, "dst", "left")
+    onward = arcs.select(F.col("src").alias("_at"), F.col("arc").alias("next"), F.col("seg_no").alias("_seg"))
+    on = (F.col("dst") == F.col("_at")) & (F.col("seg_no") != F.col("_seg")) & F.col("_inner")
+    pending = F.col("next").isNotNull()
+    state, open_ = materialize_counted(
+        arcs.join(onward, on, "left").select(
+            "arc", "next", F.lit(1).cast("bigint").alias("steps"), F.col("arc").alias("last"), F.col("dst").alias("end")
+        ),
+        "passages",
+        pending,
+    )
+    before = None
+    # Every round ends some arcs of each unfinished passage; if none, only rings are left.
+    while open_ and open_ != before:
+        before = open_
+        ahead = state.select(
+            F.col("arc").alias("_arc"),
+            F.col("next").alias("_next"),
+            F.col("steps").alias("_steps"),
+            F.col("last").alias("_last"),
+            F.col("end").alias("_end"),
+        )
+        state, open_ = materialize_counted(
+            state.join(ahead, F.col("next") == F.col("_arc"), "left").select(
+                "arc",
+                F.col("_next").alias("next"),
+                (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+                F.coalesce("_last", "last").alias("last"),
+                F.coalesce("_end", "end").alias("end"),
+            ),
+            "passages",
+            pending,
+        )
+    ended = state.where(~pending)
+    ahead = ended.select(F.shiftright("arc", 1).alias("seg_no"), (F.col("arc") % 2).alias("_way"), "steps", "last", "end")
+    forward = ahead.where("_way = 0").select("seg_no", F.struct("last", F.col("end"), "steps").alias("_f"))
+    backward = ahead.where("_way = 1").select("seg_no", F.struct("last", F.col("end"), "steps").alias("_b"))
+    low, high = F.least("_f", "_b"), F.greatest("_f", "_b")
+    sides = forward.join(backward, "seg_no").select(
+        "seg_no",
+        low["last"].alias("chain"),
+        high["end"].alias("a"),
+        low["end"].alias("b"),
+        high["steps"].alias("to_a"),
+        low["steps"].alias("to_b"),
+    )
+    return materialize(segments.join(sides, "seg_no", "left"), "chains")
+
+
+def passages(chained: DataFrame) -> DataFrame:
+    """One segment-like row per chain, from end to end, with its inner ``span``."""
+    return materialize(
+        chained.where(F.col("chain").isNotNull())
+        .groupBy("chain", "a", "b")
+        .agg(F.max(F.col("to_a") + F.col("to_b") - 2).alias("span"))
+        .select(
+            F.col("chain").alias("seg_no"),
+            F.col("chain").cast("string").alias("segment_id"),
+            F.col("a").alias("from_node"),
+            F.col("b").alias("to_node"),
+            F.lit(1.0).alias("length"),
+            "span",
+        ),
+        "passage-graph",
+    )
+
+
 def reachable_nodes(segments: DataFrame, start: str, blocked_segment: str | None = None) -> DataFrame:
     """Nodes connected to ``start``, itself included."""
-    tree, _ = hop_tree(segments, exit_roots(segments, start, blocked_segment))
-    return tree.select("node")
+    open_ = segments if blocked_segment is None else segments.where(F.col("segment_id") != blocked_segment)
+    chained = chains(open_, start)
+    tree, _ = hop_tree(passages(chained), exit_roots(segments, start))
+    ends = tree.select("node")
+    along = chained.join(ends, F.col("a") == F.col("node"), "left_semi")
+    return ends.unionByName(along.select(F.explode(F.array("from_node", "to_node")).alias("node"))).distinct()
 
 
 def unreached_nodes(segments: DataFrame, reached: DataFrame) -> DataFrame:
@@ -117,33 +212,50 @@ def unreached_nodes(segments: DataFrame, reached: DataFrame) -> DataFrame:
 def edge_impact(segments: DataFrame, exit_node: str) -> DataFrame:
     """Per segment, how many nodes lose the exit when it is removed.
 
-    One search instead of one per segment. Each non-tree edge gets a random
-    128-bit label that is XORed into its two end nodes; the XOR over a
-    subtree is zero exactly when no non-tree edge leaves it, i.e. when the
-    subtree hangs on its tree edge alone (cycle space sampling, Pritchard and
-    Thurimella 2011; the chance of a false zero is 2^-128 per edge). Nodes
-    the exit never reaches count for every segment.
+    One search instead of one per segment, on the graph of whole passages.
+    Each passage outside the search tree gets a random 128-bit label that is
+    XORed into its two end nodes; the XOR over a subtree is zero exactly when
+    no such passage leaves it, i.e. when the subtree hangs on its own passage
+    alone (cycle space sampling, Pritchard and Thurimella 2011; the chance of
+    a false zero is 2^-128 per passage). Cutting a segment of that passage
+    loses the subtree and the nodes between the cut and it. Nodes the exit
+    never reaches count for every segment.
     """
-    tree, levels = hop_tree(segments, exit_roots(segments, exit_node))
+    chained = chains(segments, exit_node)
+    graph = passages(chained)
+    tree, levels = hop_tree(graph, exit_roots(segments, exit_node))
+    spans = graph.select(F.col("segment_id").alias("parent_segment"), "span")
     chosen = tree.where(F.col("parent_segment").isNotNull()).select(F.col("parent_segment").alias("segment_id"))
-    labels = (
-        segments.join(chosen, "segment_id", "left_anti")
-        .select(
-            F.explode(F.array("from_node", "to_node")).alias("node"),
+    rest = graph.join(chosen, "segment_id", "left_anti")
+    # A passage outside the tree has both ends in a cut-off subtree or none,
+    # so its inner nodes may be counted at either end.
+    marks = (
+        rest.select(
+            F.explode(
+                F.array(
+                    F.struct(F.col("from_node").alias("node"), F.col("span").alias("n")),
+                    F.struct(F.col("to_node").alias("node"), F.lit(0).cast("bigint").alias("n")),
+                )
+            ).alias("_m"),
             F.xxhash64("seg_no", F.lit(1)).alias("_x1"),
             F.xxhash64("seg_no", F.lit(2)).alias("_x2"),
         )
-        .groupBy("node")
-        .agg(F.bit_xor("_x1").alias("_x1"), F.bit_xor("_x2").alias("_x2"))
+        .groupBy("_m.node")
+        .agg(F.bit_xor("_x1").alias("_x1"), F.bit_xor("_x2").alias("_x2"), F.sum("_m.n").alias("_own"))
     )
+    zero = F.lit(0).cast("bigint")
     labelled = materialize(
-        tree.join(labels, "node", "left").select(
+        tree.join(marks, "node", "left")
+        .join(spans, "parent_segment", "left")
+        .select(
             "node",
             "depth",
             "parent",
             "parent_segment",
-            F.coalesce("_x1", F.lit(0).cast("bigint")).alias("_x1"),
-            F.coalesce("_x2", F.lit(0).cast("bigint")).alias("_x2"),
+            F.coalesce("_x1", zero).alias("_x1"),
+            F.coalesce("_x2", zero).alias("_x2"),
+            (F.coalesce("_own", zero) + 1).alias("_size"),
+            F.coalesce("span", zero).alias("_span"),
         ),
         "labelled",
     )
@@ -153,12 +265,13 @@ def edge_impact(segments: DataFrame, exit_node: str) -> DataFrame:
     for at in range(0, len(todo), FOLD_LEVELS):
         batch = []
         for depth in todo[at : at + FOLD_LEVELS]:
-            level = labelled.where(F.col("depth") == depth).withColumn("_size", F.lit(1).cast("bigint"))
+            level = labelled.where(F.col("depth") == depth)
             if below is not None:
                 carried = below.groupBy(F.col("parent").alias("node")).agg(
-                    F.sum("_size").alias("_s"), F.bit_xor("_x1").alias("_b1"), F.bit_xor("_x2").alias("_b2")
+                    F.sum(F.col("_size") + F.col("_span")).alias("_s"),
+                    F.bit_xor("_x1").alias("_b1"),
+                    F.bit_xor("_x2").alias("_b2"),
                 )
-                zero = F.lit(0).cast("bigint")
                 level = level.join(carried, "node", "left").select(
                     "node",
                     "depth",
@@ -167,6 +280,7 @@ def edge_impact(segments: DataFrame, exit_node: str) -> DataFrame:
                     F.col("_x1").bitwiseXOR(F.coalesce("_b1", zero)).alias("_x1"),
                     F.col("_x2").bitwiseXOR(F.coalesce("_b2", zero)).alias("_x2"),
                     (F.col("_size") + F.coalesce("_s", zero)).alias("_size"),
+                    "_span",
                 )
             batch.append(level)
             below = level
@@ -174,21 +288,26 @@ def edge_impact(segments: DataFrame, exit_node: str) -> DataFrame:
         folded.append(done)
         below = done.where(F.col("depth") == todo[min(at + FOLD_LEVELS, len(todo)) - 1])
 
-    unreached = one_row(unreached_nodes(segments, tree.select("node")), F.count(F.lit(1)).alias("n"))["n"]
     total = one_row(nodes(segments), F.count(F.lit(1)).alias("n"))["n"]
-    result = segments
+    ends = tree.join(nodes(segments), F.col("node") == F.col("node_id"), "left_semi")
+    inside = graph.join(tree.select("node"), F.col("from_node") == F.col("node"), "left_semi")
+    reached = F.coalesce(one_row(ends, F.count(F.lit(1)).alias("n"))["n"], zero) + F.coalesce(
+        one_row(inside, F.sum("span").alias("n"))["n"], zero
+    )
+    result = chained
     if folded:
         bridges = (
             reduce(DataFrame.unionByName, folded)
             .where((F.col("_x1") == 0) & (F.col("_x2") == 0))
-            .select(F.col("parent_segment").alias("segment_id"), F.col("_size").alias("_cut"))
+            .select(F.col("parent_segment").cast("bigint").alias("chain"), F.col("node").alias("_far"), "_size")
         )
-        result = result.join(bridges, "segment_id", "left")
+        beyond = F.when(F.col("_far") == F.col("b"), F.col("to_b")).otherwise(F.col("to_a")) - 1
+        result = result.join(bridges, "chain", "left").withColumn("_cut", F.col("_size") + beyond)
     else:
-        result = result.withColumn("_cut", F.lit(0).cast("bigint"))
+        result = result.withColumn("_cut", zero)
     return result.select(
         *segments.columns,
-        (F.coalesce("_cut", F.lit(0)) + unreached).cast("bigint").alias("disconnected_node_count"),
+        (F.coalesce("_cut", zero) + total - reached).cast("bigint").alias("disconnected_node_count"),
         total.alias("total_node_count"),
     )
 

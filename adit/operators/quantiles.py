@@ -1,8 +1,9 @@
 """Exact interpolated percentiles that no single task has to hold.
 
 ``percentile`` keeps every distinct value of a group in one buffer. Here the
-values are counted first, then narrowed: a histogram per group finds the cell
-that holds a wanted rank, and only the values of that cell go on. After
+values are counted first. Groups with few distinct values are ranked directly;
+if any group has many, all are narrowed first: a histogram per group finds the
+cell that holds a wanted rank, and only the values of that cell go on. After
 ``levels`` rounds a cell spans 1/4096**levels of the group's range, and the
 values left in it are ranked. Nothing is approximated.
 """
@@ -12,7 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from adit.workspace import materialize
+
 CELLS = 4096
+NARROWING_LEVELS = 2
+# Distinct values of one group that are ranked without narrowing.
+DIRECT_VALUES = 65536
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -25,18 +31,23 @@ def percentiles(
     keys: list[str],
     value: str,
     wanted: dict[str, float],
-    levels: int = 2,
+    levels: int | None = None,
 ) -> DataFrame:
     """One row per key with a column per entry of ``wanted`` (name -> 0-100).
 
     Linear interpolation at ``(n - 1) * p / 100`` between order statistics.
     ``counts`` holds one row per key and distinct value with its ``weight``.
-    Key columns must not be null.
+    Key columns must not be null. ``levels`` defaults to what the fullest
+    group needs.
     """
     base = counts.select(*keys, F.col(value).cast("double").alias("_v"), F.col("weight").alias("_w"))
     if not keys:
         base = base.withColumn("_all", F.lit(0))
     group = keys or ["_all"]
+    base = materialize(base, "value-counts")
+    if levels is None:
+        fullest = base.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+        levels = 0 if fullest <= DIRECT_VALUES else NARROWING_LEVELS
 
     # Cell 0 of level 0 is the whole group; every level splits the kept cells.
     path: list[str] = []

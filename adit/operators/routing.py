@@ -21,6 +21,7 @@ from adit.workspace import materialize, materialize_counted, one_row
 
 COST_POLICY = "length + final_risk_score * 0.20"
 NO_BLOCK = ""
+LEVELS_PER_TABLE = 4
 
 
 def risk_edges(segments: DataFrame, risks: DataFrame | None, steps: DataFrame) -> DataFrame:
@@ -134,12 +135,21 @@ def detour_trees(edges: DataFrame, base: DataFrame, cuts: DataFrame) -> DataFram
     keys = ["time_step", "blocked_segment"]
     top = base.select("time_step", F.col("parent_segment").alias("blocked_segment"), "node")
     below = base.select("time_step", F.col("parent").alias("node"), F.col("node").alias("_child"))
-    frontier, found = materialize_counted(cuts.join(top, keys).select(*keys, "node"), "cut-off")
-    cut_off = [frontier]
+    at = cuts.join(top, keys).select(*keys, "node", F.lit(0).alias("_level"))
+    cut_off, level, found = [], 0, 1
     while found:
-        deeper = frontier.join(below, ["time_step", "node"]).select(*keys, F.col("_child").alias("node"))
-        frontier, found = materialize_counted(deeper, "cut-off")
-        cut_off.append(frontier)
+        # Several levels of the tree per written table.
+        batch = [at]
+        for _ in range(LEVELS_PER_TABLE):
+            level += 1
+            at = at.join(below, ["time_step", "node"]).select(
+                *keys, F.col("_child").alias("node"), F.lit(level).alias("_level")
+            )
+            batch.append(at)
+        deepest = F.col("_level") == level
+        done, found = materialize_counted(reduce(DataFrame.unionByName, batch), "cut-off", deepest)
+        cut_off.append(done.where(~deepest).drop("_level"))
+        at = done.where(deepest)
     affected = reduce(DataFrame.unionByName, cut_off)
 
     inside = affected.select(*keys, F.col("node").alias("dst"), F.lit(True).alias("_inside"))

@@ -87,6 +87,25 @@ def test_edge_impact_equals_one_search_per_segment(spark, edges):
     assert got == {i + 1: (len(nodes - reach(edges, exit_node, i)), len(nodes)) for i in range(len(edges))}
 
 
+RINGS = [("3", "a", 1.0, ""), ("a", "b", 1.0, ""), ("b", "c", 1.0, ""), ("c", "a", 1.0, ""), ("b", "d", 1.0, ""),
+         ("d", "e", 1.0, ""), ("e", "b", 1.0, ""), ("e", "f", 1.0, ""), ("f", "g", 1.0, ""), ("3", "h", 1.0, ""), ("h", "3", 1.0, ""),
+         ("x", "y", 1.0, ""), ("y", "z", 1.0, ""), ("z", "x", 1.0, ""), ("p", "q", 1.0, ""), ("q", "p", 1.0, ""), ("g", "g", 1.0, "")]
+PASSAGE = [(str(i), str(i + 1), 1.0, "") for i in range(70)] + [("20", "b0", 1.0, "")] + [
+    (f"b{i}", f"b{i + 1}", 1.0, "") for i in range(30)
+] + [("b30", "40", 1.0, "")]
+LINE = [(str(i), str(i + 1), 1.0, "") for i in range(100)]
+
+
+@pytest.mark.parametrize(("edges", "exit_node"), [(RINGS, "3"), (RINGS, "x"), (PASSAGE, "55"), (LINE, "0")])
+def test_edge_impact_on_rings_and_long_passages(spark, edges, exit_node):
+    nodes = {x for a, b, *_ in edges for x in (a, b)}
+    s = build(spark, edges)
+    got = {r.seg_no: r.disconnected_node_count for r in graph.edge_impact(s, exit_node).collect()}
+    assert got == {i + 1: len(nodes - reach(edges, exit_node, i)) for i in range(len(edges))}
+    seen = {r.node for r in graph.reachable_nodes(s, exit_node, "SEG_003").collect()}
+    assert seen == reach(edges, exit_node, 2)
+
+
 def test_edge_impact_with_an_exit_outside_the_graph(spark):
     s = build(spark, LADDER)
     assert {r.disconnected_node_count for r in graph.edge_impact(s, "nowhere").collect()} == {8}

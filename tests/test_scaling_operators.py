@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from adit.operators import anomaly, nearest, sampling
@@ -23,7 +24,8 @@ def test_index_is_dense_per_key_with_a_hot_key(spark):
     assert [r.row_idx for r in total] == list(range(1, len(rows) + 1))
 
 
-def test_percentiles_match_interpolated_order_statistics(spark):
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_percentiles_match_interpolated_order_statistics(spark, levels):
     rng = random.Random(2)
     groups = {
         "one": [4.0],
@@ -35,11 +37,11 @@ def test_percentiles_match_interpolated_order_statistics(spark):
     }
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
     wanted = {"p0": 0, "p5": 5, "p50": 50, "p75": 75, "p99": 99, "p100": 100}
-    for row in percentiles(value_counts(df, ["g"], "v"), ["g"], "v", wanted).collect():
+    for row in percentiles(value_counts(df, ["g"], "v"), ["g"], "v", wanted, levels).collect():
         for name, p in wanted.items():
             assert np.isclose(row[name], np.percentile(groups[row.g], p), rtol=1e-12, atol=1e-15), (row.g, name)
     everything = [v for vs in groups.values() for v in vs]
-    row = percentiles(value_counts(df, [], "v"), [], "v", {"p99": 99}).collect()
+    row = percentiles(value_counts(df, [], "v"), [], "v", {"p99": 99}, levels).collect()
     assert len(row) == 1 and np.isclose(row[0].p99, np.percentile(everything, 99))
 
 
