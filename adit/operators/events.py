@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adit.functions.text import canonical_record, canonical_risk_level, canonical_segment_id
 from adit.operators.routing import hop_routes
-from adit.operators.steps import max_time_step
+from adit.operators.steps import max_time_step, over_steps
 from adit.workspace import materialize, one_row
 
 TOP_PER_STEP = 15
@@ -168,7 +168,7 @@ def worker_playback(workers: DataFrame, scenario: DataFrame, last_step) -> DataF
         F.col("worker_segment").alias("_held"),
         F.col("exit_reachable_after_blockage").alias("_reachable"),
     )
-    grid = first.join(fate, "worker_id").withColumn("time_step", F.explode(F.sequence(F.lit(0), last_step)))
+    grid = over_steps(first.join(fate, "worker_id"), last_step, "worker_id")
     seen = workers.select("worker_id", "time_step", "mapped_segment_id", "motion_status")
     held = (F.col("time_step") >= F.col("_event")) & ~F.col("_reachable")
     return grid.join(seen, ["worker_id", "time_step"], "left").select(

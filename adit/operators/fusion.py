@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adit.functions.scores import FUSION_WEIGHTS, confidence_factor, exact_round, risk_level, weighted_sum
 from adit.functions.text import active_reasons, canonical_record, reason_map
-from adit.operators.steps import max_time_step
+from adit.operators.steps import max_time_step, over_steps
 
 
 def occupied_cells(workers: DataFrame, gas: DataFrame, reliability: DataFrame) -> DataFrame:
@@ -62,14 +62,12 @@ def fuse(
     shape = geometry.groupBy("segment_id").agg(
         F.greatest(F.lit(0.0), F.max("lidar_geometry_risk")).alias("lidar_geometry_risk")
     )
-    grid = (
+    by_segment = (
         segments.select("seg_no", "segment_id")
         .join(shape, "segment_id", "left")
         .join(graph.select("segment_id", "graph_risk_score"), "segment_id", "left")
-        .withColumn("_last", max_time_step(workers, gas))
-        .withColumn("time_step", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-        .drop("_last")
     )
+    grid = over_steps(by_segment, max_time_step(workers, gas), "segment_id")
     empty = F.array().cast("array<string>")
     joined = grid.join(occupied_cells(workers, gas, reliability), ["time_step", "segment_id"], "left").select(
         "time_step",

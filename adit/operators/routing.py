@@ -31,7 +31,8 @@ def risk_edges(segments: DataFrame, risks: DataFrame | None, steps: DataFrame) -
     distinct requested steps; a step without risk rows weighs lengths only.
     """
     wanted = one_row(steps, F.sort_array(F.collect_set("time_step")).alias("a"))["a"]
-    dense = segments.withColumn("time_step", F.explode(wanted))
+    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dense = segments.repartition(tasks, "segment_id").withColumn("time_step", F.explode(wanted))
     if risks is None:
         dense = dense.withColumn("_risk", F.lit(0.0))
     else:

@@ -433,13 +433,21 @@ oracle("published_timeline", "fused", sql="""
   SELECT time_step, count(*) AS rows, max(final_segment_risk) AS top_risk FROM fused GROUP BY time_step""")
 oracle("decimate", "sampled", sql="SELECT worker_id, time_step, pose_x, pose_y FROM sampled")
 oracle("point_decimation", "numbered_cloud", sql="SELECT point_idx, x, y, z FROM numbered_cloud WHERE point_idx % 500 = 0")
-oracle("window_sample", sql="""
-  WITH n AS (SELECT count(*) AS total, CAST(count(*) // 4 AS BIGINT) AS take FROM events),
-  p AS (SELECT *, CAST(greatest(1, ceil(take / least(100, take))) AS BIGINT) AS per FROM n),
-  w AS (SELECT CAST(i AS BIGINT) AS i, CAST(round_even(i * greatest(0, total - per) / greatest(1, wins - 1), 0) AS BIGINT) AS first, per, take
-        FROM (SELECT *, CAST(ceil(take / per) AS BIGINT) AS wins FROM p), range(100) r(i) WHERE i < wins)
-  SELECT i * per + event_id - first AS sample_idx, event_id AS point_idx, value AS x
-  FROM w JOIN events ON event_id >= first AND event_id < first + per AND i * per + event_id - first < take""")
+view("sample_plan", sql="""
+  SELECT *, CAST(ceil(take / per) AS BIGINT) AS wins
+  FROM (SELECT *, CAST(greatest(1, ceil(take / least(100, take))) AS BIGINT) AS per
+        FROM (SELECT count(*) AS total, CAST(count(*) // 4 AS BIGINT) AS take FROM events))""")
+view("sample_windows", "sample_plan", sql="""
+  SELECT CAST(i AS BIGINT) AS i, per, take,
+    CAST(round_even(i * greatest(0, total - per) / greatest(1, wins - 1), 0) AS BIGINT) AS first
+  FROM sample_plan, range(100) r(i) WHERE i < wins""")
+view("sample", "sample_windows", "numbered_cloud", sql="""
+  SELECT i * per + point_idx - first AS sample_idx, point_idx, x, y, z FROM sample_windows JOIN numbered_cloud
+  ON point_idx >= first AND point_idx < first + per AND i * per + point_idx - first < take""")
+oracle("window_sample", "sample", sql="SELECT sample_idx, point_idx, x FROM sample")
+oracle("sample_bounds", "sample", sql="""
+  SELECT count(*) AS sampled_point_count, rnd(min(x), 6) AS min_x, rnd(min(y), 6) AS min_y, rnd(min(z), 6) AS min_z,
+         rnd(max(x), 6) AS max_x, rnd(max(y), 6) AS max_y, rnd(max(z), 6) AS max_z FROM sample""")
 oracle("point_limit", "numbered_cloud", sql="""
   SELECT point_idx, rnd(x, 2) AS x, rnd(y, 2) AS y, rnd(z, 2) AS z FROM numbered_cloud WHERE point_idx < 5000""")
 oracle("point_bounds", "cloud", sql="""

@@ -13,7 +13,7 @@ from adit import schemas
 from adit.functions import scores, text
 from adit.operators import anomaly, events, fusion, gas, geometry, graph, nearest, reliability, routing
 from adit.operators import sampling, segments, steps, workers
-from adit.plans import testtables
+from adit.plans import jobs, testtables
 from adit.plans.pipeline import Pipeline
 from adit.sources import files, las, tables
 from adit.workspace import materialize, new_path
@@ -32,11 +32,6 @@ def stages(spark: SparkSession, sf_dir: str) -> Pipeline:
     return _pipelines[key]
 
 
-def forget_stages() -> None:
-    """Make the next query compute its stages again (used for timing)."""
-    _pipelines.clear()
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: scores.exact_round(F.col(c), digits) for c, t in df.dtypes if t == "double"})
 
@@ -246,6 +241,19 @@ def q_point_bounds(spark, sf):
     return rounded(sampling.point_bounds(testtables.cloud(spark, sf)))
 
 
+def q_sample_bounds(spark, sf):
+    points = testtables.numbered_cloud(spark, sf)
+    total = points.count()
+    sample = sampling.window_sample(points, total, total // 4)
+    return rounded(jobs.sample_summary(sample, total, total // 4).drop("sampling_method", "target_point_count"))
+
+
+def q_large_files(spark, sf):
+    """The ten largest tables of the folder."""
+    listing = files.list_files(spark, sf)
+    return files.large_files(listing, k=10, at_least=0).select("size_bytes", "size", "extension")
+
+
 # Features
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from adit import schemas
 from adit.operators import segments
 from adit.operators.sampling import window_ranges
+from adit.plans import jobs
 from adit.sources import files, las, tables
 
 
@@ -134,3 +135,21 @@ def test_inventory(spark, tmp_path):
     )
     got = {r.key: (r.exists, r.size) for r in files.expected_status(expected, listing).collect()}
     assert got == {"a": (True, "1 B"), "b": (True, None), "c": (False, None), "d": (False, None)}
+
+
+def test_sample_job_reads_windows_and_reports_bounds(spark, tmp_path):
+    make_las(tmp_path / "a.las", 1000)
+    out = str(tmp_path / "sample")
+    got = jobs.sample_point_file(spark, str(tmp_path / "a.las"), 250, out).first()
+    assert got.sampled_point_count == 250 and got.sampling_method.endswith("84_windows_3_records_each")
+    assert (got.min_x, got.max_z) == (100.0, 996.0)  # the last window is cut to one record
+    assert tables.read_points(spark, out).count() == 250
+
+
+def test_inventory_job(spark, tmp_path):
+    make_las(tmp_path / "a.las", 5)
+    (tmp_path / "b.md").write_text("x")
+    expected = spark.createDataFrame([("a", "Scan", None)], "key string, label string, path string")
+    found = jobs.inventory(spark, [str(tmp_path)], expected)
+    assert found.listing.count() == 1 and found.large_files.count() == 0
+    assert found.headers.first().header.point_count == 5 and found.expected.first().exists is False
