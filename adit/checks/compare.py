@@ -1,4 +1,4 @@
-"""Run registered queries against their SQL twins: ``python -m checks.compare [sf] [names...]``."""
+"""Run registered queries against their SQL twins: ``python -m adit.checks.compare [sf] [names...]``."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import time
 import duckdb
 from pyspark.sql import SparkSession
 
-from checks.oracles import ORACLES
-from checks.queries import registered
+from adit.checks.oracles import ORACLES
+from adit.checks.queries import registered
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"

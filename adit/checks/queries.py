@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from adit import schemas
 from adit.functions import scores, text
 from adit.operators import anomaly, events, fusion, gas, geometry, graph, nearest, reliability, routing
-from adit.operators import sampling, segments, steps, workers
+from adit.operators import sampling, segments, steps
 from adit.plans import jobs, testtables
 from adit.plans.pipeline import Pipeline
 from adit.sources import files, las, tables

@@ -44,7 +44,8 @@ def gas_timeline(means: DataFrame, sensors: DataFrame, stride: int, steps: int)
     into every sampled row holds that many entries.
     """
     norm = normaliser(means).select("normaliser").scalar()
-    every = one_row(sensors, F.sort_array(F.collect_list(F.struct("sensor_id", "segment_id", "placement_reason"))).alias("a"))
+    sensor = F.struct("sensor_id", "segment_id", "placement_reason")
+    every = one_row(sensors, F.sort_array(F.collect_list(sensor)).alias("a"))
     rows = (
         decimate(means, stride, steps)
         .withColumn("_risk", ratio_score(F.col("methane"), norm))

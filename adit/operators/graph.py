@@ -20,17 +20,19 @@ from adit.workspace import materialize, materialize_counted, one_row
 FOLD_LEVELS = 4
 
 
+def both_ways() -> Column:
+    """A segment in its two directions: (way, src, dst), way 1 is backwards."""
+    ways = ((0, "from_node", "to_node"), (1, "to_node", "from_node"))
+    return F.explode(
+        F.array(*[F.struct(F.lit(w).alias("way"), F.col(s).alias("src"), F.col(d).alias("dst")) for w, s, d in ways])
+    )
+
+
 def adjacency(segments: DataFrame, blocked_segment: str | None = None) -> DataFrame:
     """Both directions of every segment, optionally without one segment."""
     kept = segments if blocked_segment is None else segments.where(F.col("segment_id") != blocked_segment)
     length = F.when(F.col("length").isNull() | (F.col("length") == 0), F.lit(1.0)).otherwise(F.col("length"))
-    ends = F.explode(
-        F.array(
-            F.struct(F.col("from_node").alias("src"), F.col("to_node").alias("dst")),
-            F.struct(F.col("to_node").alias("src"), F.col("from_node").alias("dst")),
-        )
-    )
-    return kept.select("seg_no", "segment_id", length.alias("length"), ends.alias("_e")).select(
+    return kept.select("seg_no", "segment_id", length.alias("length"), both_ways().alias("_e")).select(
         "_e.src", "_e.dst", "seg_no", "segment_id", "length"
     )
 
@@ -122,13 +124,8 @@ def chains(segments: DataFrame, keep: str) -> DataFrame:
         .select(F.col("node_id").alias("dst"), F.lit(True).alias("_inner"))
     )
     # An arc is a segment in one direction: 2 * seg_no, or that plus 1 backwards.
-    ways = F.explode(
-        F.array(
-            F.struct((F.col("seg_no") * 2).alias("arc"), F.col("from_node").alias("src"), F.col("to_node").alias("dst")),
-            F.struct((F.col("seg_no") * 2 + 1).alias("arc"), F.col("to_node").alias("src"), F.col("from_node").alias("dst")),
-        )
-    )
-    arcs = segments.select("seg_no", ways.alias("_w")).select("seg_no", "_w.*").join(inner, "dst", "left")
+    ways = segments.select("seg_no", both_ways().alias("_w")).select("seg_no", "_w.*")
+    arcs = ways.withColumn("arc", F.col("seg_no") * 2 + F.col("way")).join(inner, "dst", "left")
     onward = arcs.select(F.col("src").alias("_at"), F.col("arc").alias("next"), F.col("seg_no").alias("_seg"))
     on = (F.col("dst") == F.col("_at")) & (F.col("seg_no") != F.col("_seg")) & F.col("_inner")
     pending = F.col("next").isNotNull()
@@ -162,7 +159,9 @@ def chains(segments: DataFrame, keep: str) -> DataFrame:
             pending,
         )
     ended = state.where(~pending)
-    ahead = ended.select(F.shiftright("arc", 1).alias("seg_no"), (F.col("arc") % 2).alias("_way"), "steps", "last", "end")
+    ahead = ended.select(
+        F.shiftright("arc", 1).alias("seg_no"), (F.col("arc") % 2).alias("_way"), "steps", "last", "end"
+    )
     forward = ahead.where("_way = 0").select("seg_no", F.struct("last", F.col("end"), "steps").alias("_f"))
     backward = ahead.where("_way = 1").select("seg_no", F.struct("last", F.col("end"), "steps").alias("_b"))
     low, high = F.least("_f", "_b"), F.greatest("_f", "_b")

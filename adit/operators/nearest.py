@@ -86,10 +86,11 @@ def nearest_segment(positions: DataFrame, centres: DataFrame, axes=("x", "y", "z
         ).select("pos_id", *axes, F.col("_k.cell").alias("_cell"))
     leaf = keyed.select(F.col(f"_k{levels}").alias("_cell"), *[F.col(a).alias(f"_{a}") for a in axes], "_s")
     gap = F.sqrt(_sum((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes))
+    found = F.struct(gap.alias("d"), F.col("_s.seg_no").alias("n"), F.col("_s.segment_id").alias("s"))
     won = (
         at.join(leaf, "_cell")
         .groupBy("pos_id")
-        .agg(F.min(F.struct(gap.alias("d"), F.col("_s.seg_no").alias("n"), F.col("_s.segment_id").alias("s"))).alias("_w"))
+        .agg(F.min(found).alias("_w"))
         .select("pos_id", F.col("_w.s").alias("segment_id"), F.col("_w.d").alias("distance"))
     )
     return positions.join(won, "pos_id", "left")

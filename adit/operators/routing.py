@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adit.functions.scores import edge_weight, exact_round
-from adit.operators.graph import adjacency, exit_roots, hop_tree, walk
+from adit.operators.graph import adjacency, both_ways, exit_roots, hop_tree, walk
 from adit.workspace import materialize, materialize_counted, one_row
 
 COST_POLICY = "length + final_risk_score * 0.20"
@@ -40,16 +40,8 @@ def risk_edges(segments: DataFrame, risks: DataFrame | None, steps: DataFrame) -
             "time_step", "segment_id", F.col("final_risk_score").alias("_risk")
         )
         dense = dense.join(known, ["time_step", "segment_id"], "left")
-    weighted = dense.select(
-        "time_step", "seg_no", "segment_id", "from_node", "to_node", edge_weight(F.col("length"), F.col("_risk")).alias("weight")
-    )
-    ends = F.explode(
-        F.array(
-            F.struct(F.col("from_node").alias("src"), F.col("to_node").alias("dst")),
-            F.struct(F.col("to_node").alias("src"), F.col("from_node").alias("dst")),
-        )
-    )
-    return weighted.select("time_step", "seg_no", "segment_id", "weight", ends.alias("_e")).select(
+    weight = edge_weight(F.col("length"), F.col("_risk"))
+    return dense.select("time_step", "seg_no", "segment_id", weight.alias("weight"), both_ways().alias("_e")).select(
         "time_step", "_e.src", "_e.dst", "seg_no", "segment_id", "weight"
     )
 
@@ -161,7 +153,9 @@ def detour_trees(edges: DataFrame, base: DataFrame, cuts: DataFrame) -> DataFram
         .withColumn("_inside", F.coalesce("_inside", F.lit(False))),
         "detours",
     )
-    untouched = base.select("time_step", F.col("node").alias("dst"), F.col("cost").alias("_c"), F.col("hops").alias("_h"))
+    untouched = base.select(
+        "time_step", F.col("node").alias("dst"), F.col("cost").alias("_c"), F.col("hops").alias("_h")
+    )
     rim = materialize(
         links.where(~F.col("_inside"))
         .join(untouched, ["time_step", "dst"])
@@ -172,7 +166,9 @@ def detour_trees(edges: DataFrame, base: DataFrame, cuts: DataFrame) -> DataFram
     seeds = rim.groupBy(*keys, "node").agg(F.min(entry).alias("_e")).select(*keys, "node", "_e.cost", "_e.hops")
     within = links.where("_inside").drop("_inside")
     costs = settle(seeds, within, keys)
-    around = rim.select(*keys, F.col("dst").alias("node"), F.col("_c").alias("cost"), F.col("_h").alias("hops")).distinct()
+    around = rim.select(
+        *keys, F.col("dst").alias("node"), F.col("_c").alias("cost"), F.col("_h").alias("hops")
+    ).distinct()
     every = within.unionByName(rim.drop("_c", "_h"))
     return materialize(with_parents(costs, every, costs.unionByName(around), keys), "detour-tree")
 
@@ -188,7 +184,8 @@ def best_routes(edges: DataFrame, base: DataFrame, starts: DataFrame) -> DataFra
     def along_base(places: DataFrame) -> DataFrame:
         # Starts at one node share a walk.
         asked = places.select("time_step", "node").distinct()
-        keyed = asked.select(F.struct("time_step", "node").alias("request_id"), F.col("time_step").alias("scenario"), "node")
+        place = F.struct("time_step", "node").alias("request_id")
+        keyed = asked.select(place, F.col("time_step").alias("scenario"), "node")
         routes = walk(keyed, base.withColumnRenamed("time_step", "scenario"))
         return materialize(routes.select("request_id.*", *columns), "base-routes")
 
@@ -287,7 +284,9 @@ def emergency_routes(
     ``requests``: request_id, time_step, start_segment, blocked_segment (null
     for none), ids already canonical, as in ``segments`` and ``risks``.
     """
-    ends = segments.select(F.col("segment_id").alias("start_segment"), "from_node", "to_node", F.lit(True).alias("_known"))
+    ends = segments.select(
+        F.col("segment_id").alias("start_segment"), "from_node", "to_node", F.lit(True).alias("_known")
+    )
     asked = materialize(
         risk_step(requests, risks)
         .withColumn("_block", F.coalesce("blocked_segment", F.lit(NO_BLOCK)))

@@ -84,6 +84,11 @@ def parse_header(raw: bytes, path: str) -> dict:
     }
 
 
+def record_type(length: int) -> np.dtype:
+    """A record whose first 12 bytes are the three coordinates."""
+    return np.dtype({"names": ["p"], "formats": ["(3,)<i4"], "offsets": [0], "itemsize": length})
+
+
 def read_header(path: str) -> dict:
     filesystem, inner = open_fs(path)
     with filesystem.open_input_file(inner) as handle:
@@ -145,7 +150,7 @@ class LasReader(DataSourceReader):
 
     def read(self, part: RecordRange):
         header, length = part.header, part.header["record_length"]
-        record = np.dtype({"names": ["p"], "formats": ["(3,)<i4"], "offsets": [0], "itemsize": length})
+        record = record_type(length)
         filesystem, inner = open_fs(part.path)
         with filesystem.open_input_file(inner) as handle:
             for start in range(part.start, part.end, READ_RECORDS):
@@ -189,7 +194,7 @@ class LasWriter(DataSourceArrowWriter):
             return WrittenFile(None)
         points = np.concatenate(chunks)
         grid = np.rint(points / self.scale).astype("<i4")
-        body = np.zeros(len(grid), np.dtype({"names": ["p"], "formats": ["(3,)<i4"], "offsets": [0], "itemsize": self.RECORD_LENGTH}))
+        body = np.zeros(len(grid), record_type(self.RECORD_LENGTH))
         body["p"] = grid
         back = grid * self.scale
         header = bytearray(HEADER_MIN_BYTES)
@@ -298,7 +303,8 @@ def header_summary(files: DataFrame, header_schema: str) -> DataFrame:
     """One row per ``.las`` file of a listing (path, size, extension)."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     paths = files.where("extension = '.las'").select("path", "size").repartition("path")
-    return paths.mapInPandas(header_rows, f"path string, size string, header struct<{struct_fields(header_schema)}>, error string")
+    header = f"header struct<{struct_fields(header_schema)}>"
+    return paths.mapInPandas(header_rows, f"path string, size string, {header}, error string")
 
 
 def struct_fields(schema: str) -> str:

@@ -14,7 +14,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from checks.queries import registered
+from adit.checks.queries import registered
 
 HEADLINES = (
     "zscore",

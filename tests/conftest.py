@@ -8,6 +8,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from checks.compare import session
+    from adit.checks.compare import session
 
     return session()

@@ -4,9 +4,9 @@ import os
 
 import pytest
 
-from checks import compare
-from checks.oracles import ORACLES
-from checks.queries import registered
+from adit.checks import compare
+from adit.checks.oracles import ORACLES
+from adit.checks.queries import registered
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not there")
