@@ -2,56 +2,68 @@
 
 Loops and range-partitioned indexes need their intermediate result pinned:
 it must be computed once, survive a lost executor and carry real size
-statistics for the next plan. All of that holds for a Parquet table in the
-folder that ``spark.checkpoint.dir`` names.
+statistics for the next plan. All of that holds for a Parquet table in a
+folder that driver and executors share: the one ``spark.checkpoint.dir`` names,
+else one below the warehouse.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_local_dirs: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Root folder for this application's intermediate tables."""
-    app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_dirs.get(app)
-        if root is None:
-            root = _local_dirs[app] = tempfile.mkdtemp(prefix="adit-")
-    return f"{root.rstrip('/')}/adit-{app}"
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return f"{root.rstrip('/')}/adit-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, inside: str | None = None) -> DataFrame:
     """Write ``df`` once and continue from the written table."""
-    return materialize_counted(df, name)[0]
+    return materialize_counted(df, name, inside=inside)[0]
 
 
-def materialize_counted(df: DataFrame, name: str, counting: Column | None = None) -> tuple[DataFrame, int]:
+def materialize_counted(df: DataFrame, name: str, counting: Column | None = None, inside: str | None = None) -> tuple[DataFrame, int]:
     """As :func:`materialize`; also a row count taken while writing.
 
-    ``counting`` restricts the count to rows it holds for.
+    ``counting`` restricts the count to rows it holds for; ``inside`` puts the
+    table below the folder of a :func:`loop_folder`.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = f"{inside}/{name}-{uuid.uuid4().hex}" if inside else new_path(spark, name)
     seen = Observation()
     number = F.count(F.lit(1)) if counting is None else F.count_if(counting)
     df.observe(seen, number.alias("n")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def loop_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """Folder for the tables of one loop, deleted with all of them at the end."""
+    path = new_path(spark, name)
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
 def one_row(df: DataFrame, *cols: Column) -> Column:
     """A one-row aggregate as a struct-valued scalar subquery.
 
