@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adit.llm import bpe, simhash
+from adit.llm import bpe, chat, ctph, langid, simhash
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -23,13 +23,64 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.range(1).select(F.inline(F.expr(f"array(struct(-7L, 0L, 'user', r'{said}'), struct(-7L, 1L, 'assistant', r'{said}'))")))
+    done = chat.format_conversations(turns.union(probe))
+    back, loss = chat.read_back(F.col("formatted")), chat.loss_text(F.col("formatted"), F.col("loss_spans"))
+    read = done.select("conv_id", "formatted", back.alias("back"), loss.alias("loss"))
+    joined = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(joined, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.edit_trial(table(spark, sf_dir, "documents"))
+
+
+def op10_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_automaton": op3_bpe_automaton,
+    "op5_chat_format": op5_chat_format,
     "op8_simhash_balls": op8_simhash_balls,
+    "op9_piecewise_hash": op9_piecewise_hash,
+    "op10_language_svm": op10_language_svm,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_chat_format": r"""
+        WITH raw AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), placed AS (
+            SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before,
+                   length(replace(replace(text, '\', '\\'), '<', '\l')) AS text_chars,
+                   length(replace(replace(role, '\', '\\'), '<', '\l')) AS role_chars
+            FROM raw WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(text_chars + CASE WHEN before IS NOT DISTINCT FROM role THEN length('<part>')
+                   ELSE length('<turn><says></turn>') + role_chars END)::BIGINT AS formatted_chars
+        FROM placed GROUP BY conv_id""",
+}
