@@ -158,7 +158,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     keyed = known.select("lang", "text", F.xxhash64("text").alias("h"))
     rows = keyed.groupBy("lang").agg(F.count("*").alias("n"))
     # A share of each language by hash first, so that no window sorts a whole language.
-    part = (F.pmod("h", F.lit(1 << 20)) + 1) * F.col("n") <= F.lit(4 * per_language) * (1 << 20)
+    part = F.pmod("h", F.lit(1 << 20)) / float(1 << 20) * F.col("n") < 4 * per_language
     order = Window.partitionBy("lang").orderBy("h", "text")
     chosen = keyed.join(rows, "lang").where(part).dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "text")
 

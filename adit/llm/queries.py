@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adit.llm import bpe, chat, ctph, langid, simhash
+from adit.llm import bpe, chat, ctph, langid, simhash, toxicity
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = docs.where(~toxicity.held_out(F.col("doc_id"))).join(labels.select("doc_id", "toxic"), "doc_id").select("text", "toxic")
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.train(learn))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -57,6 +64,7 @@ def op10_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity_channel": op2_toxicity_channel,
     "op3_bpe_automaton": op3_bpe_automaton,
     "op5_chat_format": op5_chat_format,
     "op8_simhash_balls": op8_simhash_balls,
