@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adit.llm import bpe, chat, ctph, langid, simhash, toxicity
+from adit.llm import bpe, chat, ctph, langid, packing, simhash, toxicity
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -48,6 +48,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
+
+
 def op8_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_channel": op2_toxicity_channel,
     "op3_bpe_automaton": op3_bpe_automaton,
     "op5_chat_format": op5_chat_format,
+    "op7_packing_islands": op7_packing_islands,
     "op8_simhash_balls": op8_simhash_balls,
     "op9_piecewise_hash": op9_piecewise_hash,
     "op10_language_svm": op10_language_svm,
