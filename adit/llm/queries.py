@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adit.llm import bpe, chat, ctph, langid, packing, simhash, toxicity
+from adit.llm import bpe, chat, ctph, langid, maxent, packing, simhash, toxicity
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -30,6 +30,12 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = maxent.scores(docs, ~maxent.held_out(F.col("doc_id")))
+    return found.withColumn("held_out", maxent.held_out(F.col("doc_id")))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -70,6 +76,7 @@ def op10_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_channel": op2_toxicity_channel,
     "op3_bpe_automaton": op3_bpe_automaton,
+    "op4_maxent_scores": op4_maxent_scores,
     "op5_chat_format": op5_chat_format,
     "op7_packing_islands": op7_packing_islands,
     "op8_simhash_balls": op8_simhash_balls,
