@@ -36,6 +36,8 @@ ORDERS = (2, 3, 4)
 DIMENSIONS = 1 << 13
 #: Training texts kept per language, those with the smallest hashes.
 PER_LANGUAGE = 400
+#: Languages learned at most, those with most rows.
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -156,11 +158,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     """
     known = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     keyed = known.select("lang", "text", F.xxhash64("text").alias("h"))
-    rows = keyed.groupBy("lang").agg(F.count("*").alias("n"))
+    rows = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     # A share of each language by hash first, so that no window sorts a whole language.
     part = F.pmod("h", F.lit(1 << 20)) / float(1 << 20) * F.col("n") < 4 * per_language
     order = Window.partitionBy("lang").orderBy("h", "text")
-    chosen = keyed.join(rows, "lang").where(part).dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "text")
+    chosen = keyed.join(F.broadcast(rows), "lang").where(part).dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "text")
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
