@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adit.llm import bpe, chat, ctph, langid, maxent, packing, simhash, toxicity
+from adit.llm import bpe, chat, ctph, itq, langid, maxent, packing, simhash, toxicity
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learn = docs.where(~toxicity.held_out(F.col("doc_id"))).join(labels.select("doc_id", "toxic"), "doc_id").select("text", "toxic")
@@ -74,6 +78,7 @@ def op10_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_itq_embeddings": op1_itq_embeddings,
     "op2_toxicity_channel": op2_toxicity_channel,
     "op3_bpe_automaton": op3_bpe_automaton,
     "op4_maxent_scores": op4_maxent_scores,
