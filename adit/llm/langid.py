@@ -215,6 +215,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text gets a language; texts that are null or have no letter go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _ = shared.value.predict([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
     """Whether a document is kept from training."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

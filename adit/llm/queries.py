@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adit.llm import bpe, chat, ctph, itq, langid, maxent, packing, simhash, toxicity
+from adit.llm import attribution, bpe, chat, ctph, itq, langid, maxent, packing, simhash, toxicity
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token across a line end goes to the line with most of it."""
+    return attribution.attribute(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op7_packing_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_automaton": op3_bpe_automaton,
     "op4_maxent_scores": op4_maxent_scores,
     "op5_chat_format": op5_chat_format,
+    "op6_section_tokens": op6_section_tokens,
     "op7_packing_islands": op7_packing_islands,
     "op8_simhash_balls": op8_simhash_balls,
     "op9_piecewise_hash": op9_piecewise_hash,
