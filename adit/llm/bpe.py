@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -29,14 +30,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words remembered by one Python worker; beyond that it starts anew.
-CACHE_WORDS = 300_000
+#: Words of one generation that a Python worker remembers; it keeps two, so frequent words stay.
+CACHE_WORDS = 250_000
 #: Transitions remembered by one Python worker.
 CACHE_ARCS = 1_000_000
 
 # White space of the tokenizer's patterns, which differs from str.split() in U+001C to U+001F.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -142,19 +142,24 @@ class WordBPE:
         self.automaton = Automaton(len(vocab) - len(merges), merges)
         self.inner = {t: i for t, i in vocab.items() if not t.endswith(self.suffix)}
         self.final = {t.removesuffix(self.suffix): i for t, i in vocab.items() if t.endswith(self.suffix)}
-        self.longest: dict[str, int] = {}  # by the first two symbols
+        self.longest: dict[str, int] = {}  # longest token by its first four symbols
         for t in [*self.inner, *self.final]:
-            self.longest[t[:2]] = max(len(t), self.longest.get(t[:2], 1))
+            if len(t) > 3:
+                self.longest[t[:4]] = max(len(t), self.longest.get(t[:4], 4))
         self._bind()
 
     def _bind(self) -> None:
         self.symbols = byte_symbols()
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+        contractions = r"'s|'t|'re|'ve|'m|'ll|'d"
+        self.words = regex.compile(rf"{contractions}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+        # Texts of basic and accented Latin letters, the most, need no normal form and a plain pattern.
+        letters, numbers = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+        self.latin = re.compile(rf"{contractions}|[{letters}]+|[{numbers}]|[^{_SPACE}{letters}{numbers}]+")
+        self.beyond = re.compile(r"[^\x00-\u012f\u0131-\u017f]|<\|")
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
-        self.known: dict[str, list[int]] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("words", "special", "symbols", "known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "latin", "beyond", "special", "symbols")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -173,7 +178,7 @@ class WordBPE:
         dead: set[int] = set()
         at, limit = 0, n
         while at < n:
-            end = min(limit, at + longest.get(word[at : at + 2], 1))
+            end = min(limit, at + longest.get(word[at : at + 4], 3))
             while end > at:
                 token = final.get(word[at:]) if end == n else inner.get(word[at:end])
                 if token is not None and end not in dead and (not tokens or follows(tokens[-1], token)):
@@ -188,51 +193,53 @@ class WordBPE:
                 tokens.pop()
         return tokens
 
-    def chunk(self, chunk: str) -> list[int]:
-        """Tokens of a stretch of text between white space."""
-        out: list[int] = []
-        for part in self.special.split(chunk) if "<|" in chunk else (chunk,):
+    def split(self, text: str) -> list[str]:
+        """Words of a text in normal form; special tokens stand as they are."""
+        if self.beyond.search(text) is None:
+            return self.latin.findall(text.lower())
+        out: list[str] = []
+        for part in self.special.split(text) if "<|" in text else (text,):
             if part in self.specials:
-                out.append(self.specials[part])
+                out.append(part)
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part)
             # Lower case goes character by character: a sigma at the end of a word stays a plain one.
-            part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-            for w in self.words.findall(part):
-                ids = self.known.get(w)
-                if ids is None:
-                    if len(self.known) >= CACHE_WORDS:
-                        self.known.clear()
-                    plain = w.isascii() and w.isprintable()
-                    ids = self.known[w] = self.word(w if plain else "".join([self.symbols[b] for b in w.encode()]))
-                out += ids
+            out += self.words.findall("".join(map(str.lower, part)) if "Σ" in part else part.lower())
         return out
 
-    def chunks(self, text: str) -> list[str]:
-        return text.split(" ") if _SEPARATORS.search(text) else text.split()
+    def ids(self, word: str) -> list[int]:
+        """Tokens of a word as :meth:`split` gives it."""
+        if word in self.specials:
+            return [self.specials[word]]
+        plain = word.isascii() and word.isprintable()
+        return self.word(word if plain else "".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]))
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.chunks(text) for i in self.chunk(c)]
+        return [i for w in self.split(text) for i in self.ids(w)]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.labels[i] for i in ids)
 
     def remembered(self, render: Callable[[list[int]], object]) -> Callable[[str], list]:
-        """Encoder of texts into one rendered value per chunk; chunks met before are looked up."""
-        known: dict[str, object] = {}
-
-        def missed(c: str):
-            if len(known) >= CACHE_WORDS:
-                known.clear()
-            ids = self.chunk(c)
-            value = known[c] = render(ids) if ids else None
+        """Encoder of texts into one rendered value per word; words met before are looked up."""
+        young: dict[str, object] = {}
+        old: dict[str, object] = {}
+
+        def missed(word: str):
+            nonlocal old
+            if len(young) >= CACHE_WORDS:
+                old = young.copy()
+                young.clear()
+            value = old.get(word)
+            if value is None:
+                value = render(self.ids(word))
+            young[word] = value
             return value
 
         def encode(text: str) -> list:
-            get = known.get
-            found = [get(c) or missed(c) for c in self.chunks(text)]
-            return [x for x in found if x] if None in found else found
+            get = young.get
+            return [get(w) or missed(w) for w in self.split(text)]
 
         return encode
 

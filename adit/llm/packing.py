@@ -11,6 +11,7 @@ and their documents dealt to fewer blocks, until one block is left.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = in_worker(("bytes", tokenizer_path), lambda: shared.value.remembered(lambda ids: np.array(ids, "<u4").tobytes()))
+        encode = in_worker(("bytes", tokenizer_path), lambda: shared.value.remembered(lambda ids: struct.pack(f"<{len(ids)}I", *ids)))
         for batch in batches:
             row, piece, start, length, check = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

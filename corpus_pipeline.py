@@ -41,9 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     key = F.coalesce(F.col("doc_id").cast("long"), behind)
     found = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key")
     kept = found.select(F.col("component_id").alias("key")).distinct()
-    own = docs.withColumn("key", key).join(kept, "key", "left_semi")
-    first = Window.partitionBy("key", "h").orderBy("text")
-    return own.withColumn("h", F.xxhash64("text")).withColumn("nth", F.row_number().over(first)).where("nth = 1").select(*docs.columns)
+    own = docs.select(F.struct("*").alias("doc"), key.alias("key"), F.xxhash64("text").alias("h")).join(kept, "key", "left_semi")
+    first = Window.partitionBy("key", "h").orderBy("doc.text")
+    return own.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
