@@ -51,11 +51,20 @@ class Automaton:
 
     def __init__(self, symbols: int, merges: list[tuple[int, int, int]]):
         """``merges`` holds (left, right, result) in rank order; ids below ``symbols`` are basic."""
+        # Results of merges whose pair the merges before them never leave; no text has them.
+        self.unreached: set[int] = set()
         while dead := self._compile(symbols, merges):
-            merges = [m for k, m in enumerate(merges) if k not in dead]
+            self.unreached |= {merges[k][2] for k in dead}
+            live = []
+            for u, v, w in merges:  # parts come before what they make
+                if self.unreached.isdisjoint((u, v, w)):
+                    live.append((u, v, w))
+                else:
+                    self.unreached.add(w)
+            merges = live
 
     def _compile(self, symbols: int, merges: list[tuple[int, int, int]]) -> set[int]:
-        n = max([symbols - 1, *(w for *_, w in merges)]) + 1
+        n = max([symbols - 1, *self.unreached, *(w for *_, w in merges)]) + 1
         self.target = [0] * n
         self.left = [-1] * n
         self.born = [-1] * n
@@ -140,8 +149,9 @@ class WordBPE:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         self.automaton = Automaton(len(vocab) - len(merges), merges)
-        self.inner = {t: i for t, i in vocab.items() if not t.endswith(self.suffix)}
-        self.final = {t.removesuffix(self.suffix): i for t, i in vocab.items() if t.endswith(self.suffix)}
+        reached = {t: i for t, i in vocab.items() if i not in self.automaton.unreached}
+        self.inner = {t: i for t, i in reached.items() if not t.endswith(self.suffix)}
+        self.final = {t.removesuffix(self.suffix): i for t, i in reached.items() if t.endswith(self.suffix)}
         self.longest: dict[str, int] = {}  # longest token by its first four symbols
         for t in [*self.inner, *self.final]:
             if len(t) > 3:

@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 
 from adit.workspace import materialize, materialize_counted
 
-CLASSES = BUCKETS = 32
+CLASSES = BUCKETS = 16
 SLOTS = 1 << 15
 FEATURES = 3
 #: Passes of distributed updates; each takes an equal share of the training texts, together all of them.
 ROUNDS = 2
 RATE = 0.15
-MINIBATCH = 8192
-#: Tokens whose counts are broadcast, those with most; the rest are joined.
-FREQUENT = 400_000
+MINIBATCH = 16384
+#: Tokens whose counts are broadcast at most, those with most occurrences; the rest are joined.
+FREQUENT = 200_000
 GROUP_BYTES = 1 << 20
 BLOCKS = 64
 
@@ -100,7 +100,7 @@ def groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 def classes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & np.uint64(CLASSES - 1)).astype(np.int64), ((h >> np.uint64(5)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return (h & np.uint64(CLASSES - 1)).astype(np.int64), ((h >> np.uint64(4)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def contexts(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -125,9 +125,9 @@ def _probabilities(bias: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.nd
     z = bias + table[at[:, 0]]
     for k in range(1, FEATURES):
         z += table[at[:, k]]
-    z -= z.max(axis=1, keepdims=True)
+    np.minimum(z, 60, out=z)  # far beyond what weights add up to
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
@@ -258,6 +258,24 @@ def _updates(docs: DataFrame, weights: Weights, text: str) -> np.ndarray:
     return (weights.table + change.reshape(shape)).astype(np.float32)
 
 
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and log10(count + 1) of at most ``FREQUENT`` tokens with the largest counts."""
+    level = F.floor(F.log2("n") * 8)
+    sizes = sorted(((r["level"], r["tokens"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("tokens")).collect()), reverse=True)
+    total, least = 0, None
+    for at, tokens_ in sizes:
+        total += tokens_
+        if total > FREQUENT:
+            break
+        least = at
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    top = counts.where(level >= least).select("h", "n").toArrow()
+    h = top["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.log10(top["n"].to_numpy()[order] + 1.0)
+
+
 def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score all whole texts by a model of those where ``learn`` holds.
 
@@ -272,7 +290,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     train = docs.where(learn)
     counts = materialize(count_tokens(train, text_col), "maxent-counts")
-    in_class, in_bucket = F.col("h").bitwiseAND(CLASSES - 1), F.shiftright("h", 5).bitwiseAND(BUCKETS - 1)
+    in_class, in_bucket = F.col("h").bitwiseAND(CLASSES - 1), F.shiftright("h", 4).bitwiseAND(BUCKETS - 1)
     totals = counts.groupBy(in_class.alias("c"), in_bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     mass = np.ones((CLASSES, BUCKETS))
     for r in totals:
@@ -287,10 +305,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     share = F.pmod(F.xxhash64(text_col), F.lit(ROUNDS))
     for k in range(ROUNDS):
         weights.table = _updates(train.where(F.coalesce(share, F.lit(0)) == k), weights, text_col)
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
-    frequent = top["h"].to_numpy(np.int64).view(np.uint64)[order]
-    logs = np.log10(top["n"].to_numpy(np.float64)[order] + 1)
+    frequent, logs = _frequent(counts)
     shared = spark.sparkContext.broadcast((weights, frequent, logs, np.log10(mass)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
