@@ -37,8 +37,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node for every node of ``edges`` (columns a, b).
 
-    Returns (node, component), one row per node that has an edge to another
-    node. Alternates two steps until nothing changes: every node hands the
+    Returns (node, component), one row per node of a component but its
+    smallest. Alternates two steps until nothing changes: every node hands the
     smallest of its neighbours and itself to its larger neighbours, then to its
     smaller ones. Each round is a written table; the number of rounds follows
     the logarithm of the longest path. Minima are taken with partial

@@ -74,7 +74,7 @@ def _fingerprints(raws: list[bytes]) -> list[str]:
     blocks = [block_size(int(k)) for k in lengths]
     wide = data.astype(np.uint32)
     roll = np.zeros(n, np.uint32)
-    for back in range(WINDOW):
+    for back in range(min(WINDOW, n)):
         roll[back:] += wide[: n - back] * np.uint32(pow(0x01000193, back + 1, 2**32))
     roll ^= roll >> np.uint32(15)
     roll *= np.uint32(0x2C1B3C6D)
