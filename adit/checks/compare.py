@@ -61,10 +61,10 @@ def rows_of(columns, rows):
 
 def differences(spark, con, name, sf_dir) -> str | None:
     """None when both sides agree, else what differs."""
+    if name not in ORACLES:
+        return "no SQL counterpart"
     df = registered()[name](spark, sf_dir)
     got = df.collect()
-    if name not in ORACLES:
-        return None if got else "no rows"
     result = con.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     want = result.fetchall()

@@ -129,7 +129,8 @@ view("tracks", sql="""
     CAST(floor(value / 5) AS DOUBLE) AS pose_x, floor(CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 50) AS pose_y,
     CAST(0 AS DOUBLE) AS pose_z, value / 15 AS acc_x, CAST(0 AS DOUBLE) AS acc_y, CAST(1 AS DOUBLE) AS acc_z FROM events""")
 view("sampled", "tracks", sql="""
-  SELECT CAST(row_idx // 2 AS INTEGER) AS time_step, * FROM tracks WHERE row_idx % 2 = 0 AND row_idx < 180""")
+  SELECT CAST(row_idx // step_rows AS INTEGER) AS time_step, * FROM tracks,
+    (SELECT CAST(ceil((max(row_idx) + 1) / 90.0) AS BIGINT) AS step_rows FROM tracks) WHERE row_idx % step_rows = 0""")
 view("moves", "sampled", "segments", sql="""
   SELECT *, lag(pose_x) OVER w AS px, lag(pose_y) OVER w AS py, sqrt(acc_x * acc_x + acc_y * acc_y + acc_z * acc_z) AS acc,
     (SELECT min(pose_x) FROM sampled) AS lo, (SELECT max(pose_x) FROM sampled) AS hi, (SELECT count(*) FROM segments) AS n
@@ -139,7 +140,8 @@ view("workers", "moves", "segments", sql="""
     CASE WHEN px IS NULL THEN 'moving' WHEN acc > 18.0 THEN 'possible_fall'
          WHEN sqrt((px - pose_x) * (px - pose_x) + (py - pose_y) * (py - pose_y)) < 0.01 THEN 'still'
          WHEN sqrt((px - pose_x) * (px - pose_x) + (py - pose_y) * (py - pose_y)) > 1.5 THEN 'fast_motion'
-         ELSE 'moving' END AS motion_status
+         ELSE 'moving' END AS motion_status,
+    'first_of_every_' || CAST(step_rows AS VARCHAR) || '_rows' AS source_row_policy
   FROM moves JOIN segments
     ON seg_no = least(n - 1, greatest(0, CAST(trunc((pose_x - lo) / greatest(hi - lo, 1e-9) * n) AS BIGINT))) + 1""")
 
@@ -156,9 +158,10 @@ view("gas_norm", "methane", sql="""
   SELECT quantile_cont(methane, 0.99) AS p99, max(methane) AS max_value,
     coalesce(nullif(quantile_cont(methane, 0.99), 0), max(methane), 1.0) AS normaliser FROM methane""")
 view("gas_raw", "methane", "gas_norm", "sensors", sql="""
-  SELECT CAST(row_idx // 8 AS INTEGER) AS time_step, sensor_id, segment_id, methane, placement_reason,
+  SELECT CAST(row_idx // step_rows AS INTEGER) AS time_step, sensor_id, segment_id, methane, placement_reason,
     greatest(0.0, least(100.0, methane / normaliser * 100.0)) AS risk
-  FROM methane, gas_norm, sensors WHERE row_idx % 8 = 0 AND row_idx < 720""")
+  FROM methane, gas_norm, sensors, (SELECT CAST(ceil((max(row_idx) + 1) / 90.0) AS BIGINT) AS step_rows FROM methane)
+  WHERE row_idx % step_rows = 0""")
 view("gas", "gas_raw", sql="""
   SELECT time_step, sensor_id, segment_id, rnd(methane, 6) AS methane_value, rnd(risk, 3) AS methane_risk_score,
     CASE WHEN risk >= 80 THEN 'critical' WHEN risk >= 60 THEN 'high' WHEN risk >= 30 THEN 'medium' ELSE 'normal' END AS status,
@@ -212,11 +215,11 @@ view("open_reach", "arcs", sql="""
 
 def hop_views(prefix: str, blocked: str, *deps: str) -> None:
     """Distances from the exit without one segment, next nodes and routes."""
-    view(f"{prefix}_walks", "arcs", *deps, sql=f"""
+    view(f"{prefix}_walks", "arcs", "node_set", *deps, sql=f"""
       SELECT '0' AS node, 0 AS d
       UNION
       SELECT a.dst, w.d + 1 FROM {prefix}_walks w JOIN arcs a ON a.src = w.node
-      WHERE a.segment_id <> {blocked} AND w.d < 40""")
+      WHERE a.segment_id <> {blocked} AND w.d < (SELECT count(*) FROM node_set)""")
     view(f"{prefix}_dist", f"{prefix}_walks", sql=f"SELECT node, min(d) AS d FROM {prefix}_walks GROUP BY node")
     view(f"{prefix}_next", f"{prefix}_dist", "arcs", *deps, sql=f"""
       SELECT a.node, min(x.dst) AS nxt FROM {prefix}_dist a JOIN arcs x ON x.src = a.node
@@ -263,6 +266,7 @@ view("fused", "grid", sql=f"""
     rnd(adjusted, 3) AS methane_risk_score, rnd(methane, 3) AS raw_methane_risk_score, rnd(rel, 3) AS sensor_reliability_score,
     exposure AS worker_exposure_score, rnd(final, 3) AS final_segment_risk, {level('final')} AS risk_level,
     people AS active_worker_ids, sensors AS active_sensor_ids,
+    printf('LiDAR geometry risk %.1f', shape) AS lidar_reason, printf('Graph blocking risk %.1f', graph) AS graph_reason,
     printf('Methane risk %.1f, confidence-adjusted %.1f', methane, adjusted) AS gas_reason,
     CASE WHEN exposure > 0 THEN 'worker is inside this segment' ELSE 'no active worker exposure' END AS worker_reason
   FROM (SELECT *, 0.35 * shape + 0.25 * graph + 0.25 * adjusted + 0.15 * exposure AS final FROM grid)""")
@@ -331,14 +335,14 @@ def cost_views(prefix: str, situations: str, *deps: str) -> None:
       WHERE w.seg <> s.blocked_segment
       UNION ALL
       SELECT time_step, blocked_segment, node_id, node_id, 0, '', 0.0, 0 FROM {situations} CROSS JOIN node_set""")
-    view(f"{prefix}_rounds", f"{prefix}_moves", sql=f"""
+    view(f"{prefix}_rounds", f"{prefix}_moves", "node_set", sql=f"""
       SELECT 0 AS k, time_step, blocked_segment, '0' AS node, {{'c': CAST(0.0 AS DOUBLE), 'h': 0}} AS best FROM {situations}
       UNION ALL
       SELECT k + 1, r.time_step, r.blocked_segment, m.dst, min({{'c': r.best.c + m.w, 'h': r.best.h + m.h}})
       FROM {prefix}_rounds r JOIN {prefix}_moves m ON m.time_step = r.time_step AND m.blocked_segment = r.blocked_segment AND m.src = r.node
-      WHERE k < 30 GROUP BY k, r.time_step, r.blocked_segment, m.dst""")
-    view(f"{prefix}_costs", f"{prefix}_rounds", sql=f"""
-      SELECT time_step, blocked_segment, node, best.c AS cost, best.h AS hops FROM {prefix}_rounds WHERE k = 30""")
+      WHERE k < (SELECT count(*) FROM node_set) GROUP BY k, r.time_step, r.blocked_segment, m.dst""")
+    view(f"{prefix}_costs", f"{prefix}_rounds", "node_set", sql=f"""
+      SELECT time_step, blocked_segment, node, best.c AS cost, best.h AS hops FROM {prefix}_rounds WHERE k = (SELECT count(*) FROM node_set)""")
     view(f"{prefix}_parents", f"{prefix}_costs", f"{prefix}_moves", sql=f"""
       SELECT a.time_step, a.blocked_segment, a.node, a.cost, a.hops, min({{'n': m.dst, 's': m.seg_no, 'g': m.seg, 'w': m.w}}) AS up
       FROM {prefix}_costs a LEFT JOIN ({prefix}_moves m JOIN {prefix}_costs b
@@ -417,8 +421,21 @@ oracle("time_step_filter", "workers", sql="""
   SELECT 3 AS asked, time_step, worker_id, mapped_segment_id FROM workers WHERE time_step = 3
   UNION ALL
   SELECT 100000, time_step, worker_id, mapped_segment_id FROM workers WHERE time_step = (SELECT min(time_step) FROM workers)""")
-oracle("csv_source", "segments", sql="SELECT from_node, to_node, length, notes, is_chokepoint FROM segments")
+oracle("csv_source", "segments", sql="SELECT seg_no, from_node, to_node, length, notes, is_chokepoint FROM segments")
 oracle("json_source", "segments", sql="SELECT seg_no, segment_id, from_node, to_node, length, notes, is_chokepoint FROM segments")
+oracle("json_document", "sensors", sql="SELECT * FROM sensors")
+oracle("las_numbering", sql="""
+  SELECT CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, count(*) AS numbers FROM lineitem""")
+view("batch_bytes", "drift", sql="SELECT file_name, CAST(sum(strlen(line) + 1) AS BIGINT) AS b FROM drift GROUP BY file_name")
+oracle("inventory", "batch_bytes", sql="""
+  SELECT '.txt' AS extension, count(*) AS files, CAST(sum(b) AS BIGINT) AS bytes FROM batch_bytes""")
+oracle("expected_sources", "batch_bytes", sql="""
+  SELECT file_name AS key, 'batch' AS label, true AS exists FROM batch_bytes
+  UNION ALL SELECT file_name || '.gone', 'batch', false FROM batch_bytes""")
+oracle("large_files", "batch_bytes", sql="""
+  SELECT b AS size_bytes, CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b / 1024 < 1024 THEN printf('%.1f KB', b / 1024)
+    WHEN b / 1048576 < 1024 THEN printf('%.1f MB', b / 1048576) WHEN b / 1073741824 < 1024 THEN printf('%.1f GB', b / 1073741824)
+    ELSE printf('%.1f TB', b / 1099511627776) END AS size, '.txt' AS extension FROM batch_bytes ORDER BY b DESC LIMIT 3""")
 oracle("drift_text_source", "drift_parsed", sql="""
   SELECT file_name, class, count(*) AS rows, count(concentration) AS parsed FROM drift_parsed GROUP BY file_name, class""")
 oracle("las_scan", sql="""
@@ -430,7 +447,8 @@ oracle("stored_points", "numbered_cloud", sql="""
   SELECT point_idx, rnd(CAST(CAST(x AS FLOAT) AS DOUBLE), 2) AS x, rnd(CAST(CAST(y AS FLOAT) AS DOUBLE), 2) AS y,
     rnd(CAST(CAST(z AS FLOAT) AS DOUBLE), 2) AS z FROM numbered_cloud""")
 oracle("published_timeline", "fused", sql="""
-  SELECT time_step, count(*) AS rows, max(final_segment_risk) AS top_risk FROM fused GROUP BY time_step""")
+  SELECT zone, time_step, count(*) AS rows, max(final_segment_risk) AS top_risk
+  FROM fused, (VALUES ('ready'), ('served')) z(zone) GROUP BY zone, time_step""")
 oracle("decimate", "sampled", sql="SELECT worker_id, time_step, pose_x, pose_y FROM sampled")
 oracle("point_decimation", "numbered_cloud", sql="SELECT point_idx, x, y, z FROM numbered_cloud WHERE point_idx % 500 = 0")
 view("sample_plan", sql="""
@@ -444,6 +462,9 @@ view("sample_windows", "sample_plan", sql="""
 view("sample", "sample_windows", "numbered_cloud", sql="""
   SELECT i * per + point_idx - first AS sample_idx, point_idx, x, y, z FROM sample_windows JOIN numbered_cloud
   ON point_idx >= first AND point_idx < first + per AND i * per + point_idx - first < take""")
+oracle("las_window_sample", "sample", sql="""
+  SELECT point_idx, rnd(round_even(x / 0.01, 0) * 0.01, 2) AS x, rnd(round_even(y / 0.01, 0) * 0.01, 2) AS y,
+    rnd(round_even(z / 0.01, 0) * 0.01, 2) AS z FROM sample""")
 oracle("window_sample", "sample", sql="SELECT sample_idx, point_idx, x FROM sample")
 oracle("sample_bounds", "sample", sql="""
   SELECT count(*) AS sampled_point_count, rnd(min(x), 6) AS min_x, rnd(min(y), 6) AS min_y, rnd(min(z), 6) AS min_z,
@@ -533,7 +554,7 @@ oracle("view_workers", "workers", sql=f"""
 oracle("view_risks", "fused", sql=f"""
   SELECT time_step, {short('segment_id')} AS segment_id, lower(risk_level) AS risk_level, final_segment_risk AS final_risk_score,
     lidar_geometry_risk AS geometry_risk, methane_risk_score AS environmental_risk, worker_exposure_score AS worker_exposure_risk,
-    graph_risk_score AS route_blockage_risk, 4 AS reason_count FROM fused WHERE time_step = 6""")
+    graph_risk_score AS route_blockage_risk, concat_ws('; ', lidar_reason, graph_reason, gas_reason, worker_reason) AS reasons FROM fused WHERE time_step = 6""")
 oracle("view_gas", "gas", sql=f"SELECT * REPLACE ({short('segment_id')} AS segment_id) FROM gas WHERE time_step = 6")
 oracle("view_collapse", "scenario", sql=f"""
   SELECT worker_id, {short('worker_segment')} AS worker_segment, {short('blocked_segment')} AS blocked_segment,

@@ -123,11 +123,10 @@ def q_time_step_filter(spark, sf):
 
 
 def q_csv_source(spark, sf):
+    """Segments from a written CSV: file order decides the numbers."""
     path = new_path(spark, "edges-csv")
     tables.write_csv(testtables.edge_rows(spark, sf).orderBy("row_no").drop("row_no"), path)
-    built = segments.build_segments(tables.read_edges(spark, path))
-    # File order decides the numbers; compare the rows, not the file layout.
-    return built.select("from_node", "to_node", "length", "notes", "is_chokepoint")
+    return segments.build_segments(tables.read_edges(spark, path)).drop("segment_id")
 
 
 def q_json_source(spark, sf):
@@ -138,6 +137,16 @@ def q_json_source(spark, sf):
     return lines.unionByName(absent)
 
 
+def q_json_document(spark, sf):
+    """The sensors through one JSON array; a top-k result, so the document is small."""
+    path = new_path(spark, "sensors-json")
+    sensors = stages(spark, sf).sensors
+    records = F.array_join(F.collect_list(F.to_json(F.struct("*"))), ",\n")
+    sensors.agg(F.concat(F.lit("["), records, F.lit("]")).alias("value")).write.text(path)
+    schema = ", ".join(f"{c} {t}" for c, t in sensors.dtypes)
+    return tables.read_json(spark, path, schema)
+
+
 def q_drift_text_source(spark, sf):
     path = new_path(spark, "drift")
     testtables.drift_lines(spark, sf).write.partitionBy("file_name").text(path)
@@ -162,6 +171,24 @@ def las_cloud(spark, sf):
     )
 
 
+def q_las_numbering(spark, sf):
+    """Record numbers run through all files without a gap."""
+    points = las.read_las(spark, _las_folder(spark, sf), partition_records=7_000)
+    return points.agg(
+        F.min("point_idx").alias("first"), F.max("point_idx").alias("last"), F.count_distinct("point_idx").alias("numbers")
+    )
+
+
+def q_las_window_sample(spark, sf):
+    """Windows read from written files: one file here, so numbers follow the table."""
+    path = new_path(spark, "las-sample")
+    points = testtables.numbered_cloud(spark, sf)
+    las.write_las(points.coalesce(1).sortWithinPartitions("point_idx"), path)
+    total = las.point_total(path)
+    sample = las.read_las(spark, path, ranges=sampling.window_ranges(spark, total, total // 4))
+    return sample.select("point_idx", *[scores.exact_round(F.col(c), 2).alias(c) for c in "xyz"])
+
+
 def q_las_scan(spark, sf):
     points = las.read_las(spark, _las_folder(spark, sf), partition_records=100_000)
     return points.groupBy(F.round("y", 2).alias("y"), F.round("z", 2).alias("z")).agg(
@@ -188,27 +215,35 @@ def q_stored_points(spark, sf):
     )
 
 
+def _batch_files(spark, sf):
+    """One text file per drift batch, in a folder of its own."""
+    path = new_path(spark, "batches")
+    lines = testtables.drift_lines(spark, sf)
+    lines.repartition("file_name").write.partitionBy("file_name").text(path)
+    return path
+
+
 def q_inventory(spark, sf):
-    listing = files.list_files(spark, sf)
-    return files.by_extension(listing, (".parquet", *files.TRACKED_EXTENSIONS))
+    listing = files.list_files(spark, _batch_files(spark, sf), "/no/such/root")
+    return files.by_extension(listing, (".txt", *files.TRACKED_EXTENSIONS))
 
 
 def q_expected_sources(spark, sf):
-    listing = files.list_files(spark, sf)
-    expected = listing.select(
-        F.substring_index("path", "/", -1).alias("key"),
-        F.lit("table").alias("label"),
-        F.when(F.col("path").contains("orders"), F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"),
-    )
-    return files.expected_status(expected, listing).select("key", "label", "exists")
+    """Every batch's folder is found, and none under a name that was not written."""
+    root = _batch_files(spark, sf)
+    names = testtables.drift_lines(spark, sf).select("file_name").distinct()
+    key = F.explode(F.array("file_name", F.concat("file_name", F.lit(".gone"))))
+    expected = names.select(key.alias("key"), F.lit("batch").alias("label"))
+    expected = expected.withColumn("path", F.concat(F.lit(f"{root}/file_name="), "key"))
+    return files.expected_status(expected, files.list_files(spark, root)).select("key", "label", "exists")
 
 
 def q_published_timeline(spark, sf):
     fused = stages(spark, sf).fused
-    ready, served = new_path(spark, "ready"), new_path(spark, "served")
-    tables.publish(fused, ready, served, partition_by="time_step")
-    back = spark.read.schema(schemas.FUSED).parquet(served)
-    return back.groupBy("time_step").agg(
+    zones = {name: new_path(spark, name) for name in ("ready", "served")}
+    tables.publish(fused, *zones.values(), partition_by="time_step")
+    back = [spark.read.schema(schemas.FUSED).parquet(path).withColumn("zone", F.lit(zone)) for zone, path in zones.items()]
+    return back[0].unionByName(back[1]).groupBy("zone", "time_step").agg(
         F.count(F.lit(1)).alias("rows"), F.max("final_segment_risk").alias("top_risk")
     )
 
@@ -218,7 +253,7 @@ def q_published_timeline(spark, sf):
 
 def q_decimate(spark, sf):
     s = testtables.SETTINGS
-    return sampling.decimate(testtables.tracks(spark, sf), s.worker_stride, s.worker_steps).select(
+    return sampling.decimate(testtables.tracks(spark, sf), s.worker_steps).select(
         "worker_id", "time_step", "pose_x", "pose_y"
     )
 
@@ -249,9 +284,9 @@ def q_sample_bounds(spark, sf):
 
 
 def q_large_files(spark, sf):
-    """The ten largest tables of the folder."""
-    listing = files.list_files(spark, sf)
-    return files.large_files(listing, k=10, at_least=0).select("size_bytes", "size", "extension")
+    """The three largest batches."""
+    listing = files.list_files(spark, _batch_files(spark, sf)).where("extension = '.txt'")
+    return files.large_files(listing, k=3, at_least=0).select("size_bytes", "size", "extension")
 
 
 # Features
@@ -284,6 +319,7 @@ def q_worker_timeline(spark, sf):
         "mapped_segment_id",
         "acc_magnitude",
         "motion_status",
+        "source_row_policy",
     )
 
 
@@ -438,6 +474,8 @@ def _flat_fused(df):
         "risk_level",
         F.array_join("active_worker_ids", ",").alias("active_worker_ids"),
         F.array_join("active_sensor_ids", ",").alias("active_sensor_ids"),
+        F.col("reason_breakdown")["lidar"].alias("lidar_reason"),
+        F.col("reason_breakdown")["graph"].alias("graph_reason"),
         F.col("reason_breakdown")["gas"].alias("gas_reason"),
         F.col("reason_breakdown")["worker"].alias("worker_reason"),
     )
@@ -529,7 +567,7 @@ def q_view_risks(spark, sf):
         "environmental_risk",
         "worker_exposure_risk",
         "route_blockage_risk",
-        F.size("active_reasons").alias("reason_count"),
+        F.array_join("active_reasons", "; ").alias("reasons"),
     )
 
 

@@ -44,7 +44,8 @@ def exact_round(x: Column, digits: int) -> Column:
     ``round`` works on the shortest decimal text of a double, so 2.6755
     (stored just below) goes up. Here the product with the power of ten is
     taken together with its rounding error (Dekker's exact product), which
-    decides apparent ties. Up to 6 digits.
+    decides apparent ties. Beyond 2^53 a product has no fraction left: there
+    doubles lie no closer than the last digit and ``x`` is its own rounding.
     """
     scale = float(10**digits)
     spread = x * 134217729.0
@@ -55,7 +56,7 @@ def exact_round(x: Column, digits: int) -> Column:
     part = product - whole
     up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 != 0))))
     rounded = (whole + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / scale
-    return F.when(F.abs(x) < 1e9, rounded).otherwise(F.round(x, digits))
+    return F.when(F.abs(product) < 2.0**53, rounded).otherwise(x)
 
 
 def clamp(x: Column, lo: float = 0.0, hi: float = 100.0) -> Column:

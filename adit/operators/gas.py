@@ -37,7 +37,7 @@ def normaliser(means: DataFrame) -> DataFrame:
     )
 
 
-def gas_timeline(means: DataFrame, sensors: DataFrame, stride: int, steps: int) -> DataFrame:
+def gas_timeline(means: DataFrame, sensors: DataFrame, steps: int) -> DataFrame:
     """Sampled readings, one row per step and sensor.
 
     ``sensors`` is the result of the placement top-k, so the array spliced
@@ -47,7 +47,7 @@ def gas_timeline(means: DataFrame, sensors: DataFrame, stride: int, steps: int)
     sensor = F.struct("sensor_id", "segment_id", "placement_reason")
     every = one_row(sensors, F.sort_array(F.collect_list(sensor)).alias("a"))
     rows = (
-        decimate(means, stride, steps)
+        decimate(means, steps)
         .withColumn("_risk", ratio_score(F.col("methane"), norm))
         .withColumn("_sensor", F.explode(every["a"]))
     )

@@ -1,11 +1,10 @@
 """Exact interpolated percentiles that no single task has to hold.
 
 ``percentile`` keeps every distinct value of a group in one buffer. Here the
-values are counted first. Groups with few distinct values are ranked directly;
-if any group has many, all are narrowed first: a histogram per group finds the
-cell that holds a wanted rank, and only the values of that cell go on. After
-``levels`` rounds a cell spans 1/4096**levels of the group's range, and the
-values left in it are ranked. Nothing is approximated.
+values are counted, dealt by ranges of (group, value) and written; the weights
+of a group's ranges, one row each, give the rank at which each range starts.
+Only ranges that hold a wanted rank are ranked value by value, each by itself. A
+hot group, or the only one, is spread over ranges like any other.
 """
 
 from __future__ import annotations
@@ -15,90 +14,41 @@ from pyspark.sql import functions as F
 
 from adit.workspace import materialize
 
-CELLS = 4096
-NARROWING_LEVELS = 2
-# Distinct values of one group that are ranked without narrowing.
-DIRECT_VALUES = 65536
-
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, weight): the input of :func:`percentiles`."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def percentiles(
-    counts: DataFrame,
-    keys: list[str],
-    value: str,
-    wanted: dict[str, float],
-    levels: int | None = None,
-) -> DataFrame:
+def percentiles(counts: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """One row per key with a column per entry of ``wanted`` (name -> 0-100).
 
     Linear interpolation at ``(n - 1) * p / 100`` between order statistics.
     ``counts`` holds one row per key and distinct value with its ``weight``.
-    Key columns must not be null. ``levels`` defaults to what the fullest
-    group needs.
+    Key columns must not be null.
     """
     base = counts.select(*keys, F.col(value).cast("double").alias("_v"), F.col("weight").alias("_w"))
     if not keys:
         base = base.withColumn("_all", F.lit(0))
     group = keys or ["_all"]
-    base = materialize(base, "value-counts")
-    if levels is None:
-        fullest = base.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-        levels = 0 if fullest <= DIRECT_VALUES else NARROWING_LEVELS
-
-    # Cell 0 of level 0 is the whole group; every level splits the kept cells.
-    path: list[str] = []
-    total = base.groupBy(*group).agg(
-        F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_cnt")
+    dealt = materialize(base.repartitionByRange(*group, "_v").withColumn("_range", F.spark_partition_id()), "value-ranges")
+    pieces = dealt.groupBy(*group, "_range").agg(F.sum("_w").alias("_cnt"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counted = pieces.withColumn("_before", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0))).withColumn(
+        "_n", F.sum("_cnt").over(Window.partitionBy(*group))
     )
     spots = [F.floor((F.col("_n") - 1) * p / 100.0).cast("bigint") for p in wanted.values()]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(s, F.least(s + 1, F.col("_n") - 1)) for s in spots])))
-    cells = total.withColumn("_before", F.lit(0).cast("bigint")).withColumn("_ranks", ranks).drop("_n", "_cnt")
-
-    kept = base
-    for level in range(levels):
-        cell = f"_c{level}"
-        span = F.col("_hi") - F.col("_lo")
-        placed = kept.join(cells, [*group, *path]).withColumn(
-            cell,
-            F.when(span <= 0, F.lit(0)).otherwise(
-                F.least(F.lit(CELLS - 1), F.floor((F.col("_v") - F.col("_lo")) / span * CELLS).cast("int"))
-            ),
-        )
-        histogram = placed.groupBy(*group, *path, cell).agg(
-            F.sum("_w").alias("_cnt"),
-            F.min("_v").alias("_lo"),
-            F.max("_v").alias("_hi"),
-            F.first("_before").alias("_before"),
-            F.first("_ranks").alias("_ranks"),
-        )
-        earlier = Window.partitionBy(*group, *path).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-        cells = (
-            histogram.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))
-            .withColumn(
-                "_ranks",
-                F.filter(
-                    "_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_cnt"))
-                ),
-            )
-            .where(F.size("_ranks") > 0)
-            .drop("_cnt")
-        )
-        kept = placed.select(*group, *path, cell, "_v", "_w")
-        path.append(cell)
-
-    upto = Window.partitionBy(*group, *path).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_cnt")))
+    holding = counted.withColumn("_ranks", ranks).withColumn("_ranks", inside).where(F.size("_ranks") > 0).drop("_cnt")
+    upto = Window.partitionBy(*group, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     found = (
-        kept.join(cells, [*group, *path])
+        dealt.join(holding, [*group, "_range"])
         .withColumn("_at", F.col("_before") + F.coalesce(F.sum("_w").over(upto), F.lit(0)))
         .withColumn("_rank", F.explode("_ranks"))
         .where((F.col("_rank") >= F.col("_at")) & (F.col("_rank") < F.col("_at") + F.col("_w")))
         .groupBy(*group)
-        .agg(F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at_rank"))
-        .join(total.select(*group, "_n"), group)
+        .agg(F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at_rank"), F.first("_n").alias("_n"))
     )
     out = []
     for name, p in wanted.items():

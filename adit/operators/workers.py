@@ -17,6 +17,8 @@ FAST_DISTANCE = 1.5
 FAST_RELIABILITY = 0.78
 STATIONARY_RELIABILITY = 0.92
 OTHER_RELIABILITY = 0.86
+# Fixed value: segment of a pose that maps to none.
+FIRST_SEGMENT = "SEG_001"
 
 
 def motion_status(acceleration: Column, previous: Column, pose: Column) -> Column:
@@ -30,13 +32,13 @@ def motion_status(acceleration: Column, previous: Column, pose: Column) -> Colum
     )
 
 
-def worker_timeline(tracks: DataFrame, segments: DataFrame, stride: int, steps: int) -> DataFrame:
+def worker_timeline(tracks: DataFrame, segments: DataFrame, steps: int) -> DataFrame:
     """Tracks (worker_id, row_idx, pose_*, acc_*) to one row per worker and step.
 
     Progress along X over all sampled rows picks the segment by its number.
     """
     cells = {c: to_float(F.col(c)) for c in ("pose_x", "pose_y", "pose_z", "acc_x", "acc_y", "acc_z")}
-    sampled = decimate(tracks, stride, steps).withColumns(cells)
+    sampled = decimate(tracks, steps).withColumns(cells)
     span = one_row(sampled, F.min("pose_x").alias("lo"), F.max("pose_x").alias("hi"))
     count = one_row(segments, F.count(F.lit(1)).alias("n"))["n"]
     progress = (F.col("pose_x") - span["lo"]) / F.greatest(span["hi"] - span["lo"], F.lit(1e-9))
@@ -56,9 +58,10 @@ def worker_timeline(tracks: DataFrame, segments: DataFrame, stride: int, steps:
         "time_step",
         "worker_id",
         "uwb_pose",
-        F.coalesce("mapped_segment_id", F.lit("SEG_001")).alias("mapped_segment_id"),
+        F.coalesce("mapped_segment_id", F.lit(FIRST_SEGMENT)).alias("mapped_segment_id"),
         exact_round(F.col("_acc"), 4).alias("acc_magnitude"),
         "motion_status",
+        F.format_string("first_of_every_%d_rows", "step_rows").alias("source_row_policy"),
     )
 
 

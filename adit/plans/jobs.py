@@ -37,7 +37,7 @@ def inventory(spark: SparkSession, roots: list[str], expected: DataFrame) -> Inv
 
 def sample_summary(points: DataFrame, total: int, target: int) -> DataFrame:
     """Bounds and size of a windowed sample, with the name of the method."""
-    _, per_window, windows = window_plan(total, target)
+    per_window, windows = window_plan(total, target)
     method = f"windowed_distributed_sample_{windows}_windows_{per_window}_records_each"
     count = points.agg(F.count(F.lit(1)).alias("n")).scalar()
     return point_bounds(points).select(
@@ -54,7 +54,7 @@ def sample_point_file(spark: SparkSession, path: str, target: int, out: str) ->
     Returns the one-row summary of what was stored.
     """
     total = las.point_total(path)
-    tables.write_points(las.read_las(spark, path, ranges=window_ranges(total, target)), out)
+    tables.write_points(las.read_las(spark, path, ranges=window_ranges(spark, total, target)), out)
     return sample_summary(tables.read_points(spark, out), total, target)
 
 

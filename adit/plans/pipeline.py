@@ -13,7 +13,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from adit.operators import events, fusion, gas, geometry, graph, reliability, routing, segments, steps, workers
-from adit.operators.sampling import decimation_stride
 from adit.workspace import materialize
 
 
@@ -22,9 +21,7 @@ class Settings:
     # Default run parameters.
     exit_node: str = "3"
     slice_count: int = 49
-    worker_stride: int = decimation_stride(120_000, 90)
     worker_steps: int = 90
-    gas_stride: int = decimation_stride(200_000, 90)
     gas_steps: int = 90
     methane_columns: tuple[str, ...] = gas.METHANE_COLUMNS
 
@@ -71,7 +68,7 @@ class Pipeline:
     def workers(self) -> DataFrame:
         s = self.settings
         return materialize(
-            workers.worker_timeline(self.inputs.tracks, self.segments, s.worker_stride, s.worker_steps), "workers"
+            workers.worker_timeline(self.inputs.tracks, self.segments, s.worker_steps), "workers"
         )
 
     @cached_property
@@ -81,7 +78,7 @@ class Pipeline:
     @cached_property
     def gas(self) -> DataFrame:
         s = self.settings
-        return materialize(gas.gas_timeline(self.methane, self.sensors, s.gas_stride, s.gas_steps), "gas")
+        return materialize(gas.gas_timeline(self.methane, self.sensors, s.gas_steps), "gas")
 
     @cached_property
     def batches(self) -> DataFrame:

@@ -10,8 +10,6 @@ from adit.plans.pipeline import Inputs, Pipeline, Settings
 
 SETTINGS = Settings(
     exit_node="0",
-    worker_stride=2,
-    gas_stride=8,
     methane_columns=("m1", "m2", "m3", "m4", "m5"),
 )
 GAS_EVENTS = {"m1": "click", "m2": "view", "m3": "error", "m4": "signup", "m5": "purchase"}

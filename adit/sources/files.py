@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adit.functions.text import human_size
+from adit.sources.las import open_fs
+from adit.workspace import materialize_counted
 
 # File kinds that are counted, folders that are skipped, size of a large file.
 TRACKED_EXTENSIONS = (
@@ -15,18 +24,46 @@ SKIPPED_FOLDERS = (".git", "__pycache__", ".venv")
 LARGE_FILE_BYTES = 100 * 1024 * 1024
 
 
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of folders (path, inside); a file gives itself, what is missing nothing."""
+    for batch in batches:
+        paths, lengths, folders = [], [], []
+        for path in batch.column(0).to_pylist():
+            filesystem, inner = open_fs(path)
+            info = filesystem.get_file_info(inner)
+            if info.type == fs.FileType.File:
+                paths.append(path)
+                lengths.append(info.size)
+                folders.append(False)
+            elif info.type == fs.FileType.Directory:
+                for entry in filesystem.get_file_info(fs.FileSelector(inner)):
+                    paths.append(f"{path.rstrip('/')}/{entry.base_name}")
+                    lengths.append(entry.size or 0)
+                    folders.append(entry.type == fs.FileType.Directory)
+        yield pa.record_batch([pa.array(paths, pa.string()), pa.array(lengths, pa.int64()), pa.array(folders, pa.bool_())], ["path", "length", "folder"])
+
+
 def list_files(spark: SparkSession, *roots: str) -> DataFrame:
     """(path, size_bytes, size, extension) of all files below the roots.
 
-    Only path and length are selected, so no content is read.
+    Folders are listed in tasks, one level after the other, without reading
+    content. Roots that do not exist are left out. Folders that are never
+    wanted are skipped below the roots only; hidden names are listed.
     """
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots)).select("path", "length")
-    )
-    skipped = "|".join(name.replace(".", r"\.") for name in SKIPPED_FOLDERS)
+    cloudpickle.register_pickle_by_value(sys.modules[open_fs.__module__])
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    schema = "path string, length bigint, folder boolean"
+    folders, levels = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "path string"), []
     name = F.substring_index("path", "/", -1)
+    n = len(roots)
+    while n:
+        found = folders.repartition("path").mapInArrow(_children, schema).where(~(F.col("folder") & name.isin(*SKIPPED_FOLDERS)))
+        found, n = materialize_counted(found, "listing", F.col("folder"))
+        levels.append(found.where(~F.col("folder")).select("path", "length"))
+        folders = found.where("folder").select("path")
+    listed = reduce(DataFrame.union, levels) if levels else spark.createDataFrame([], "path string, length bigint")
     suffix = F.regexp_extract(name, r"[^.](\.[^.]+)$", 1)
-    return found.where(~F.col("path").rlike(f"/({skipped})/")).select(
+    return listed.distinct().select(
         "path",
         F.col("length").alias("size_bytes"),
         human_size(F.col("length")).alias("size"),

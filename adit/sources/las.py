@@ -44,30 +44,43 @@ AT_POINT_COUNT = 107
 AT_SCALES = 131
 AT_OFFSETS = 155
 AT_BOUNDS = 179
+AT_LONG_COUNT = 247
 POINT_FORMAT_MASK = 0x3F
 
 READ_RECORDS = 250_000
 PARTITION_RECORDS = 4_000_000
 HEADER_THREADS = 32
+# Records of one written file; a task with more starts another.
+FILE_RECORDS = 2_000_000
+# Records further apart than this are read one by one.
+SKIP_BYTES = 1 << 16
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path for a URI or a plain path."""
     if path.startswith("file:"):
         path = "/" + path[len("file:") :].lstrip("/")
+    elif path.startswith("dbfs:"):
+        path = "/dbfs/" + path[len("dbfs:") :].lstrip("/")
+    elif path.startswith(("s3a://", "s3n://")):
+        path = "s3" + path[3:]
     if "://" in path:
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
 
 
 def parse_header(raw: bytes, path: str) -> dict:
-    if len(raw) < HEADER_MIN_BYTES or raw[:4] != MAGIC:
-        raise ValueError(f"not a point file or unsupported header: {path}")
+    if raw[:4] != MAGIC:
+        raise ValueError(f"{path} starts with {raw[:4]!r} instead of {MAGIC!r}")
+    if len(raw) < HEADER_MIN_BYTES:
+        raise ValueError(f"{path} ends after {len(raw)} of {HEADER_MIN_BYTES} header bytes")
 
     def at(layout, offset):
         values = struct.unpack_from("<" + layout, raw, offset)
         return values[0] if len(values) == 1 else values
 
+    # Files of version 1.4 may leave the short count empty.
+    long_count = at("Q", AT_LONG_COUNT) if len(raw) >= AT_LONG_COUNT + 8 and at("H", AT_HEADER_SIZE) >= AT_LONG_COUNT + 8 else 0
     max_x, min_x, max_y, min_y, max_z, min_z = at("6d", AT_BOUNDS)
     return {
         "signature": MAGIC.decode(),
@@ -76,7 +89,7 @@ def parse_header(raw: bytes, path: str) -> dict:
         "offset_to_points": at("I", AT_POINT_OFFSET),
         "point_format": raw[AT_POINT_FORMAT] & POINT_FORMAT_MASK,
         "record_length": at("H", AT_RECORD_LENGTH),
-        "point_count": at("I", AT_POINT_COUNT),
+        "point_count": at("I", AT_POINT_COUNT) or long_count,
         "scales": list(at("3d", AT_SCALES)),
         "offsets": list(at("3d", AT_OFFSETS)),
         "mins": [min_x, min_y, min_z],
@@ -146,32 +159,44 @@ class LasReader(DataSourceReader):
                     end = min(b, start + self.chunk)
                     parts.append(RecordRange(path, header, start - offset, end - offset, start))
             offset += count
-        return parts
+        # Spark needs a partition even where there is nothing to read.
+        return parts or [RecordRange(self.path, {}, 0, 0, 0)]
 
     def read(self, part: RecordRange):
+        if part.start >= part.end:
+            return
         header, length = part.header, part.header["record_length"]
         record = record_type(length)
         filesystem, inner = open_fs(part.path)
+
+        def records(handle, start: int, count: int) -> np.ndarray:
+            raw = handle.read_at(count * length, header["offset_to_points"] + start * length)
+            if len(raw) < count * length:
+                raise ValueError(f"{part.path} ends before record {start + len(raw) // length} of {header['point_count']}")
+            return np.frombuffer(raw, record, count)["p"]
+
+        # The first record whose number over all files is a multiple of the stride.
+        first = part.start + -part.first_idx % self.stride
+        step = READ_RECORDS * self.stride if self.stride * length > SKIP_BYTES else max(1, READ_RECORDS // self.stride) * self.stride
         with filesystem.open_input_file(inner) as handle:
-            for start in range(part.start, part.end, READ_RECORDS):
-                size = min(READ_RECORDS, part.end - start)
-                raw = handle.read_at(size * length, header["offset_to_points"] + start * length)
-                grid = np.frombuffer(raw, record, len(raw) // length)["p"]
-                idx = np.arange(len(grid), dtype=np.int64) + (part.first_idx + start - part.start)
-                if self.stride > 1:
-                    keep = idx % self.stride == 0
-                    grid, idx = grid[keep], idx[keep]
+            for start in range(first, part.end, step):
+                at = np.arange(start, min(part.end, start + step), self.stride)
+                if self.stride * length > SKIP_BYTES:
+                    grid = np.concatenate([records(handle, int(i), 1) for i in at])
+                else:
+                    grid = records(handle, start, int(at[-1]) + 1 - start)[:: self.stride]
+                idx = at + (part.first_idx - part.start)
                 axes = [grid[:, a] * header["scales"][a] + header["offsets"][a] for a in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(idx), *map(pa.array, axes)], ["point_idx", "x", "y", "z"])
 
 
 @dataclass
-class WrittenFile(WriterCommitMessage):
-    name: str | None
+class WrittenFiles(WriterCommitMessage):
+    names: list[str]
 
 
 class LasWriter(DataSourceArrowWriter):
-    """One file per task, moved into place when the job commits."""
+    """Files of bounded size, moved into place when the job commits."""
 
     SCALE = 0.01
     RECORD_LENGTH = 20
@@ -184,15 +209,23 @@ class LasWriter(DataSourceArrowWriter):
     def write(self, batches):
         from pyspark import TaskContext
 
+        held, size, names = [], 0, []
+        for batch in batches:
+            columns = [np.asarray(batch.column(batch.schema.get_field_index(a)), dtype=np.float64) for a in "xyz"]
+            points = np.stack(columns, axis=1)
+            while size + len(points) >= FILE_RECORDS:
+                cut = FILE_RECORDS - size
+                names.append(self._file(np.concatenate([*held, points[:cut]]), TaskContext.get(), len(names)))
+                held, size, points = [], 0, points[cut:]
+            if len(points):
+                held.append(points)
+                size += len(points)
+        if size:
+            names.append(self._file(np.concatenate(held), TaskContext.get(), len(names)))
+        return WrittenFiles(names)
+
+    def _file(self, points: np.ndarray, task, number: int) -> str:
         filesystem, staging = open_fs(self.staging)
-        chunks = [
-            np.stack([np.asarray(b.column(b.schema.get_field_index(a)), dtype=np.float64) for a in "xyz"], axis=1)
-            for b in batches
-            if b.num_rows
-        ]
-        if not chunks:
-            return WrittenFile(None)
-        points = np.concatenate(chunks)
         grid = np.rint(points / self.scale).astype("<i4")
         body = np.zeros(len(grid), record_type(self.RECORD_LENGTH))
         body["p"] = grid
@@ -205,20 +238,19 @@ class LasWriter(DataSourceArrowWriter):
         struct.pack_into("<3d", header, AT_SCALES, *[self.scale] * 3)
         bounds = [f(back[:, a]) for a in range(3) for f in (np.max, np.min)]
         struct.pack_into("<6d", header, AT_BOUNDS, *bounds)
-        task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.las"
+        name = f"part-{task.partitionId():05d}-{number:04d}-{task.taskAttemptId()}.las"
         filesystem.create_dir(staging, recursive=True)
         with filesystem.open_output_stream(f"{staging}/{name}") as out:
             out.write(bytes(header))
             out.write(body.tobytes())
-        return WrittenFile(name)
+        return name
 
     def commit(self, messages):
         filesystem, staging = open_fs(self.staging)
         _, target = open_fs(self.path)
         for message in messages:
-            if message is not None and message.name:
-                filesystem.move(f"{staging}/{message.name}", f"{target}/{message.name}")
+            for name in message.names if message is not None else ():
+                filesystem.move(f"{staging}/{name}", f"{target}/{name}")
         self._drop(filesystem, staging)
 
     def abort(self, messages):

@@ -29,10 +29,13 @@ def read_indexed_csv(
     index: str = "row_idx",
 ) -> DataFrame:
     """A CSV with its rows numbered; ``max_rows`` keeps only the first ones."""
-    rows = scan_index(read_csv(spark, path), index)
-    if columns is not None:
+    rows = read_csv(spark, path)
+    if columns is None:
+        rows = scan_index(rows, index)
+    else:
+        kept = scan_index(rows.select([c for c in columns if c in rows.columns]), index)
         missing = F.lit(None).cast("string")
-        rows = rows.select(index, *[F.col(c) if c in rows.columns else missing.alias(c) for c in columns])
+        rows = kept.select(index, *[F.col(c) if c in kept.columns else missing.alias(c) for c in columns])
     return rows if max_rows is None else rows.where(F.col(index) < max_rows)
 
 

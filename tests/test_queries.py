@@ -23,4 +23,4 @@ def test_query(spark, con, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(registered())
+    assert set(ORACLES) == set(registered())

@@ -24,8 +24,9 @@ def test_index_is_dense_per_key_with_a_hot_key(spark):
     assert [r.row_idx for r in total] == list(range(1, len(rows) + 1))
 
 
-@pytest.mark.parametrize("levels", [0, 1, 2])
-def test_percentiles_match_interpolated_order_statistics(spark, levels):
+@pytest.mark.parametrize("ranges", ["1", "5", "40"])
+def test_percentiles_match_interpolated_order_statistics(spark, ranges):
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
     rng = random.Random(2)
     groups = {
         "one": [4.0],
@@ -37,11 +38,11 @@ def test_percentiles_match_interpolated_order_statistics(spark, levels):
     }
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
     wanted = {"p0": 0, "p5": 5, "p50": 50, "p75": 75, "p99": 99, "p100": 100}
-    for row in percentiles(value_counts(df, ["g"], "v"), ["g"], "v", wanted, levels).collect():
+    for row in percentiles(value_counts(df, ["g"], "v"), ["g"], "v", wanted).collect():
         for name, p in wanted.items():
             assert np.isclose(row[name], np.percentile(groups[row.g], p), rtol=1e-12, atol=1e-15), (row.g, name)
     everything = [v for vs in groups.values() for v in vs]
-    row = percentiles(value_counts(df, [], "v"), [], "v", {"p99": 99}, levels).collect()
+    row = percentiles(value_counts(df, [], "v"), [], "v", {"p99": 99}).collect()
     assert len(row) == 1 and np.isclose(row[0].p99, np.percentile(everything, 99))
 
 
@@ -95,6 +96,18 @@ def test_window_sample_takes_the_planned_records(spark):
 
 def test_decimation(spark):
     rows = spark.range(100).select(F.col("id").alias("row_idx"))
-    got = sampling.decimate(rows.withColumn("v", F.col("row_idx")), 9, 4).orderBy("time_step").collect()
-    assert [(r.time_step, r.v) for r in got] == [(0, 0), (1, 9), (2, 18), (3, 27)]
-    assert sampling.decimation_stride(120_000, 90) == 1333 and sampling.decimation_stride(5, 90) == 1
+    got = sampling.decimate(rows.withColumn("v", F.col("row_idx")), 4).orderBy("time_step").collect()
+    assert [(r.time_step, r.v) for r in got] == [(0, 0), (1, 25), (2, 50), (3, 75)]
+    few = sampling.decimate(rows.where("row_idx < 3"), 90).collect()
+    assert sorted((r.time_step, r.step_rows) for r in few) == [(0, 1), (1, 1), (2, 1)]
+    assert sampling.decimate(rows.limit(0), 90).count() == 0
+
+
+def test_decimation_reaches_the_end_of_every_series(spark):
+    sizes = {"a": 1000, "b": 995, "c": 7}
+    rows = spark.createDataFrame([(k, i) for k, n in sizes.items() for i in range(n)], "worker_id string, row_idx long")
+    got = sampling.decimate(rows.withColumn("v", F.col("row_idx")), 90).collect()
+    for k, n in sizes.items():
+        last = max(r.v for r in got if r.worker_id == k)
+        assert last + got[0].step_rows >= n
+    assert max(r.time_step for r in got) < 90
\ No newline at end of file

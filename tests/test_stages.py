@@ -263,7 +263,7 @@ def test_pipeline_end_to_end(spark):
     )
     readings = spark.range(90).select(F.col("id").alias("row_idx"), (F.col("id") / 90).alias("MM263"))
     drift = spark.createDataFrame([("batch1.dat", "1;1.0 1:2"), ("batch1.dat", "1;3.0 1:2")], "file_name string, line string")
-    p = Pipeline(Inputs(edges, points, tracks, readings, drift), Settings(slice_count=6, worker_stride=10, gas_stride=10))
+    p = Pipeline(Inputs(edges, points, tracks, readings, drift), Settings(slice_count=6))
     assert p.fused.count() == 9 * 3
     assert p.scenario.count() == 1 and p.playback().count() == 9
     assert p.segment_view().first().segment_id.startswith("S0")
