@@ -1,9 +1,10 @@
 """Exact nearest segment centre per position, without comparing all pairs.
 
-Centres are put into a pyramid of cells, each cell split four ways per axis.
-Positions descend it: of the cells still in play only those are kept that
-can hold something nearer than the farthest corner of the best one. What is
-left at the bottom is compared exactly.
+Centres are numbered along a space-filling curve and packed into a tree: a leaf
+holds 64 consecutive centres, a node 64 consecutive nodes. Its depth follows
+their number alone. Positions descend it with the bounding boxes of the
+children in their row; a child stays if it can hold something nearer than the
+farthest corner of the best box met so far.
 """
 
 from __future__ import annotations
@@ -13,26 +14,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adit.workspace import materialize, one_row
+from adit.operators.indexing import ordered_index
+from adit.workspace import materialize_counted, one_row
 
-SPLIT = 4
-MAX_LEVELS = 10
-LEAF_CENTRES = 64
+FANOUT = 64
+CURVE_BITS = 20
 
 
-def _cells(level: int, span: Column, axes) -> Column:
-    """Cell coordinates of a centre at a level."""
-    parts = SPLIT**level
-    width = {a: span[f"hi_{a}"] - span[f"lo_{a}"] for a in axes}
-    return F.concat_ws(
-        ",",
-        *[
-            F.when(width[a] > 0, F.least(F.lit(parts - 1), F.floor((F.col(a) - span[f"lo_{a}"]) / width[a] * parts)))
-            .otherwise(F.lit(0))
-            .cast("string")
-            for a in axes
-        ],
-    )
+def _curve(places: DataFrame, axes) -> Column:
+    """Bits of the scaled coordinates in turn."""
+    span = one_row(places, *[f(a).alias(f"{n}_{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    code = F.lit(0).cast("bigint")
+    for k, a in enumerate(axes):
+        width = span[f"hi_{a}"] - span[f"lo_{a}"]
+        share = F.when(width > 0, (F.col(a) - span[f"lo_{a}"]) / width).otherwise(F.lit(0.0))
+        cell = F.least(F.lit(2**CURVE_BITS - 1), F.floor(share * 2**CURVE_BITS)).cast("bigint")
+        for bit in range(CURVE_BITS):
+            code = code.bitwiseOR(F.shiftleft(F.shiftright(cell, bit).bitwiseAND(F.lit(1)), bit * len(axes) + k))
+    return code
 
 
 def _sum(cols) -> Column:
@@ -42,55 +41,47 @@ def _sum(cols) -> Column:
 def nearest_segment(positions: DataFrame, centres: DataFrame, axes=("x", "y", "z")) -> DataFrame:
     """``positions`` (pos_id + axes) with ``segment_id`` and ``distance``.
 
-    ``centres``: segment_id, seg_no + axes. Ties go to the smaller seg_no.
+    ``centres``: segment_id, seg_no + axes. Ties go to the smaller seg_no. A
+    position with a null coordinate, or any without centres, gets nulls.
     """
     # One entry per place: co-located centres can never beat the first.
-    places = materialize(
-        centres.groupBy(*axes).agg(F.min(F.struct("seg_no", "segment_id")).alias("_s")), "centres"
-    )
-    span = one_row(places, *[f(a).alias(f"{n}_{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    places = centres.dropna(subset=list(axes)).groupBy(*axes).agg(F.min(F.struct("seg_no", "segment_id")).alias("_s"))
+    curved = places.withColumn("_m", _curve(places, axes))
+    numbered, n = materialize_counted(ordered_index(curved, ["_m", *axes], out="_no"), "centres")
+    if not n:
+        return positions.withColumns({"segment_id": F.lit(None).cast("string"), "distance": F.lit(None).cast("double")})
     levels = 1
-    while levels < MAX_LEVELS:
-        fullest = places.groupBy(_cells(levels, span, axes).alias("c")).count().agg(F.max("count")).first()[0]
-        if (fullest or 0) <= LEAF_CENTRES:
-            break
+    while FANOUT**levels < n:
         levels += 1
-    keyed = materialize(
-        places.withColumns({f"_k{n}": _cells(n, span, axes) for n in range(levels + 1)}), "pyramid"
-    )
-    at = positions.select("pos_id", *axes).withColumn("_cell", F.lit(",".join("0" for _ in axes)))
-    for level in range(1, levels + 1):
-        boxes = keyed.groupBy(F.col(f"_k{level - 1}").alias("_parent"), F.col(f"_k{level}").alias("_child")).agg(
-            *[f(a).alias(f"{n}_{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]
-        )
-        children = boxes.groupBy(F.col("_parent").alias("_cell")).agg(
-            F.collect_list(F.struct("_child", *[f"{n}_{a}" for a in axes for n in ("lo", "hi")])).alias("_boxes")
-        )
-        box = F.col("_box")
-        outside = {a: F.greatest(box[f"lo_{a}"] - F.col(a), F.col(a) - box[f"hi_{a}"], F.lit(0.0)) for a in axes}
-        across = {a: F.greatest(F.abs(box[f"lo_{a}"] - F.col(a)), F.abs(box[f"hi_{a}"] - F.col(a))) for a in axes}
-        options = (
-            at.join(children, "_cell")
-            .withColumn("_box", F.explode("_boxes"))
-            .withColumn("_near", _sum(outside[a] * outside[a] for a in axes))
-            .withColumn("_far", _sum(across[a] * across[a] for a in axes))
-        )
-        best = options.groupBy("pos_id", *axes).agg(
-            F.min("_far").alias("_limit"),
-            F.collect_list(F.struct(F.col("_box._child").alias("cell"), F.col("_near").alias("near"))).alias("_o"),
+
+    row = F.struct(*positions.columns).alias("_row")
+    at = positions.select("pos_id", *axes, row, F.lit(0).cast("bigint").alias("_node"), F.lit(float("inf")).alias("_limit"))
+    for level in range(levels - 1, 0, -1):
+        node = F.floor(F.col("_no") / FANOUT**level).cast("bigint")
+        boxes = numbered.groupBy(node.alias("_child")).agg(
+            *[f(a).alias(f"{e}_{a}") for a in axes for f, e in ((F.min, "lo"), (F.max, "hi"))]
         )
+        parent = F.floor(F.col("_child") / FANOUT).cast("bigint")
+        children = boxes.groupBy(parent.alias("_node")).agg(F.collect_list(F.struct(*boxes.columns)).alias("_boxes"))
+
+        def reach(box):
+            outside = {a: F.greatest(box[f"lo_{a}"] - F.col(a), F.col(a) - box[f"hi_{a}"], F.lit(0.0)) for a in axes}
+            across = {a: F.greatest(F.abs(box[f"lo_{a}"] - F.col(a)), F.abs(box[f"hi_{a}"] - F.col(a))) for a in axes}
+            near, far = (_sum(d[a] * d[a] for a in axes) for d in (outside, across))
+            return F.struct(box["_child"].alias("node"), near.alias("near"), far.alias("far"))
+
+        met = at.join(children, "_node", "left").withColumn("_reach", F.transform("_boxes", reach)).drop("_boxes", "_node")
+        met = met.withColumn("_limit", F.least("_limit", F.array_min(F.transform("_reach", lambda r: r["far"]))))
         # A hair of slack keeps rounding from dropping an exact tie.
-        limit = F.col("_limit") * (1 + 1e-9)
-        at = best.select(
-            "pos_id", *axes, F.explode(F.filter("_o", lambda o: o["near"] <= limit)).alias("_k")
-        ).select("pos_id", *axes, F.col("_k.cell").alias("_cell"))
-    leaf = keyed.select(F.col(f"_k{levels}").alias("_cell"), *[F.col(a).alias(f"_{a}") for a in axes], "_s")
-    gap = F.sqrt(_sum((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in axes))
-    found = F.struct(gap.alias("d"), F.col("_s.seg_no").alias("n"), F.col("_s.segment_id").alias("s"))
-    won = (
-        at.join(leaf, "_cell")
-        .groupBy("pos_id")
-        .agg(F.min(found).alias("_w"))
-        .select("pos_id", F.col("_w.s").alias("segment_id"), F.col("_w.d").alias("distance"))
-    )
-    return positions.join(won, "pos_id", "left")
+        kept = F.filter("_reach", lambda r: F.coalesce(r["near"] <= F.col("_limit") * (1 + 1e-9), F.lit(False)))
+        at = met.withColumn("_node", F.explode_outer(F.transform(kept, lambda r: r["node"]))).drop("_reach")
+    leaf = F.floor(F.col("_no") / FANOUT).cast("bigint")
+    leaves = numbered.groupBy(leaf.alias("_node")).agg(F.collect_list(F.struct(*axes, "_s")).alias("_centres"))
+
+    def found(c):
+        gap = F.sqrt(_sum((F.col(a) - c[a]) * (F.col(a) - c[a]) for a in axes))
+        return F.when(gap.isNotNull(), F.struct(gap.alias("d"), c["_s"]["seg_no"].alias("n"), c["_s"]["segment_id"].alias("s")))
+
+    best = at.join(leaves, "_node", "left").withColumn("_w", F.array_min(F.transform("_centres", found)))
+    won = best.groupBy("pos_id").agg(F.first("_row").alias("_row"), F.min("_w").alias("_w"))
+    return won.select("_row.*", F.col("_w.s").alias("segment_id"), F.col("_w.d").alias("distance"))

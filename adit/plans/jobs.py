@@ -61,6 +61,6 @@ def sample_point_file(spark: SparkSession, path: str, target: int, out: str) ->
 def publish_all(p: Pipeline, *zones: str) -> None:
     """Write every stage result to each zone; the big timeline by time step."""
     for zone in zones:
-        for name in ("segments", "sensors", "geometry", "graph", "workers", "gas", "reliability", "scenario"):
+        for name in ("segments", "anchors", "sensors", "geometry", "graph", "workers", "gas", "reliability", "event", "scenario"):
             tables.write_json(getattr(p, name), f"{zone}/{name}")
         p.fused.write.mode("overwrite").partitionBy("time_step").parquet(f"{zone}/fused")

@@ -52,6 +52,14 @@ class Pipeline:
     def sensors(self) -> DataFrame:
         return materialize(segments.place_sensors(self.segments), "sensors")
 
+    @cached_property
+    def anchors(self) -> DataFrame:
+        return materialize(segments.place_anchors(self.segments, self.settings.exit_node), "anchors")
+
+    @cached_property
+    def event(self) -> DataFrame:
+        return materialize(events.pick_event(self.fused), "event")
+
     @cached_property
     def slices(self) -> DataFrame:
         return materialize(geometry.slice_features(self.inputs.points, self.settings.slice_count), "slices")

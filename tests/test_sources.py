@@ -103,6 +103,67 @@ def test_las_ranges_stride_and_folder(spark, tmp_path):
     assert all(abs(r.x - (r.point_idx * 0.01 + 100)) < 1e-9 for r in sample)
 
 
+def test_las_without_points(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    make_las(tmp_path / "zero.las", 0)
+    for path in ("empty", "zero.las"):
+        assert las.read_las(spark, str(tmp_path / path)).count() == 0
+    make_las(tmp_path / "a.las", 5)
+    assert las.read_las(spark, str(tmp_path / "a.las"), max_points=0).count() == 0
+    assert las.read_las(spark, str(tmp_path / "a.las"), ranges=[]).count() == 0
+
+
+def test_las_long_count(spark, tmp_path):
+    path = tmp_path / "new.las"
+    make_las(path, 12)
+    raw = bytearray(path.read_bytes())
+    raw[24:26] = bytes((1, 4))
+    struct.pack_into("<HI", raw, 94, 375, 400)
+    struct.pack_into("<I", raw, 107, 0)
+    struct.pack_into("<Q", raw, 247, 12)
+    path.write_bytes(bytes(raw))
+    assert las.point_total(str(path)) == 12 and las.read_las(spark, str(path)).count() == 12
+
+
+def test_las_truncated_file_is_an_error(spark, tmp_path):
+    path = tmp_path / "cut.las"
+    make_las(path, 10)
+    path.write_bytes(path.read_bytes()[: 400 + 4 * 34])
+    with pytest.raises(Exception, match="before record 4 of 10"):
+        las.read_las(spark, str(path)).collect()
+
+
+def test_las_stride_far_and_near(spark, tmp_path, monkeypatch):
+    make_las(tmp_path / "a.las", 700)
+    make_las(tmp_path / "b.las", 300, first=700)
+    for stride, part in ((7, 50), (3, 64), (2500 // 34, 90)):
+        for skip in (1 << 16, 10):
+            monkeypatch.setattr(las, "SKIP_BYTES", skip)
+            got = las.read_las(spark, str(tmp_path), stride=stride, partition_records=part).orderBy("point_idx").collect()
+            assert [r.point_idx for r in got] == list(range(0, 1000, stride))
+            assert all(abs(r.x - (r.point_idx * 0.01 + 100)) < 1e-9 for r in got)
+
+
+def test_las_writer_starts_new_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(las, "FILE_RECORDS", 300)
+    points = spark.range(1000).select(F.col("id").alias("point_idx"), *[(F.col("id") * 0.25).alias(c) for c in "xyz"]).coalesce(1)
+    out = str(tmp_path / "out")
+    las.write_las(points, out)
+    assert sorted(las.read_header(str(p))["point_count"] for p in (tmp_path / "out").iterdir()) == [100, 300, 300, 300]
+    back = las.read_las(spark, out).orderBy("point_idx").collect()
+    assert [round(r.x, 2) for r in back] == [i * 0.25 for i in range(1000)]
+
+
+def test_listing_keeps_hidden_names_and_skips_missing_roots(spark, tmp_path):
+    for name in (".hidden", "_private.csv", "plain.csv"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "__pycache__").mkdir()
+    (tmp_path / "__pycache__" / "x.csv").write_text("x")
+    got = files.list_files(spark, str(tmp_path), str(tmp_path / "gone"), str(tmp_path / "__pycache__")).collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in got) == [".hidden", "_private.csv", "plain.csv", "x.csv"]
+    assert files.list_files(spark, str(tmp_path / "gone")).count() == 0
+
+
 def test_las_write_round_trip(spark, tmp_path):
     points = spark.range(1000).select(F.col("id").alias("point_idx"), *[(F.col("id") * 0.25).alias(c) for c in "xyz"]).repartition(3)
     out = str(tmp_path / "out")
