@@ -367,7 +367,7 @@ def q_unreached(spark, sf):
 
 
 def q_edge_impact(spark, sf):
-    return graph.edge_impact(stages(spark, sf).segments, EXIT).select(
+    return stages(spark, sf).impact.select(
         "segment_id", "disconnected_node_count", "total_node_count"
     )
 

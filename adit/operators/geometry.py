@@ -24,9 +24,14 @@ from adit.operators.quantiles import percentiles
 from adit.workspace import materialize, one_row
 
 
-def slice_values(points: DataFrame, slice_count: int) -> DataFrame:
-    """(slice_index, axis, value, weight, sum_x): coordinate counts per slice."""
-    span = one_row(points, F.min("x").alias("lo"), F.max("x").alias("hi"))
+def x_range(points: DataFrame) -> DataFrame:
+    """One written row (lo, hi): the cloud is not read for it again."""
+    return materialize(points.agg(F.min("x").alias("lo"), F.max("x").alias("hi")), "x-range")
+
+
+def slice_values(points: DataFrame, slice_count: int, reach: DataFrame) -> DataFrame:
+    """(slice_index, axis, value, weight, sum_x): coordinate counts per slice of the range ``reach``."""
+    span = reach.select(F.struct("lo", "hi")).scalar()
     width = (span["hi"] - span["lo"]) / slice_count
     position = F.least(F.lit(slice_count - 1), F.greatest(F.lit(0), ((F.col("x") - span["lo"]) / width).cast("int")))
     index = F.when(width > 0, position).otherwise(F.lit(0))
@@ -45,7 +50,8 @@ def slice_values(points: DataFrame, slice_count: int) -> DataFrame:
 
 def slice_features(points: DataFrame, slice_count: int) -> DataFrame:
     """One row per slice, empty ones with zeros."""
-    values = materialize(slice_values(points, slice_count), "slice_values")
+    reach = x_range(points)
+    values = materialize(slice_values(points, slice_count, reach), "slice_values")
     cuts = percentiles(values, ["slice_index", "axis"], "value", {"p05": 5, "p75": 75, "p95": 95})
     # Offsets from the p75 keep the sum-of-squares form of the spread accurate.
     top = F.col("value") >= F.col("p75")
@@ -82,7 +88,7 @@ def slice_features(points: DataFrame, slice_count: int) -> DataFrame:
         z["p05"].alias("floor_z_p05"),
         F.when(z["top_n"] > 1, spread).otherwise(F.lit(0.0)).alias("ceiling_roughness"),
     )
-    span = one_row(points, F.min("x").alias("lo"), F.max("x").alias("hi"))
+    span = reach.select(F.struct("lo", "hi")).scalar()
     width = F.coalesce((span["hi"] - span["lo"]) / slice_count, F.lit(0.0))
     slots = points.sparkSession.range(slice_count).select(F.col("id").cast("int").alias("slice_index"))
     measures = filled.columns[2:]

@@ -11,10 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adit.functions.scores import GRAPH_WEIGHTS, exact_round, normalize, risk_level, weighted_sum
 from adit.operators.segments import node_degree, nodes
-from adit.workspace import materialize, materialize_counted, one_row
+from adit.workspace import materialize, materialize_counted, new_path, one_row
 
 # Levels of the tree folded upwards per written table.
 FOLD_LEVELS = 4
@@ -54,28 +55,25 @@ def hop_tree(segments: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
         adjacency(segments).where(F.col("src") != F.col("dst")).select("src", "dst", "seg_no", "segment_id"),
         "adjacency",
     )
-    frontier = materialize(
-        roots.select(
-            "scenario",
-            "blocked_segment",
-            F.col("root").alias("node"),
-            F.lit(0).alias("depth"),
-            F.lit(None).cast("string").alias("parent"),
-            F.lit(None).cast("string").alias("parent_segment"),
-        ),
-        "level",
+    # All levels lie below one folder and are read back as one table.
+    spark = segments.sparkSession
+    folder = new_path(spark, "levels")
+    first = roots.select(
+        "scenario",
+        "blocked_segment",
+        F.col("root").alias("node"),
+        F.lit(None).cast("string").alias("parent"),
+        F.lit(None).cast("string").alias("parent_segment"),
     )
+    frontier, found = materialize_counted(first, "level", at=f"{folder}/depth=0")
     levels = [frontier]
-    while True:
+    while found:
         step = (
-            frontier.select("scenario", "blocked_segment", F.col("node").alias("src"), "depth")
+            frontier.select("scenario", "blocked_segment", F.col("node").alias("src"))
             .join(edges, "src")
             .where(open_to("segment_id", "blocked_segment"))
             .groupBy("scenario", "blocked_segment", F.col("dst").alias("node"))
-            .agg(
-                (F.max("depth") + 1).alias("depth"),
-                F.min(F.struct("src", "seg_no", "segment_id")).alias("_via"),
-            )
+            .agg(F.min(F.struct("src", "seg_no", "segment_id")).alias("_via"))
         )
         # Neighbours of level k lie on levels k-1, k and k+1 only.
         for known in levels[-2:]:
@@ -85,16 +83,16 @@ def hop_tree(segments: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
                 "scenario",
                 "blocked_segment",
                 "node",
-                "depth",
                 F.col("_via.src").alias("parent"),
                 F.col("_via.segment_id").alias("parent_segment"),
             ),
             "level",
+            at=f"{folder}/depth={len(levels)}",
         )
-        if not found:
-            break
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels), len(levels)
+        if found:
+            levels.append(frontier)
+    tree = spark.read.schema(T.StructType([*first.schema.fields, T.StructField("depth", T.IntegerType())])).parquet(folder)
+    return tree, len(levels)
 
 
 def exit_roots(segments: DataFrame, exit_node: str, blocked_segment: str | None = None) -> DataFrame:
@@ -208,6 +206,13 @@ def unreached_nodes(segments: DataFrame, reached: DataFrame) -> DataFrame:
     return nodes(segments).join(reached, F.col("node_id") == F.col("node"), "left_anti")
 
 
+def _by_depth(tree: DataFrame) -> DataFrame:
+    """``tree`` as a table in which a level is a folder."""
+    path = new_path(tree.sparkSession, "by-depth")
+    tree.repartition("depth").write.partitionBy("depth").parquet(path)
+    return tree.sparkSession.read.schema(tree.schema).parquet(path)
+
+
 def edge_impact(segments: DataFrame, exit_node: str) -> DataFrame:
     """Per segment, how many nodes lose the exit when it is removed.
 
@@ -243,7 +248,7 @@ def edge_impact(segments: DataFrame, exit_node: str) -> DataFrame:
         .agg(F.bit_xor("_x1").alias("_x1"), F.bit_xor("_x2").alias("_x2"), F.sum("_m.n").alias("_own"))
     )
     zero = F.lit(0).cast("bigint")
-    labelled = materialize(
+    labelled = _by_depth(
         tree.join(marks, "node", "left")
         .join(spans, "parent_segment", "left")
         .select(
@@ -255,8 +260,7 @@ def edge_impact(segments: DataFrame, exit_node: str) -> DataFrame:
             F.coalesce("_x2", zero).alias("_x2"),
             (F.coalesce("_own", zero) + 1).alias("_size"),
             F.coalesce("span", zero).alias("_span"),
-        ),
-        "labelled",
+        )
     )
     folded: list[DataFrame] = []
     below: DataFrame | None = None
@@ -311,29 +315,15 @@ def edge_impact(segments: DataFrame, exit_node: str) -> DataFrame:
     )
 
 
-def edge_impact_by_search(segments: DataFrame, exit_node: str) -> DataFrame:
-    """The same counts by one search per segment; the check for small graphs."""
-    roots = segments.select(
-        F.col("seg_no").alias("scenario"),
-        F.lit(exit_node).alias("root"),
-        F.col("segment_id").alias("blocked_segment"),
-    )
-    tree, _ = hop_tree(segments, roots)
-    known = tree.join(nodes(segments), F.col("node") == F.col("node_id"), "left_semi")
-    reached = known.groupBy(F.col("scenario").alias("seg_no")).agg(F.count(F.lit(1)).alias("_n"))
-    total = one_row(nodes(segments), F.count(F.lit(1)).alias("n"))["n"]
-    return segments.join(reached, "seg_no", "left").select(
-        "segment_id", (total - F.coalesce("_n", F.lit(0))).cast("bigint").alias("disconnected_node_count")
-    )
-
+def graph_risk(segments: DataFrame, impact: DataFrame) -> DataFrame:
+    """Blocking, chokepoint and length scores per segment, weighted and banded.
 
-def graph_risk(segments: DataFrame, exit_node: str) -> DataFrame:
-    """Blocking, chokepoint and length scores per segment, weighted and banded."""
+    ``impact`` is the result of :func:`edge_impact`.
+    """
     length = F.coalesce(F.col("length"), F.lit(0.0))
     span = one_row(segments, F.min(length).alias("lo"), F.max(length).alias("hi"))
     scored = (
-        edge_impact(segments, exit_node)
-        .withColumn(
+        impact.withColumn(
             "graph_blocking_score",
             F.col("disconnected_node_count") / F.greatest(F.lit(1), F.col("total_node_count")) * 100.0,
         )

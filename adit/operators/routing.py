@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from adit.functions.scores import edge_weight, exact_round
 from adit.operators.graph import adjacency, both_ways, exit_roots, hop_tree, walk
-from adit.workspace import materialize, materialize_counted, one_row
+from adit.workspace import loop_folder, materialize, materialize_counted, one_row, task_count
 
 COST_POLICY = "length + final_risk_score * 0.20"
 NO_BLOCK = ""
 LEVELS_PER_TABLE = 4
+ROUNDS_PER_MERGE = 8
 
 
 def risk_edges(segments: DataFrame, risks: DataFrame | None, steps: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def risk_edges(segments: DataFrame, risks: DataFrame | None, steps: DataFrame) -
     distinct requested steps; a step without risk rows weighs lengths only.
     """
     wanted = one_row(steps, F.sort_array(F.collect_set("time_step")).alias("a"))["a"]
-    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = task_count(segments.sparkSession)
     dense = segments.repartition(tasks, "segment_id").withColumn("time_step", F.explode(wanted))
     if risks is None:
         dense = dense.withColumn("_risk", F.lit(0.0))
@@ -41,6 +42,9 @@ def risk_edges(segments: DataFrame, risks: DataFrame | None, steps: DataFrame) -
         )
         dense = dense.join(known, ["time_step", "segment_id"], "left")
     weight = edge_weight(F.col("length"), F.col("_risk"))
+    # A way that gains by going back and forth has no cheapest route.
+    refused = F.raise_error(F.concat(F.lit("negative weight of segment "), F.col("segment_id"))).cast("double")
+    weight = F.when(weight < 0, refused).otherwise(weight)
     return dense.select("time_step", "seg_no", "segment_id", weight.alias("weight"), both_ways().alias("_e")).select(
         "time_step", "_e.src", "_e.dst", "seg_no", "segment_id", "weight"
     )
@@ -52,31 +56,27 @@ def settle(state: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     ``state``: keys, node, cost, hops of the nodes known so far. ``links``:
     keys, node, dst, weight; a node takes over its neighbour ``dst``.
     """
-    state = materialize(state.select(*keys, "node", "cost", "hops", F.lit(0).alias("round")), "costs")
-    turn, improved = 0, 1
-    while improved:
-        reached = (
-            state.where(F.col("round") == turn)
-            .withColumnRenamed("node", "dst")
-            .join(links.select(*keys, "node", "dst", "weight"), [*keys, "dst"])
-            .select(
-                *keys,
-                "node",
-                (F.col("cost") + F.col("weight")).alias("cost"),
-                (F.col("hops") + 1).alias("hops"),
-                F.lit(turn + 1).alias("round"),
+    best = F.struct("cost", "hops").alias("_b")
+    with loop_folder(links.sparkSession, "settling") as folder:
+        frontier = materialize(state.select(*keys, "node", best), "costs", inside=folder)
+        known, improved = [frontier], 1
+        while improved:
+            reached = (
+                frontier.withColumnRenamed("node", "dst")
+                .join(links.select(*keys, "node", "dst", "weight"), [*keys, "dst"])
+                .groupBy(*keys, "node")
+                .agg(F.min(F.struct((F.col("_b.cost") + F.col("weight")).alias("cost"), (F.col("_b.hops") + 1).alias("hops"))).alias("_b"))
             )
-        )
-        # An older equal entry sorts first and so is not seen as improved.
-        best = (
-            state.unionByName(reached)
-            .groupBy(*keys, "node")
-            .agg(F.min(F.struct("cost", "hops", "round")).alias("_b"))
-            .select(*keys, "node", "_b.cost", "_b.hops", "_b.round")
-        )
-        turn += 1
-        state, improved = materialize_counted(best, "costs", F.col("round") == turn)
-    return state.drop("round")
+            # Only what got better is written; the rounds before are merged now and then.
+            so_far = reduce(DataFrame.unionByName, known).groupBy(*keys, "node").agg(F.min("_b").alias("_old"))
+            better = reached.join(so_far, [*keys, "node"], "left").where(F.col("_old").isNull() | (F.col("_b") < F.col("_old"))).drop("_old")
+            frontier, improved = materialize_counted(better, "costs", inside=folder)
+            known.append(frontier)
+            if len(known) > ROUNDS_PER_MERGE:
+                merged = reduce(DataFrame.unionByName, known).groupBy(*keys, "node").agg(F.min("_b").alias("_b"))
+                known = [materialize(merged, "costs", inside=folder)]
+        settled = reduce(DataFrame.unionByName, known).groupBy(*keys, "node").agg(F.min("_b").alias("_b"))
+        return materialize(settled.select(*keys, "node", "_b.cost", "_b.hops"), "settled")
 
 
 def with_parents(costs: DataFrame, links: DataFrame, ahead: DataFrame, keys: list[str]) -> DataFrame:

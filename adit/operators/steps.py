@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adit.workspace import one_row
+from adit.workspace import one_row, task_count
 
 STEP_BLOCK = 64
 
@@ -36,7 +36,7 @@ def over_steps(df: DataFrame, last_step: Column, *keys: str) -> DataFrame:
     A small table would multiply inside the one task that reads it, so blocks
     of steps are dealt to a fixed number of tasks before they are filled in.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = task_count(df.sparkSession)
     blocks = (
         df.withColumn("_last", last_step)
         .withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_last"), F.lit(STEP_BLOCK))))

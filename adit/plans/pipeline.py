@@ -68,9 +68,13 @@ class Pipeline:
     def geometry(self) -> DataFrame:
         return materialize(geometry.geometry_risk(self.slices, self.segments), "geometry")
 
+    @cached_property
+    def impact(self) -> DataFrame:
+        return materialize(graph.edge_impact(self.segments, self.settings.exit_node), "impact")
+
     @cached_property
     def graph(self) -> DataFrame:
-        return materialize(graph.graph_risk(self.segments, self.settings.exit_node), "graph")
+        return materialize(graph.graph_risk(self.segments, self.impact), "graph")
 
     @cached_property
     def workers(self) -> DataFrame:

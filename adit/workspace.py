@@ -34,14 +34,16 @@ def materialize(df: DataFrame, name: str, inside: str | None = None) -> DataFram
     return materialize_counted(df, name, inside=inside)[0]
 
 
-def materialize_counted(df: DataFrame, name: str, counting: Column | None = None, inside: str | None = None) -> tuple[DataFrame, int]:
+def materialize_counted(
+    df: DataFrame, name: str, counting: Column | None = None, inside: str | None = None, at: str | None = None
+) -> tuple[DataFrame, int]:
     """As :func:`materialize`; also a row count taken while writing.
 
     ``counting`` restricts the count to rows it holds for; ``inside`` puts the
-    table below the folder of a :func:`loop_folder`.
+    table below the folder of a :func:`loop_folder`, ``at`` into a given folder.
     """
     spark = df.sparkSession
-    path = f"{inside}/{name}-{uuid.uuid4().hex}" if inside else new_path(spark, name)
+    path = at or (f"{inside}/{name}-{uuid.uuid4().hex}" if inside else new_path(spark, name))
     seen = Observation()
     number = F.count(F.lit(1)) if counting is None else F.count_if(counting)
     df.observe(seen, number.alias("n")).write.parquet(path)
@@ -64,6 +66,12 @@ def loop_folder(spark: SparkSession, name: str) -> Iterator[str]:
         remove(spark, path)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks of a shuffle; as many as there are cores where Spark chooses."""
+    number = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(number) if number.isdigit() else spark.sparkContext.defaultParallelism
+
+
 def one_row(df: DataFrame, *cols: Column) -> Column:
     """A one-row aggregate as a struct-valued scalar subquery.
 

@@ -5,6 +5,24 @@ import pytest
 from pyspark.sql import functions as F
 
 from adit.operators import graph, routing, segments
+from adit.operators.segments import nodes
+from adit.workspace import one_row
+
+
+def edge_impact_by_search(segments, exit_node):
+    """The same counts by one search per segment; the check for small graphs."""
+    roots = segments.select(
+        F.col("seg_no").alias("scenario"),
+        F.lit(exit_node).alias("root"),
+        F.col("segment_id").alias("blocked_segment"),
+    )
+    tree, _ = graph.hop_tree(segments, roots)
+    known = tree.join(nodes(segments), F.col("node") == F.col("node_id"), "left_semi")
+    reached = known.groupBy(F.col("scenario").alias("seg_no")).agg(F.count(F.lit(1)).alias("_n"))
+    total = one_row(nodes(segments), F.count(F.lit(1)).alias("n"))["n"]
+    return segments.join(reached, "seg_no", "left").select(
+        "segment_id", (total - F.coalesce("_n", F.lit(0))).cast("bigint").alias("disconnected_node_count")
+    )
 
 
 def build(spark, edges):
@@ -109,14 +127,14 @@ def test_edge_impact_on_rings_and_long_passages(spark, edges, exit_node):
 def test_edge_impact_with_an_exit_outside_the_graph(spark):
     s = build(spark, LADDER)
     assert {r.disconnected_node_count for r in graph.edge_impact(s, "nowhere").collect()} == {8}
-    by_search = {r.segment_id: r.disconnected_node_count for r in graph.edge_impact_by_search(s, "3").collect()}
+    by_search = {r.segment_id: r.disconnected_node_count for r in edge_impact_by_search(s, "3").collect()}
     fast = {r.segment_id: r.disconnected_node_count for r in graph.edge_impact(s, "3").collect()}
     assert fast == by_search
 
 
 def test_graph_risk_with_equal_lengths(spark):
     s = build(spark, [("3", "1", 2.0, "chokepoint"), ("1", "2", 2.0, "")])
-    rows = {r.segment_id: r for r in graph.graph_risk(s, "3").collect()}
+    rows = {r.segment_id: r for r in graph.graph_risk(s, graph.edge_impact(s, "3")).collect()}
     assert rows["SEG_001"].length_score == 0.0
     # 2 of 3 nodes are cut off: .6 * 66.667 + .25 * 100
     assert rows["SEG_001"].graph_risk_score == 65.0 and rows["SEG_001"].risk_level == "HIGH"
@@ -223,3 +241,10 @@ def test_route_requests_fall_back(spark):
 
 def got_frame(spark, rows):
     return spark.createDataFrame(rows, "worker_id string, time_step int, trapped boolean")
+
+
+def test_negative_weights_are_refused(spark):
+    s = build(spark, [("3", "1", 5, ""), ("1", "2", -7, "")])
+    asks = spark.createDataFrame([("q", 0, s.first().segment_id, None)], "request_id string, time_step int, start_segment string, blocked_segment string")
+    with pytest.raises(Exception, match="negative weight of segment"):
+        routing.emergency_routes(s, asks, "3").collect()

@@ -89,7 +89,7 @@ def test_worker_timeline(spark, line):
     schema = "worker_id string, row_idx bigint, " + ", ".join(f"{c} string" for c in schemas.TRACKS)
     got = {
         (r.worker_id, r.time_step): (r.mapped_segment_id, r.motion_status, r.acc_magnitude)
-        for r in workers.worker_timeline(spark.createDataFrame(rows, schema), line, 2, 5).collect()
+        for r in workers.worker_timeline(spark.createDataFrame(rows, schema), line, 5).collect()
     }
     assert got == {
         ("a", 0): ("SEG_001", "moving", 5.0),
@@ -109,7 +109,7 @@ def test_gas_timeline(spark, line):
     assert np.allclose(values, [0.2, 0.4, 0.6, 0.8, 2.0])
     norm = gas.normaliser(means).first()
     assert math.isclose(norm.normaliser, np.percentile(values, 99)) and math.isclose(norm.max_value, 2.0)
-    got = gas.gas_timeline(means, segments.place_sensors(line), 2, 2).orderBy("time_step").collect()
+    got = gas.gas_timeline(means, segments.place_sensors(line), 2).orderBy("time_step").collect()
     assert [(r.time_step, r.sensor_id, r.segment_id, r.status) for r in got] == [
         (0, "GAS_SENSOR_01", "SEG_002", "normal"), (1, "GAS_SENSOR_01", "SEG_002", "medium"),
     ]
@@ -264,10 +264,10 @@ def test_pipeline_end_to_end(spark):
     readings = spark.range(90).select(F.col("id").alias("row_idx"), (F.col("id") / 90).alias("MM263"))
     drift = spark.createDataFrame([("batch1.dat", "1;1.0 1:2"), ("batch1.dat", "1;3.0 1:2")], "file_name string, line string")
     p = Pipeline(Inputs(edges, points, tracks, readings, drift), Settings(slice_count=6))
-    assert p.fused.count() == 9 * 3
-    assert p.scenario.count() == 1 and p.playback().count() == 9
+    assert p.fused.count() == 90 * 3
+    assert p.scenario.count() == 1 and p.playback().count() == 90
     assert p.segment_view().first().segment_id.startswith("S0")
-    assert p.worker_view(6).first().time_step == 0 and p.worker_view(3).first().time_step == 3
+    assert p.worker_view(75).first().time_step == 0 and p.worker_view(3).first().time_step == 3
     nodes, edges_ = p.graph_view()
     assert {r.node_id for r in nodes.where("is_exit").collect()} == {"3"} and edges_.count() == 3
     asks = spark.createDataFrame(
