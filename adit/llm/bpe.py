@@ -258,8 +258,15 @@ _workers: dict = {}
 
 
 def in_worker(key, make):
-    """``make()`` once per Python worker and key, so that caches outlive a task."""
+    """``make()`` once per Python worker and key, so that caches outlive a task.
+
+    A worker keeps the caches of one job at a time: another key empties the
+    dictionaries in a tuple of caches and lets go of the rest.
+    """
     if key not in _workers:
+        for held in _workers.values():
+            for cache in held if isinstance(held, tuple) else ():
+                cache.clear()
         _workers.clear()
         _workers[key] = make()
     return _workers[key]

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adit.llm.bpe import in_worker
+
 # ISO 639-1 codes by family. A code not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl af da sv no nb nn is fy lb yi",
@@ -207,6 +209,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("no caches", tuple)
         for batch in batches:
             names, scores = shared.value.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
@@ -221,6 +224,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("no caches", tuple)
         for batch in batches:
             names, _ = shared.value.predict([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
