@@ -374,8 +374,8 @@ view("answers", "asks", "route_walk", sql="""
     a.start_segment, a.blocked_segment, '0' AS exit_node, coalesce(r.segs, '') AS route_segments, coalesce(r.nodes, '') AS route_nodes,
     rnd(r.cost, 3) AS total_cost
   FROM asks a LEFT JOIN (SELECT * FROM route_walk WHERE here = '0') r USING (request_id)""")
-view("first_step", sql="SELECT 0 AS time_step, '' AS blocked_segment")
-cost_views("one", "first_step")
+view("every_step", "fused", sql="SELECT DISTINCT time_step, '' AS blocked_segment FROM fused")
+cost_views("one", "every_step")
 
 ORACLES: dict[str, str] = {}
 
@@ -511,7 +511,7 @@ oracle("graph_risk", "graph_risk", sql=f"""
 oracle("hop_route", "node_set", "hop_routes", sql="""
   SELECT node_id AS start_node, 'SEG_003' AS blocked_segment, route AS route_nodes FROM node_set LEFT JOIN hop_routes ON start = node_id""")
 oracle("weighted_route", "one_parents", sql="""
-  SELECT node, rnd(cost, 3) AS cost, hops, up.n AS parent, 'SEG_' || substr(up.g, 2) AS parent_segment FROM one_parents""")
+  SELECT time_step, node, rnd(cost, 3) AS cost, hops, up.n AS parent, 'SEG_' || substr(up.g, 2) AS parent_segment FROM one_parents""")
 oracle("route_requests", "asks", sql="SELECT request_id, worker_id, time_step, start_segment, blocked_segment FROM asks")
 oracle("emergency_route", "answers", sql="SELECT * FROM answers")
 oracle("emergency_scenario", "scenario", sql="SELECT * EXCLUDE (event_level) FROM scenario")

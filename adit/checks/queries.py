@@ -386,14 +386,13 @@ def q_hop_route(spark, sf):
 
 
 def q_weighted_route(spark, sf):
-    """Lowest-cost tree from the exit, unblocked, at the first step's risk."""
+    """Lowest-cost tree from the exit, unblocked, at every step's risk."""
     p = stages(spark, sf)
     risks = p.fused.select("time_step", "segment_id", F.col("final_segment_risk").alias("final_risk_score"))
-    first = spark.range(1).select(F.lit(0).alias("time_step"))
-    edges = materialize(routing.risk_edges(p.segments, risks, first), "weighted")
+    edges = materialize(routing.risk_edges(p.segments, risks, risks.select("time_step").distinct()), "weighted")
     tree = routing.cost_trees(edges, EXIT)
     return tree.select(
-        "node", scores.exact_round(F.col("cost"), 3).alias("cost"), "hops", "parent", "parent_segment"
+        "time_step", "node", scores.exact_round(F.col("cost"), 3).alias("cost"), "hops", "parent", "parent_segment"
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ def inventory(spark: SparkSession, roots: list[str], expected: DataFrame) -> Inv
 def sample_summary(points: DataFrame, total: int, target: int) -> DataFrame:
     """Bounds and size of a windowed sample, with the name of the method."""
     per_window, windows = window_plan(total, target)
+    # Fixed value: form of the method's name.
     method = f"windowed_distributed_sample_{windows}_windows_{per_window}_records_each"
     count = points.agg(F.count(F.lit(1)).alias("n")).scalar()
     return point_bounds(points).select(
@@ -51,11 +53,32 @@ def sample_summary(points: DataFrame, total: int, target: int) -> DataFrame:
 def sample_point_file(spark: SparkSession, path: str, target: int, out: str) -> DataFrame:
     """Store a windowed sample of point files; only the windows are read.
 
-    Returns the one-row summary of what was stored.
+    Returns one row on what was stored: source and its size, output and its
+    size, method, bounds, and the header of the first source file.
     """
     total = las.point_total(path)
     tables.write_points(las.read_las(spark, path, ranges=window_ranges(spark, total, target)), out)
-    return sample_summary(tables.read_points(spark, out), total, target)
+    sources, stored = files.list_files(spark, path), files.list_files(spark, out)
+
+    def size(listing: DataFrame, extension: str):
+        found = listing.where(F.col("extension") == extension).agg(F.sum("size_bytes").alias("b"))
+        return files.human_size(F.coalesce(found.scalar(), F.lit(0)))
+
+    headers = las.header_summary(sources, schemas.HEADER).where("header IS NOT NULL")
+    header = headers.agg(F.min_by("header", "path").alias("h")).scalar()
+    return sample_summary(tables.read_points(spark, out), total, target).select(
+        F.lit(path).alias("source"),
+        size(sources, ".las").alias("source_size"),
+        F.lit(out).alias("output"),
+        size(stored, ".parquet").alias("output_size"),
+        "*",
+        header.alias("header"),
+    )
+
+
+def sample_point_files(spark: SparkSession, targets: list[tuple[str, int, str]]) -> DataFrame:
+    """Samples of several sources (path, points wanted, output), one row each."""
+    return reduce(DataFrame.unionByName, [sample_point_file(spark, *t) for t in targets])
 
 
 def publish_all(p: Pipeline, *zones: str) -> None:

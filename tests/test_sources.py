@@ -205,6 +205,10 @@ def test_sample_job_reads_windows_and_reports_bounds(spark, tmp_path):
     assert got.sampled_point_count == 250 and got.sampling_method.endswith("84_windows_3_records_each")
     assert (got.min_x, got.max_z) == (100.0, 996.0)  # the last window is cut to one record
     assert tables.read_points(spark, out).count() == 250
+    assert got.source.endswith("a.las") and got.source_size == "33.6 KB" and got.output == out
+    assert got.output_size != "0 B" and got.header.point_count == 1000
+    both = jobs.sample_point_files(spark, [(str(tmp_path / "a.las"), n, f"{out}-{n}") for n in (10, 20)]).collect()
+    assert [r.sampled_point_count for r in both] == [10, 20]
 
 
 def test_inventory_job(spark, tmp_path):
