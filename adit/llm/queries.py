@@ -97,6 +97,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_itq_embeddings": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, e FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+            WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS node, vec_id AS component FROM embeddings
+            UNION SELECT l.b, r.component FROM reach r JOIN links l ON l.a = r.node
+        ), low AS (SELECT node, min(component) AS component_id FROM reach GROUP BY node),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+        FROM embeddings e JOIN low l ON l.node = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id""",
     "op5_chat_format": r"""
         WITH raw AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -36,11 +36,15 @@ def test_query(spark, name):
 
 
 @here
-def test_chat_oracle(spark):
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(spark, name):
     con = compare.duck(SF_DIR)
-    want = sorted(con.execute(ORACLES["op5_chat_format"]).fetchall())
-    got = QUERIES["op5_chat_format"](spark, SF_DIR).collect()
-    assert sorted(tuple(r) for r in got) == want
+    result = con.execute(ORACLES[name])
+    columns = sorted(d[0] for d in result.description)
+    want = sorted(tuple(r[c] for c in columns) for r in (dict(zip([d[0] for d in result.description], r)) for r in result.fetchall()))
+    got = QUERIES[name](spark, SF_DIR)
+    assert sorted(got.columns) == columns
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == want
 
 
 @here
