@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from adit.functions.scores import GRAPH_WEIGHTS, exact_round, normalize, risk_level, weighted_sum
 from adit.operators.segments import node_degree, nodes
-from adit.workspace import materialize, materialize_counted, new_path, one_row
+from adit.workspace import loop_folder, materialize, materialize_counted, new_path, one_row
 
 # Levels of the tree folded upwards per written table.
 FOLD_LEVELS = 4
@@ -348,54 +348,38 @@ def graph_risk(segments: DataFrame, impact: DataFrame) -> DataFrame:
     )
 
 
-def walk(starts: DataFrame, tree: DataFrame, steps_per_table: int = 6) -> DataFrame:
-    """Follow parents from each start node to the root.
+def walk(starts: DataFrame, tree: DataFrame) -> DataFrame:
+    """Follow parents from each start node to the root, or out of the tree.
 
     ``starts``: (request_id, scenario, node); requests whose node is not in
     the tree drop out. Adds ``route_nodes``, ``route_segments`` and the
     ``weights`` of those segments (nulls in a tree without weights).
+
+    Pointers are doubled: after k rounds every request has the nodes less than
+    2^k steps ahead, one row each, and every node a pointer 2^k steps up.
     """
     weight = F.col("parent_weight") if "parent_weight" in tree.columns else F.lit(None).cast("double")
-    up = tree.select("scenario", "node", "parent", "parent_segment", weight.alias("parent_weight"))
-    ahead = [
-        F.col("parent").alias("node"),
-        F.struct(F.col("parent_segment").alias("segment"), F.col("parent_weight").alias("weight")).alias("via"),
-    ]
-    at = starts.join(up, ["scenario", "node"]).select(
-        "request_id",
-        "scenario",
-        F.array("node").alias("route_nodes"),
-        F.array().cast("array<struct<segment: string, weight: double>>").alias("taken"),
-        *ahead,
-    )
-    onward = up.withColumnsRenamed({"scenario": "_in", "node": "_at"})
-    finished: list[DataFrame] = []
-    while True:
-        for _ in range(steps_per_table):
-            # Pending rows move one node; finished ones match nothing and stay.
-            moving = F.col("_node").isNotNull()
-            at = (
-                at.withColumnsRenamed({"node": "_node", "via": "_via"})
-                .join(onward, (F.col("scenario") == F.col("_in")) & (F.col("_node") == F.col("_at")), "left")
-                .select(
-                    "request_id",
-                    "scenario",
-                    F.when(moving, F.array_append("route_nodes", F.col("_node")))
-                    .otherwise(F.col("route_nodes"))
-                    .alias("route_nodes"),
-                    F.when(moving, F.array_append("taken", F.col("_via"))).otherwise(F.col("taken")).alias("taken"),
-                    *ahead,
-                )
-            )
-        at, pending = materialize_counted(at, "walk", F.col("node").isNotNull())
-        finished.append(at.where(F.col("node").isNull()))
-        at = at.where(F.col("node").isNotNull())
-        if not pending:
-            break
-    return reduce(DataFrame.unionByName, finished).select(
-        "request_id",
-        "scenario",
-        "route_nodes",
-        F.col("taken.segment").alias("route_segments"),
-        F.col("taken.weight").alias("weights"),
-    )
+    up = tree.select("scenario", "node", "parent", F.struct(F.col("parent_segment").alias("segment"), weight.alias("weight")).alias("via"))
+    with loop_folder(tree.sparkSession, "walk") as folder:
+        here = starts.join(up.select("scenario", "node"), ["scenario", "node"], "left_semi")
+        place, count = materialize_counted(here.select("request_id", "scenario", F.lit(0).alias("at"), "node"), "places", inside=folder)
+        leap = materialize(up.where("parent IS NOT NULL").select("scenario", "node", F.col("parent").alias("to")), "leaps", inside=folder)
+        places, width = [place], 1
+        while count:
+            known = reduce(DataFrame.unionByName, places)
+            ahead = known.join(leap, ["scenario", "node"]).select("request_id", "scenario", (F.col("at") + width).alias("at"), F.col("to").alias("node"))
+            place, count = materialize_counted(ahead, "places", inside=folder)
+            places.append(place)
+            further = leap.select("scenario", F.col("node").alias("to"), F.col("to").alias("_to"))
+            leap = materialize(leap.join(further, ["scenario", "to"]).select("scenario", "node", F.col("_to").alias("to")), "leaps", inside=folder)
+            width *= 2
+        passed = reduce(DataFrame.unionByName, places).join(up.select("scenario", "node", "via"), ["scenario", "node"], "left")
+        route = F.sort_array(F.collect_list(F.struct("at", "node", "via")))
+        routes = passed.groupBy("request_id", "scenario").agg(route.alias("r"))
+        taken = F.filter(F.col("r.via"), lambda v: v["segment"].isNotNull())
+        return materialize(
+            routes.select("request_id", "scenario", F.col("r.node").alias("route_nodes"), taken.alias("t")).select(
+                "request_id", "scenario", "route_nodes", F.col("t.segment").alias("route_segments"), F.col("t.weight").alias("weights")
+            ),
+            "routes",
+        )

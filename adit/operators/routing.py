@@ -187,7 +187,7 @@ def best_routes(edges: DataFrame, base: DataFrame, starts: DataFrame) -> DataFra
         place = F.struct("time_step", "node").alias("request_id")
         keyed = asked.select(place, F.col("time_step").alias("scenario"), "node")
         routes = walk(keyed, base.withColumnRenamed("time_step", "scenario"))
-        return materialize(routes.select("request_id.*", *columns), "base-routes")
+        return routes.select("request_id.*", *columns)
 
     plain = starts.join(along_base(starts), ["time_step", "node"])
     plain = plain.withColumn("_hit", F.array_contains("route_segments", F.col("blocked_segment")))
