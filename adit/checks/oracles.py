@@ -418,9 +418,9 @@ oracle("human_size", sql="""
     ELSE printf('%.1f TB', b / 1099511627776) END AS size
   FROM (SELECT o_orderkey, CAST(trunc(pow(o_totalprice, 2) * pow(10.0, o_orderkey % 6 - 3)) AS BIGINT) AS b FROM orders)""")
 oracle("time_step_filter", "workers", sql="""
-  SELECT 3 AS asked, time_step, worker_id, mapped_segment_id FROM workers WHERE time_step = 3
-  UNION ALL
-  SELECT 100000, time_step, worker_id, mapped_segment_id FROM workers WHERE time_step = (SELECT min(time_step) FROM workers)""")
+  SELECT asked, time_step, worker_id, mapped_segment_id FROM workers, (VALUES ('3'), ('100000'), (''), ('All')) a(asked)
+  WHERE CASE asked WHEN '3' THEN time_step = 3 WHEN 'All' THEN true
+    ELSE time_step = (SELECT min(time_step) FROM workers) END""")
 oracle("csv_source", "segments", sql="SELECT seg_no, from_node, to_node, length, notes, is_chokepoint FROM segments")
 oracle("json_source", "segments", sql="SELECT seg_no, segment_id, from_node, to_node, length, notes, is_chokepoint FROM segments")
 oracle("json_document", "sensors", sql="SELECT * FROM sensors")

@@ -6,6 +6,8 @@ columns; the operators themselves return arrays, maps and structs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,11 +117,10 @@ def q_human_size(spark, sf):
 
 
 def q_time_step_filter(spark, sf):
-    """Rows of an existing step, plus the fallback for one that never occurs."""
+    """A step that occurs, the fallback for one that never does, no step named, and all of them."""
     rows = stages(spark, sf).workers
-    hit = steps.at_time_step(rows, 3).withColumn("asked", F.lit(3))
-    miss = steps.at_time_step(rows, 100_000).withColumn("asked", F.lit(100_000))
-    return hit.unionByName(miss).select("asked", "time_step", "worker_id", "mapped_segment_id")
+    asked = [steps.at_time_step(rows, steps.parse_time_step(raw)).withColumn("asked", F.lit(raw)) for raw in ("3", "100000", "", "All")]
+    return reduce(DataFrame.unionByName, asked).select("asked", "time_step", "worker_id", "mapped_segment_id")
 
 
 def q_csv_source(spark, sf):

@@ -31,9 +31,11 @@ def to_float(c: Column, default: float | None = 0.0) -> Column:
 
 
 def canonical_segment_id(c: Column) -> Column:
-    """``SEG_047``, ``S47`` or ``47`` become ``S047``; no digits: stripped text.
+    """The digits that end an id, without leading zeros, as ``S`` and three digits or more.
 
-    Padding works on text, so digit runs longer than a bigint survive.
+    ``gallery-5`` gives ``S005`` and ``X0012345`` gives ``S12345``. An id that
+    does not end in a digit is only stripped. The digits stay text, so their
+    number is not limited.
     """
     text = strip(c)
     digits = F.regexp_extract(text, r"(\d+)$", 1)

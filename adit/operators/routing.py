@@ -19,6 +19,7 @@ from adit.functions.scores import edge_weight, exact_round
 from adit.operators.graph import adjacency, both_ways, exit_roots, hop_tree, walk
 from adit.workspace import loop_folder, materialize, materialize_counted, one_row, task_count
 
+# Fixed value: name of the cost rule.
 COST_POLICY = "length + final_risk_score * 0.20"
 NO_BLOCK = ""
 LEVELS_PER_TABLE = 4
@@ -322,6 +323,7 @@ def emergency_routes(
         .agg(F.min(choice).alias("_b"))
         .select("request_id", "_b.route_nodes", "_b.route_segments", F.col("_b.cost").alias("_cost"))
     )
+    # Reasons of an answer.
     outcome = (
         F.when(F.col("_known").isNull(), F.lit("start_segment_not_found"))
         .when(F.col("start_segment") == F.col("_block"), F.lit("worker_segment_blocked"))

@@ -38,6 +38,11 @@ def node_degree(segments: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+# Reasons of a placement.
+AT_EXIT, AT_JUNCTION, AT_CHOKEPOINT = "exit_node", "junction", "chokepoint_segment"
+SENSOR_REASON = "chokepoint_or_long_segment"
+
+
 def place_anchors(segments: DataFrame, exit_node: str) -> DataFrame:
     """Exit and junction nodes by (name length, name), then chokepoint segments."""
     is_exit = F.col("node_id") == exit_node
@@ -50,7 +55,7 @@ def place_anchors(segments: DataFrame, exit_node: str) -> DataFrame:
             F.lit(0).cast("bigint").alias("_seg"),
             "node_id",
             F.lit(None).cast("string").alias("segment_id"),
-            F.when(is_exit, "exit_node").otherwise("junction").alias("placement_reason"),
+            F.when(is_exit, AT_EXIT).otherwise(AT_JUNCTION).alias("placement_reason"),
         )
     )
     at_chokepoints = segments.where("is_chokepoint").select(
@@ -59,7 +64,7 @@ def place_anchors(segments: DataFrame, exit_node: str) -> DataFrame:
         F.col("seg_no").alias("_seg"),
         F.col("from_node").alias("node_id"),
         "segment_id",
-        F.lit("chokepoint_segment").alias("placement_reason"),
+        F.lit(AT_CHOKEPOINT).alias("placement_reason"),
     )
     placed = ordered_index(
         at_nodes.unionByName(at_chokepoints), ["_kind", "_len", "_seg", "node_id"], out="_no", start=1
@@ -84,7 +89,7 @@ def place_sensors(segments: DataFrame, count: int = SENSOR_COUNT) -> DataFrame:
     return chosen.select(
         numbered("GAS_SENSOR_", 2, number).alias("sensor_id"),
         "segment_id",
-        F.lit("chokepoint_or_long_segment").alias("placement_reason"),
+        F.lit(SENSOR_REASON).alias("placement_reason"),
     )
 
 
