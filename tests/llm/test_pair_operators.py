@@ -231,7 +231,7 @@ def test_disguises_are_read(model, hidden):
 
 def test_beginnings_and_clean_text(model):
     assert model.score("some verpfuerei and verpfugung and verpfuest here") >= 0.7
-    for t in ["", "   ", "A price of 100 $ at 10:30, see (a) b c.", "a a a a a a", "THE!! END!!", "x" * 50_000, "1 " * 20_000, "a$b!c " * 2_000]:
+    for t in ["", "   ", "A price of 100 $ at 10:30, see (a) b c.", "a a a a a a", "THE!! END!!", "x" * 50_000, "1 " * 20_000, "a$b!c " * 2_000, "$" * 100, "0" * 500 + "text", "1" * 61, "@" * 70 + "!" * 70]:
         assert model.score(t) < 0.3
 
 
