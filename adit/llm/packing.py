@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adit.llm.bpe import WordBPE, in_worker
@@ -211,11 +211,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = settled[0]
     for more in settled[1:]:
         placed = placed.unionByName(more)
-    members = F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("n"), "key")))
-    lined = placed.groupBy("sequence_id").agg(members.alias("m"))
-    start = F.coalesce(F.aggregate(F.slice(F.col("m"), 1, F.col("i")), F.lit(0).cast("long"), lambda acc, x: acc - x["n"]), F.lit(0).cast("long"))
-    spread = lined.select("sequence_id", "m", F.posexplode("m").alias("i", "x"))
-    return spread.select(F.col("x.key").alias("key"), "sequence_id", start.alias("offset")).union(full)
+    before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "key").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
+    return placed.select("key", "sequence_id", offset).union(full)
 
 
 def packed_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END_OF_TEXT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
