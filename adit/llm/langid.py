@@ -36,8 +36,8 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 ORDERS = (2, 3, 4)
 DIMENSIONS = 1 << 13
-#: Training texts kept per language, those with the smallest hashes.
-PER_LANGUAGE = 400
+#: Training texts kept per language, those with the smallest hashes, and in all.
+PER_LANGUAGE, MOST_TEXTS = 400, 4000
 #: Languages learned at most, those with most rows.
 MOST_LANGUAGES = 1000
 UNKNOWN = "und"
@@ -155,12 +155,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     """Fit on at most ``per_language`` distinct texts of each language, chosen by hash.
 
     Rows with null text or language and texts without a letter teach nothing; with no row
-    left the model calls everything unknown. The sample, and so what the driver holds, is
-    bounded by the number of languages.
+    left the model calls everything unknown. With many languages each has an equal
+    share of ``MOST_TEXTS``, so what the driver holds is bounded.
     """
     known = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     keyed = known.select("lang", "text", F.xxhash64("text").alias("h"))
     rows = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    per_language = min(per_language, max(10, MOST_TEXTS // max(1, rows.count())))
     # A share of each language by hash first, so that no window sorts a whole language.
     part = F.pmod("h", F.lit(1 << 20)) / float(1 << 20) * F.col("n") < 4 * per_language
     order = Window.partitionBy("lang").orderBy("h", "text")
