@@ -270,34 +270,41 @@ view("fused", "grid", sql=f"""
     printf('Methane risk %.1f, confidence-adjusted %.1f', methane, adjusted) AS gas_reason,
     CASE WHEN exposure > 0 THEN 'worker is inside this segment' ELSE 'no active worker exposure' END AS worker_reason
   FROM (SELECT *, 0.35 * shape + 0.25 * graph + 0.25 * adjusted + 0.15 * exposure AS final FROM grid)""")
-view("event", "fused", sql="""
-  SELECT time_step, segment_id, risk_level, final_segment_risk,
-    CASE WHEN risk_level = 'CRITICAL' THEN 'POTENTIAL_COLLAPSE_OR_UNSAFE_SEGMENT' ELSE 'HIGHEST_RISK_SEGMENT_ROUTE_STRESS_TEST' END AS event_type,
-    CASE WHEN risk_level = 'CRITICAL' THEN 'critical_risk_threshold' ELSE 'no_critical_segment_detected_in_local_safe_pass' END AS scenario_basis
-  FROM fused ORDER BY risk_level = 'CRITICAL' DESC, final_segment_risk DESC, time_step, seg_no LIMIT 1""")
-hop_views("esc", "(SELECT segment_id FROM event)", "event")
-
-
 def last_known(step: str) -> str:
     return f"""
       SELECT worker_id, coalesce(max(CASE WHEN time_step = {step} THEN mapped_segment_id END),
         arg_max(mapped_segment_id, time_step)) AS worker_segment FROM workers GROUP BY worker_id"""
 
 
-view("at_event", "workers", "event", sql=last_known("(SELECT time_step FROM event)"))
-view("scenario", "at_event", "event", "segments", "esc_routes", sql="""
-  SELECT e.time_step, a.worker_id, a.worker_segment, e.segment_id AS blocked_segment, '0' AS exit_node,
-    a.worker_segment <> e.segment_id AND r.route IS NOT NULL AS exit_reachable_after_blockage,
-    CASE WHEN a.worker_segment <> e.segment_id THEN r.route END AS alternative_route_to_exit,
-    CASE WHEN e.risk_level = 'CRITICAL' AND a.worker_segment = e.segment_id THEN 'CRITICAL_WORKER_IN_BLOCKED_SEGMENT'
-         WHEN e.risk_level = 'CRITICAL' AND r.route IS NOT NULL THEN 'ALTERNATIVE_ROUTE_AVAILABLE'
-         WHEN e.risk_level = 'CRITICAL' THEN 'CRITICAL_WORKER_TRAPPED'
-         WHEN a.worker_segment = e.segment_id THEN 'WORKER_INSIDE_HIGHEST_RISK_SEGMENT_STRESS_TEST'
-         WHEN r.route IS NOT NULL THEN 'STRESS_TEST_ALTERNATIVE_ROUTE_AVAILABLE'
-         ELSE 'STRESS_TEST_NO_ROUTE_AVAILABLE' END AS emergency_status,
-    e.scenario_basis, e.event_type, e.final_segment_risk AS event_risk, e.risk_level AS event_level
-  FROM at_event a CROSS JOIN event e LEFT JOIN segments s ON s.segment_id = a.worker_segment
-  LEFT JOIN esc_routes r ON r.start = s.from_node""")
+def scenario_views(prefix: str, fused: str) -> None:
+    """The event of a risk table and what it does to every worker."""
+    view(f"{prefix}event", fused, sql=f"""
+      SELECT time_step, segment_id, risk_level, final_segment_risk,
+        CASE WHEN risk_level = 'CRITICAL' THEN 'POTENTIAL_COLLAPSE_OR_UNSAFE_SEGMENT' ELSE 'HIGHEST_RISK_SEGMENT_ROUTE_STRESS_TEST' END AS event_type,
+        CASE WHEN risk_level = 'CRITICAL' THEN 'critical_risk_threshold' ELSE 'no_critical_segment_detected_in_local_safe_pass' END AS scenario_basis
+      FROM {fused} ORDER BY risk_level = 'CRITICAL' DESC, final_segment_risk DESC, time_step, seg_no LIMIT 1""")
+    hop_views(f"{prefix}esc", f"(SELECT segment_id FROM {prefix}event)", f"{prefix}event")
+    view(f"{prefix}at_event", "workers", f"{prefix}event", sql=last_known(f"(SELECT time_step FROM {prefix}event)"))
+    view(f"{prefix}scenario", f"{prefix}at_event", f"{prefix}event", "segments", f"{prefix}esc_routes", sql=f"""
+      SELECT e.time_step, a.worker_id, a.worker_segment, e.segment_id AS blocked_segment, '0' AS exit_node,
+        a.worker_segment <> e.segment_id AND r.route IS NOT NULL AS exit_reachable_after_blockage,
+        CASE WHEN a.worker_segment <> e.segment_id THEN r.route END AS alternative_route_to_exit,
+        CASE WHEN e.risk_level = 'CRITICAL' AND a.worker_segment = e.segment_id THEN 'CRITICAL_WORKER_IN_BLOCKED_SEGMENT'
+             WHEN e.risk_level = 'CRITICAL' AND r.route IS NOT NULL THEN 'ALTERNATIVE_ROUTE_AVAILABLE'
+             WHEN e.risk_level = 'CRITICAL' THEN 'CRITICAL_WORKER_TRAPPED'
+             WHEN a.worker_segment = e.segment_id THEN 'WORKER_INSIDE_HIGHEST_RISK_SEGMENT_STRESS_TEST'
+             WHEN r.route IS NOT NULL THEN 'STRESS_TEST_ALTERNATIVE_ROUTE_AVAILABLE'
+             ELSE 'STRESS_TEST_NO_ROUTE_AVAILABLE' END AS emergency_status,
+        e.scenario_basis, e.event_type, e.final_segment_risk AS event_risk, e.risk_level AS event_level
+      FROM {prefix}at_event a CROSS JOIN {prefix}event e LEFT JOIN segments s ON s.segment_id = a.worker_segment
+      LEFT JOIN {prefix}esc_routes r ON r.start = s.from_node""")
+
+
+scenario_views("", "fused")
+# Doubled risks reach the critical band, which the plain ones need not.
+view("hot_fused", "fused", sql=f"""
+  SELECT * REPLACE (least(100.0, 2 * final_segment_risk) AS final_segment_risk, {level('2 * final_segment_risk')} AS risk_level) FROM fused""")
+scenario_views("hot_", "hot_fused")
 view("playback", "workers", "scenario", "fused", sql="""
   SELECT c.worker_id, CAST(t.i AS INTEGER) AS time_step,
     CASE WHEN t.i >= c.time_step AND NOT exit_reachable_after_blockage THEN worker_segment
@@ -514,6 +521,7 @@ oracle("weighted_route", "one_parents", sql="""
   SELECT time_step, node, rnd(cost, 3) AS cost, hops, up.n AS parent, 'SEG_' || substr(up.g, 2) AS parent_segment FROM one_parents""")
 oracle("route_requests", "asks", sql="SELECT request_id, worker_id, time_step, start_segment, blocked_segment FROM asks")
 oracle("emergency_route", "answers", sql="SELECT * FROM answers")
+oracle("critical_scenario", "hot_scenario", sql="SELECT * EXCLUDE (event_level) FROM hot_scenario")
 oracle("emergency_scenario", "scenario", sql="SELECT * EXCLUDE (event_level) FROM scenario")
 oracle("graph_nodes", "node_set", sql="SELECT node_id, node_id = '0' AS is_exit FROM node_set")
 oracle("graph_edges", "segments", sql=f"SELECT {short('segment_id')} AS segment_id, from_node, to_node, length, is_chokepoint FROM segments")

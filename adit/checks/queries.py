@@ -433,8 +433,20 @@ def q_emergency_route(spark, sf):
     )
 
 
+def q_critical_scenario(spark, sf):
+    """The scenario of doubled risks, which reach the critical band."""
+    p = stages(spark, sf)
+    doubled = F.col("final_segment_risk") * 2
+    hot = p.fused.withColumns({"final_segment_risk": F.least(F.lit(100.0), doubled), "risk_level": scores.risk_level(doubled)})
+    return _flat_scenario(events.emergency_scenario(p.segments, p.workers, hot, EXIT))
+
+
 def q_emergency_scenario(spark, sf):
-    return stages(spark, sf).scenario.select(
+    return _flat_scenario(stages(spark, sf).scenario)
+
+
+def _flat_scenario(scenario):
+    return scenario.select(
         "time_step",
         "worker_id",
         "worker_segment",
