@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adit.llm.bpe import in_worker
+from adit.workspace import materialize_counted
 
 # ISO 639-1 codes by family. A code not listed is a family of its own.
 FAMILIES = {
@@ -160,8 +161,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     """
     known = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     keyed = known.select("lang", "text", F.xxhash64("text").alias("h"))
-    rows = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    per_language = min(per_language, max(10, MOST_TEXTS // max(1, rows.count())))
+    # Distinct texts are counted, so that copies do not thin out what a share of hashes leaves.
+    texts = keyed.groupBy("lang", "h").agg(F.count("*").alias("copies"))
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("n"), F.sum("copies").alias("rows"))
+    rows, found = materialize_counted(sizes.orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).select("lang", "n"), "language-sizes")
+    per_language = min(per_language, max(10, MOST_TEXTS // max(1, found)))
     # A share of each language by hash first, so that no window sorts a whole language.
     part = F.pmod("h", F.lit(1 << 20)) / float(1 << 20) * F.col("n") < 4 * per_language
     order = Window.partitionBy("lang").orderBy("h", "text")

@@ -291,6 +291,19 @@ def test_languages(documents):
     assert langid.keep_known(documents(odd), model).count() == 2
 
 
+def test_much_copied_text_does_not_displace_a_language(documents):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    few = documents([(i, invented(c, rng), c) for i, c in enumerate(["en", "fr"] * 60)])
+    hot = documents([(0, invented("fr", rng), "fr")]).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40_000)))).drop("k")
+    plain, copied = langid.train(few, per_language=20), langid.train(few.union(hot), per_language=20)
+    assert plain.languages == copied.languages == ["en", "fr"]
+    test = documents([(i, invented(c, rng), c) for i, c in enumerate(["en", "fr"] * 20)])
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(test, copied).collect()}
+    assert [got[i] for i in range(40)] == ["en", "fr"] * 20
+
+
 def test_languages_without_training_rows(documents):
     model = langid.train(documents([(1, None, "en"), (2, "x", None)]))
     assert {(r["lang_pred"], r["score"]) for r in langid.predict(documents([(1, "text"), (2, None)]), model).collect()} == {("und", 0.0)}
