@@ -235,6 +235,29 @@ def test_beginnings_and_clean_text(model):
         assert model.score(t) < 0.3
 
 
+@pytest.mark.parametrize("gap", [" ", "  ", "   ", " \n\t "])
+def test_spaced_words_are_read_at_every_place(model, gap):
+    for before in range(25):
+        said = ["moron"] * before + ["idiot", "stupid"]
+        assert model.restore(gap.join("".join(said))).split() == said
+        assert model.restore((gap * 4).join(gap.join(w) for w in said)).split() == said
+
+
+def test_long_spaced_text_is_read_as_a_whole(model):
+    said = ["stupid", "moron", "idiot"] * 700
+    got = model.restore(" ".join("".join(said))).split()
+    assert Counter(got) == Counter(said)
+
+
+def test_decoder_keeps_no_more_than_it_needs(model, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdi10@$*.-eo") for _ in range(300)) for _ in range(10)] + ["z" * 3000 + "1d10t"]
+    want = [model.chars.decode(t) for t in texts]
+    monkeypatch.setattr(toxicity, "SETTLE", 3)
+    monkeypatch.setattr(toxicity, "CACHE_COSTS", 50)
+    assert [model.chars.decode(t) for t in texts] == want
+
+
 def test_decoder_finds_the_cheapest_path(model):
     """Against all readings of a short stretch, spelled out."""
     chars = model.chars
