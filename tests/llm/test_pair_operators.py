@@ -249,6 +249,25 @@ def test_long_spaced_text_is_read_as_a_whole(model):
     assert Counter(got) == Counter(said)
 
 
+@pytest.mark.parametrize("hidden", ["st" + "u" * 60 + "pid", "st" + "u" * 5000 + "pid", ".".join("stupid" * 12), "/".join(["1d10t"] * 15), "_".join(["1d10t"] * 15), "-".join("m0r0n" * 500)])
+def test_long_stretches_are_read(model, hidden):
+    assert len(hidden) > 60 and model.score("the rest of a text " + hidden + " with other words") >= 0.7
+    found = model.restore(hidden)
+    assert any(w in found for w in ("idiot", "moron", "stupid"))
+
+
+def test_doubled_letters_are_reduced_one_by_one():
+    words = Counter({"asshole": 9, "ashes": 9, "hole": 9})
+    model = toxicity.Model({"asshole": 5.0}, toxicity.CharModel(toxicity.CharModel.count(words)))
+    assert model.restore("asshoole") == "asshole"
+
+
+def test_all_states_are_kept():
+    vowels = [a + b + c + d for a in "aeiou" for b in "aeiou" for c in "aeiou" for d in "aeiou"]
+    model = toxicity.CharModel(toxicity.CharModel.count(Counter({**dict.fromkeys(vowels, 50), "uoiexyz": 1})))
+    assert model.decode("****xyz") == "uoiexyz"
+
+
 def test_decoder_keeps_no_more_than_it_needs(model, monkeypatch):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcdi10@$*.-eo") for _ in range(300)) for _ in range(10)] + ["z" * 3000 + "1d10t"]
