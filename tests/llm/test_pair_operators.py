@@ -306,6 +306,24 @@ def test_scores_of_odd_rows(documents, model):
     assert toxicity.score(documents([]), model).count() == 0
 
 
+def test_copies_do_not_thin_out_the_sample(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    monkeypatch.setattr(toxicity, "PER_CLASS", 100)
+    others = [(words(rng, 12, "aeinrstlodhc", 7), y) for y in (0, 1) for _ in range(200)]
+    table = spark.createDataFrame(others, "text string, toxic int")
+    hot = spark.range(5_000).select(F.lit("one text that is copied over and over again").alias("text"), F.lit(1).alias("toxic"))
+    near = spark.range(5_000).select(F.concat(F.lit(words(rng, 900) + " "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("toxic"))
+    got = toxicity._sample(table.union(hot).union(near), "toxic", "text").toPandas()
+    sizes = got.groupby("y")["n"].max().to_dict()
+    assert sizes[0] == 200 and 202 <= sizes[1] <= 220
+    for y in (0, 1):
+        assert 70 <= len(got[got["y"] == y]) <= 130
+    short = toxicity.near_keys(["", "a", "A b", "a b c D", "a b c d", "a b c d e", "z", ""])
+    assert short[3] == short[4] and short[0] == short[7] and len(set(short[[0, 1, 2, 3, 6]].tolist())) == 5
+
+
 def test_training_without_labels(documents, spark):
     model = toxicity.train(spark.createDataFrame([], "text string, toxic int"))
     assert model.score("idiot") < 0.1
