@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adit.llm import attribution, bpe, chat, ctph, itq, langid, maxent, packing, simhash, toxicity
+from adit.llm import attribution, bpe, chat, ctph, itq, langid, maxent, mixing, packing, simhash, toxicity
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -83,6 +83,10 @@ def op10_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_itq_embeddings": op1_itq_embeddings,
     "op2_toxicity_channel": op2_toxicity_channel,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_balls": op8_simhash_balls,
     "op9_piecewise_hash": op9_piecewise_hash,
     "op10_language_svm": op10_language_svm,
+    "op13_source_mix": op13_source_mix,
 }
 
 ORACLES: dict[str, str] = {
@@ -130,4 +135,48 @@ ORACLES: dict[str, str] = {
                sum(text_chars + CASE WHEN before IS NOT DISTINCT FROM role THEN length('<part>')
                    ELSE length('<turn><says></turn>') + role_chars END)::BIGINT AS formatted_chars
         FROM placed GROUP BY conv_id""",
+    "op13_source_mix": r"""
+        WITH sized AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                   md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+            FROM documents
+        ), sums AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM sized GROUP BY source
+        ), weighed AS (SELECT *, [3, 1, 2][no % 3 + 1] AS w, 2 * source_size AS top FROM sums),
+        filled AS (
+            SELECT *, coalesce(sum(top) OVER before, 0) AS tops, coalesce(sum(w) OVER before, 0) AS ws,
+                   sum(source_size) OVER () AS everything, sum(w) OVER () AS all_ws
+            FROM weighed WINDOW before AS (ORDER BY CAST(top AS DOUBLE) / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), water AS (SELECT max(CAST(everything * 3 - tops * 2 AS DOUBLE) / CAST((all_ws - ws) * 2 AS DOUBLE)) AS level FROM filled),
+        targets AS (
+            SELECT source, no, w, top, source_size, least(CAST(top AS DOUBLE), level * w) AS target, CAST((source_size + 31) // 32 AS BIGINT) AS blocks
+            FROM weighed, water
+        ), seats AS (
+            SELECT (6 * sum(source_size) - coalesce(4 * sum(top) FILTER (target >= top), 0) + 64) // 128 AS n FROM targets
+        ), asked AS (
+            SELECT no, row_number() OVER (ORDER BY CAST(w AS DOUBLE) / (2 * j + 1) DESC, no, j) AS place
+            FROM (SELECT no, w, unnest(range(2 * blocks)) AS j FROM targets WHERE target < top)
+        ), won AS (SELECT no, count(*) AS n FROM asked, seats WHERE place <= seats.n GROUP BY no),
+        quotas AS (
+            SELECT t.*, CASE WHEN target >= top THEN 2 * blocks ELSE coalesce(won.n, 0) END AS quota FROM targets t LEFT JOIN won USING (no)
+        ), dealt AS (
+            SELECT no, b, b // 1024 AS shard, CAST(quota % blocks AS DOUBLE) AS rest, blocks,
+                   row_number() OVER (PARTITION BY no, b // 1024 ORDER BY md5('mix|' || CAST(no AS VARCHAR) || '|' || CAST(b AS VARCHAR))) AS place
+            FROM (SELECT no, quota, blocks, unnest(range(blocks)) AS b FROM quotas)
+        ), chosen AS (
+            SELECT no, b FROM dealt
+            WHERE place <= floor(rest * least(blocks, (shard + 1) * 1024) / blocks + 0.5) - floor(rest * (shard * 1024) / blocks + 0.5)
+        ), placed AS (
+            SELECT doc_id, source, size, row_number() OVER () AS r,
+                   CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+            FROM sized
+        ), pieces AS (
+            SELECT r, no, start, size, unnest(CASE WHEN size > 0 THEN range(start // 32, (start + size - 1) // 32 + 1) END) AS b
+            FROM placed p JOIN quotas q ON p.source IS NOT DISTINCT FROM q.source
+        ), more AS (
+            SELECT r, sum(least(start + size, (b + 1) * 32) - greatest(start, b * 32)) AS n FROM pieces JOIN chosen USING (no, b) GROUP BY r
+        )
+        SELECT doc_id, size, source_size, target, CAST(size * CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END + coalesce(more.n, 0) AS BIGINT) AS taken,
+               CAST(CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS BIGINT) AS whole_passes
+        FROM placed p JOIN quotas q ON p.source IS NOT DISTINCT FROM q.source LEFT JOIN more USING (r)""",
 }
