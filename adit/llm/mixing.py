@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from adit.operators.indexing import ordered_index
 from adit.operators.running import running_totals
-from adit.workspace import materialize, new_path, one_row
+from adit.workspace import materialize, new_path, one_row, task_count
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the first, second, third source and so on, repeating.
@@ -108,7 +108,8 @@ def chosen_blocks(quota: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: str
     last = F.floor((F.col("blocks") - 1) / shard_blocks)
     some = quota.where("blocks > 0 AND quota % blocks > 0").withColumn("_rest", rest)
     dealt = some.select("source_no", "blocks", "_rest", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("shard"))
-    dealt = dealt.repartition("source_no", "shard").withColumn("first", F.col("shard") * shard_blocks)
+    # A fixed number of tasks: the rows are few and small, but each unfolds into its blocks.
+    dealt = dealt.repartition(task_count(quota.sparkSession), "source_no", "shard").withColumn("first", F.col("shard") * shard_blocks)
     dealt = dealt.withColumn("n", F.least(F.lit(shard_blocks).cast("long"), F.col("blocks") - F.col("first")))
     upto = lambda block: F.floor(F.col("_rest") * block / F.col("blocks") + 0.5)
     dealt = dealt.withColumn("take", upto(F.col("first") + F.col("n")) - upto(F.col("first")))
@@ -151,10 +152,11 @@ def mix(
     of_source = quota.select("source", "source_no", "source_size", "target", F.coalesce(F.floor(F.col("quota") / F.expr("nullif(blocks, 0)")), F.lit(0)).alias("whole_passes"))
     rows = line.alias("l").join(of_source.alias("q"), F.col("l.source").eqNullSafe(F.col("q.source"))).select("l.*", *[f"q.{c}" for c in of_source.columns[1:]])
 
+    chosen = materialize(chosen_blocks(quota, shard_blocks, seed), "mix-shards", inside=folder)
     shard_words = block_words * shard_blocks
     stop = F.col("start") + F.col("size")
     spans = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / shard_words), F.floor((stop - 1) / shard_words)))
-    pieces = rows.select("*", F.explode_outer(spans).alias("shard")).join(chosen_blocks(quota, shard_blocks, seed), ["source_no", "shard"], "left")
+    pieces = rows.select("*", F.explode_outer(spans).alias("shard")).join(chosen, ["source_no", "shard"], "left")
     low = F.greatest(F.col("first"), F.floor(F.col("start") / block_words))
     high = F.least(F.col("first") + F.size("extra") - 1, F.floor((stop - 1) / block_words))
     inside = lambda b: F.least(stop, (b + 1) * block_words) - F.greatest(F.col("start"), b * block_words)
