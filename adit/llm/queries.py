@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adit.llm import attribution, bpe, chat, ctph, itq, langid, maxent, mixing, packing, simhash, toxicity
+from adit.llm import attribution, audit, bpe, chat, collocations, ctph, itq, langid, maxent, mixing, packing, simhash, toxicity
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -83,6 +83,14 @@ def op10_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -98,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_balls": op8_simhash_balls,
     "op9_piecewise_hash": op9_piecewise_hash,
     "op10_language_svm": op10_language_svm,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_toivonen_phrases": op12_toivonen_phrases,
     "op13_source_mix": op13_source_mix,
 }
 
@@ -135,6 +145,66 @@ ORACLES: dict[str, str] = {
                sum(text_chars + CASE WHEN before IS NOT DISTINCT FROM role THEN length('<part>')
                    ELSE length('<turn><says></turn>') + role_chars END)::BIGINT AS formatted_chars
         FROM placed GROUP BY conv_id""",
+    "op11_filter_audit": r"""
+        WITH RECURSIVE orders AS (
+            SELECT '' AS o UNION ALL SELECT o || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o, f)
+        ), steps AS (
+            SELECT o AS filter_order, CAST(step AS INTEGER) AS step, substr(o, step, 1) AS f, substr(o, 1, step - 1) AS before
+            FROM orders, (SELECT unnest(range(1, 6)) AS step) WHERE length(o) = 5
+        ), marks AS (
+            SELECT doc_id, coalesce(max(CASE WHEN quality = 1 THEN 1 ELSE 0 END), 0) AS good, coalesce(max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END), 0) AS toxic
+            FROM labels GROUP BY doc_id
+        ), texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), flagged AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failed
+            FROM texts
+        ), sets AS (
+            SELECT part, failed, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM flagged LEFT JOIN marks USING (doc_id) GROUP BY part, failed
+        ), effect AS (
+            SELECT part, filter_order, step, f,
+                   sum(n) FILTER (length(translate(failed, before || f, '')) = length(failed)) AS kept,
+                   sum(n) FILTER (contains(failed, f) AND length(translate(failed, before, '')) = length(failed)) AS removed,
+                   sum(n) FILTER (contains(failed, f) AND length(translate(failed, before, '')) < length(failed)) AS redundant,
+                   sum(n) FILTER (failed = f) AS unique_fails,
+                   sum(good) FILTER (contains(failed, f) AND length(translate(failed, before, '')) = length(failed)) AS good_lost,
+                   sum(toxic) FILTER (contains(failed, f) AND length(translate(failed, before, '')) = length(failed)) AS toxic_lost
+            FROM sets, steps GROUP BY ALL
+        )
+        SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+               CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+        FROM effect""",
+    "op12_toivonen_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (
+                SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents)
+        ), totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+        starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces),
+        f AS (
+            SELECT lang, size, array_to_string(list_slice(words, i, i + size - 1), ' ') AS phrase, count(*) AS f
+            FROM starts, (SELECT unnest(range(1, 6)) AS size) WHERE i + size - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.size, c.f AS a, k, array_to_string(list_slice(string_split(phrase, ' '), 1, k), ' ') AS head,
+                   array_to_string(list_slice(string_split(phrase, ' '), k + 1, size), ' ') AS tail
+            FROM f c, (SELECT unnest(range(1, 5)) AS k) WHERE size > 1 AND k < size
+        ), scored AS (
+            SELECT c.*, x.f AS l, y.f AS r, n, CAST((1000 * CAST(a AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail JOIN totals t ON t.lang = c.lang
+        ), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        left_over AS (
+            SELECT * FROM lowest c WHERE NOT EXISTS (
+                SELECT 1 FROM f o WHERE o.lang = c.lang AND o.size > c.size AND 100 * o.f >= 100 * c.a AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, k
+        FROM left_over QUALIFY rank <= 2000""",
     "op13_source_mix": r"""
         WITH sized AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

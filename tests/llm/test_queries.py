@@ -24,6 +24,8 @@ COLUMNS = {
     "op8_simhash_balls": "doc_id fingerprint component_id",
     "op9_piecewise_hash": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op10_language_svm": "doc_id held_out lang_pred score",
+    "op11_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op12_toivonen_phrases": "lang rank phrase a l r n score",
     "op13_source_mix": "doc_id size source_size target taken",
 }
 
