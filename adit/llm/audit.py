@@ -1,11 +1,11 @@
 """Interaction of filters, audited on a sparse document-term matrix.
 
 Documents become shards of a matrix in compressed sparse rows, each with a
-dictionary of its own. The dictionaries, not the words, are shuffled: they are
-merged to one global dictionary, and the columns of every shard are renumbered
-by it. Sums of rows and numbers of non-zero entries decide the two filters on
-words; the other flags are attached and rows are counted by (part, set of
-failed filters). Every order of the filters follows from those counts.
+dictionary of its own. The dictionaries, not the words, are shuffled: equal
+words meet, get one global number, and the columns of every shard are
+renumbered by it. Sums of rows and numbers of non-zero entries decide the two
+filters on words; the other flags are attached and rows are counted by (part,
+set of failed filters). Every order of the filters follows from those counts.
 """
 
 from __future__ import annotations
@@ -17,15 +17,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adit.llm.wordbytes import WHITE_SPACE, cut, slices
-from adit.operators.indexing import ordered_index
-from adit.workspace import materialize, new_path
+from adit.workspace import materialize, materialize_counted, new_path
 
 #: Bytes of text in a shard; a longer text is a shard of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 12 << 20
 FILTERS = "ABCDE"
 
 
@@ -36,11 +35,27 @@ class Matrix(NamedTuple):
     dictionary: DataFrame
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, first all their low bytes, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, n * 4, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _one_list(values: pa.Array | np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+
+
 def local_shards(docs: DataFrame, text_col: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Shards with their own dictionaries: (shard, docs, indptr, columns, counts, words).
+    """Shards with their own dictionaries: (shard, docs, indptr, steps, counts, words).
 
     ``docs`` lists the other columns of each document as a struct; row k of a
-    shard has the entries from ``indptr[k]`` up to ``indptr[k + 1]``.
+    shard has the entries from ``indptr[k]`` up to ``indptr[k + 1]``. Columns
+    are packed as steps from the one before in the row.
     """
     kept = [c for c in docs.columns if c != text_col]
 
@@ -54,32 +69,60 @@ def local_shards(docs: DataFrame, text_col: str, shard_bytes: int = SHARD_BYTES)
                 width = max(1, len(coded.dictionary))
                 cell, counts = np.unique(found.row.astype(np.int64) * width + coded.indices.to_numpy(), return_counts=True)
                 indptr = np.searchsorted(cell, np.arange(to - at + 1, dtype=np.int64) * width).astype(np.int32)
-                lists = [batch.column(1).slice(at, to - at), indptr, (cell % width).astype(np.int32), counts.astype(np.int32), coded.dictionary]
-                one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for x in lists]
-                yield pa.record_batch([pa.array([number]), *one], ["shard", "docs", "indptr", "columns", "counts", "words"])
+                column = cell % width
+                steps = np.diff(column, prepend=0)
+                heads = indptr[:-1][indptr[:-1] < indptr[1:]]
+                steps[heads] = column[heads]
+                one = [pa.array([_pack(steps)], pa.binary()), pa.array([_pack(counts)], pa.binary())]
+                lists = [_one_list(batch.column(1).slice(at, to - at)), _one_list(indptr), *one, _one_list(coded.dictionary)]
+                yield pa.record_batch([pa.array([number]), *lists], ["shard", "docs", "indptr", "steps", "counts", "words"])
                 number += 1
 
     sent = docs.select(F.col(text_col).cast("string").alias("_text"), F.struct(*kept).alias("_doc"))
     doc = sent.schema["_doc"].dataType.simpleString()
-    return sent.mapInArrow(run, f"shard long, docs array<{doc}>, indptr array<int>, columns array<int>, counts array<int>, words array<string>")
+    return sent.mapInArrow(run, f"shard long, docs array<{doc}>, indptr array<int>, steps binary, counts binary, words array<string>")
+
+
+def renumbered(shards: DataFrame) -> DataFrame:
+    """Local shards with ``ids``, the global number of each of their words, as shards of the matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1)
+                indptr = row.column(2).flatten().to_numpy()
+                n, ids = int(indptr[-1]), row.column(5).flatten().to_numpy()
+                if n and len(np.unique(ids)) < len(ids):
+                    raise AssertionError("two words of a shard have one number")
+                total = np.concatenate([[0], np.cumsum(_unpack(row.column(3)[0].as_py(), n))])
+                local = total[1:] - np.repeat(total[indptr[:-1]], np.diff(indptr))
+                counts = _unpack(row.column(4)[0].as_py(), n).astype(np.int32)
+                lists = [_one_list(ids[local] if n else np.zeros(0, np.int64)), _one_list(counts)]
+                yield pa.record_batch([*row.columns[:3], *lists], ["shard", "docs", "indptr", "columns", "counts"])
+
+    doc = shards.schema["docs"].dataType.simpleString()
+    return shards.mapInArrow(run, f"shard long, docs {doc}, indptr array<int>, columns array<long>, counts array<int>")
 
 
 def document_term_matrix(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Matrix:
     """Matrix of word counts of whole texts, with one dictionary for all.
 
     Words lie between the six ASCII white spaces and keep their case; a null
-    text is a row without entries. All other columns of ``docs`` go along.
+    text is a row without entries. All other columns of ``docs`` go along. Words
+    are numbered within buckets of a hash, as many as there are shards.
     """
-    folder = new_path(docs.sparkSession, "terms")
-    local = materialize(local_shards(docs, text_col, shard_bytes), "shards", inside=folder)
+    local, n = materialize_counted(local_shards(docs, text_col, shard_bytes), "shards", inside=new_path(docs.sparkSession, "terms"))
+    buckets = F.lit(max(1, n)).cast("long")
     words = local.select("shard", F.posexplode("words").alias("place", "word"))
-    dictionary = ordered_index(words.select("word").distinct(), ["word"], out="word_id")
-    coded = words.join(dictionary, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "word_id"))).alias("ids"))
-    ids = coded.select("shard", F.col("ids.word_id").alias("ids"))
+    dealt = words.withColumn("bucket", F.pmod(F.xxhash64("word"), buckets))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")).cast("long") - 1
+    coded = dealt.select("shard", "place", "word", (rank * buckets + F.col("bucket")).alias("word_id"))
+    ids = coded.select("shard", "place", "word_id").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "word_id"))).alias("ids"))
     # A shard of blank texts has no words.
-    columns = F.transform("columns", lambda c: F.get("ids", c))
-    shards = local.join(ids, "shard", "left").select("shard", "docs", "indptr", F.coalesce(columns, F.array().cast("array<bigint>")).alias("columns"), "counts")
-    return Matrix(materialize(shards, "matrix", inside=folder), dictionary)
+    none = F.array().cast("array<bigint>")
+    shards = local.drop("words").join(ids.select("shard", F.col("ids.word_id").alias("ids")), "shard", "left")
+    shards = renumbered(shards.select("shard", "docs", "indptr", "steps", "counts", F.coalesce("ids", none).alias("ids")))
+    return Matrix(shards, coded.groupBy("word").agg(F.min("word_id").alias("word_id")))
 
 
 def row_statistics(shards: DataFrame) -> DataFrame:
