@@ -29,15 +29,14 @@ from adit.workspace import materialize, materialize_counted, new_path
 
 LONGEST = 5
 #: One in so many documents is in the sample; the threshold there is lowered by this factor.
-SAMPLE, LOWERED = 8, 0.35
+SAMPLE, LOWERED = 8, 0.6
 #: log2 of the bits of a proposal: 8 MB. More phrases than that admit more than they need.
 FILTER_BITS = 26
-#: Words that a task counts at a time, and bytes of text cut at a time.
-CHUNK_WORDS, SLICE_BYTES = 1 << 21, 4 << 20
+#: Words that a task counts at a time, bytes of text cut at a time, and rows sent on at a time.
+CHUNK_WORDS, SLICE_BYTES, SENT_ROWS = 1 << 20, 2 << 20, 1 << 16
 BUCKET = 32768
 
 CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
-KIND = "lang string, words int, phrase string, h long, n long, known boolean"
 
 
 class Proposal:
@@ -70,6 +69,10 @@ def _join(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of each key, the distinct keys)"""
     coded = pa.array(keys).dictionary_encode()
@@ -84,24 +87,23 @@ def count_chunk(
     Without ``before`` single words and, as the phrase of no words, all words are counted too.
     """
 
-    def batch(code, size, text, h, n, known):
-        m = len(n)
-        lists = [langs.take(pa.array(code)), pa.array(np.full(m, size, np.int32)), text, pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(known)]
-        return pa.record_batch(lists, ["lang", "words", "phrase", "h", "n", "known"])
+    def send(code: np.ndarray, text: pa.StringArray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(n), SENT_ROWS):
+            part = slice(k, k + SENT_ROWS)
+            yield pa.record_batch([langs.take(pa.array(code[part])), text[part], pa.array(n[part].astype(np.int64))], ["lang", "phrase", "n"])
 
     coded = words.dictionary_encode()
     vocabulary, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     wide = max(1, len(vocabulary))
-    word_hash = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary.to_pylist()), np.uint64, len(vocabulary))
-    lang_hash = np.fromiter(map(xxhash.xxh64_intdigest, langs.to_pylist()), np.uint64, len(langs))
+    word_hash, lang_hash = _hashes(vocabulary.to_pylist()), _hashes(langs.to_pylist())
     gram, keys = _numbered(lang.astype(np.int64) * wide + word)
     code, last = keys // wide, keys % wide
     text, h = vocabulary.take(pa.array(last)), _join(lang_hash[code], word_hash[last])
     if before is None:
         n = np.bincount(lang, minlength=len(langs))
         some = np.flatnonzero(n)
-        yield batch(some, 0, pa.array([""] * len(some), pa.string()), lang_hash[some], n[some], np.ones(len(some), bool))
-        yield batch(code, 1, text, h, np.bincount(gram, minlength=len(keys)), current.has(h))
+        yield from send(some, pa.array([""] * len(some), pa.string()), n[some])
+        yield from send(code, text, np.bincount(gram, minlength=len(keys)))
     is_in = current.has(h)[gram]
     was_in = before.has(h)[gram] if before else None
     follows = piece[1:] == piece[:-1]
@@ -119,13 +121,12 @@ def count_chunk(
         text = pc.binary_join_element_wise(text.take(pa.array(first)), vocabulary.take(pa.array(last)), " ")
         n, known = np.bincount(number, minlength=len(keys)), current.has(h)
         if before is None:
-            yield batch(code, size, text, h, n, known)
+            yield from send(code, text, n)
         else:
             old = np.zeros(len(keys), bool)
             old[number] = was_in[at] & was_in[at + 1]
             new = np.flatnonzero(~old)
-            if len(new):
-                yield batch(code[new], size, text.take(pa.array(new)), h[new], n[new], known[new])
+            yield from send(code[new], text.take(pa.array(new)), n[new])
             was_in = _spread(before.has(h)[number], at, len(word))
         gram, is_in = _spread(number, at, len(word)), _spread(known[number], at, len(word))
 
@@ -137,7 +138,7 @@ def _spread(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 def count_phrases(docs: DataFrame, current: Proposal, before: Proposal | None) -> DataFrame:
-    """One pass over (text, lang): (lang, words, phrase, h, n, known), partial counts of each chunk."""
+    """One pass over (text, lang): (lang, phrase, n), partial counts of each chunk."""
     shared = docs.sparkSession.sparkContext.broadcast((current, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,9 @@ def count_phrases(docs: DataFrame, current: Proposal, before: Proposal | None) -
 
         def flush() -> Iterator[pa.RecordBatch]:
             words = pa.chunked_array([w for w, _, _ in held]).combine_chunks()
-            yield from count_chunk(words, np.concatenate([c for _, c, _ in held]), np.concatenate([p for _, _, p in held]), pa.array(list(langs), pa.string()), now, earlier)
+            lang, piece = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            held.clear()
+            yield from count_chunk(words, lang, piece, pa.array(list(langs), pa.string()), now, earlier)
 
         for batch in batches:
             for at, to in slices(batch.column(0), SLICE_BYTES):
@@ -156,17 +159,35 @@ def count_phrases(docs: DataFrame, current: Proposal, before: Proposal | None) -
                 if not len(found.text):
                     continue
                 names = batch.column(1).slice(at, to - at).dictionary_encode()
-                codes = np.array([langs.setdefault(x, len(langs)) for x in names.dictionary.to_pylist()], np.int64)
-                piece = found.piece.astype(np.int64) + end
+                codes = np.array([langs.setdefault(x, len(langs)) for x in names.dictionary.to_pylist()], np.int32)
+                piece = found.piece + np.int32(end)
                 held.append((found.text, codes[names.indices.to_numpy()][found.row], piece))
                 size, end = size + len(piece), int(piece[-1]) + 1
                 if size >= CHUNK_WORDS:
                     yield from flush()
-                    held, langs, size, end = [], {}, 0, 0
+                    langs.clear()
+                    size = end = 0
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, KIND)
+    return docs.mapInArrow(run, "lang string, phrase string, n long")
+
+
+def hashed(phrases: DataFrame, current: Proposal) -> DataFrame:
+    """Append ``h``, the hash that a proposal knows a phrase by, and ``known``, whether ``current`` has it."""
+    shared = phrases.sparkSession.sparkContext.broadcast(current)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = pc.split_pattern(batch.column("phrase"), " ")
+            word, size = _hashes(split.flatten().to_pylist()), pc.list_value_length(split).to_numpy()
+            at, h = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), _hashes(batch.column("lang").to_pylist())
+            for k in range(LONGEST):
+                more = np.flatnonzero(size > k)
+                h[more] = _join(h[more], word[at[more] + k])
+            yield pa.record_batch([*batch.columns, pa.array(h.view(np.int64)), pa.array(shared.value.has(h))], [*batch.schema.names, "h", "known"])
+
+    return phrases.mapInArrow(run, f"{', '.join(f'{c} {t}' for c, t in phrases.dtypes)}, h long, known boolean")
 
 
 def frequent_phrases(docs: DataFrame, least: int, proposal: Proposal, folder: str) -> tuple[DataFrame, int]:
@@ -177,10 +198,11 @@ def frequent_phrases(docs: DataFrame, least: int, proposal: Proposal, folder: st
     """
     found, before, passes = None, None, 0
     while True:
-        counted = count_phrases(docs, proposal, before).groupBy("lang", "words", "phrase")
-        counted = counted.agg(F.sum("n").alias("n"), F.min("h").alias("h"), F.bool_and("known").alias("known")).where((F.col("n") >= least) | (F.col("words") == 0))
-        failed = ~F.col("known") & (F.col("words") < LONGEST)
-        new, failures = materialize_counted(counted, "phrases", counting=failed, inside=folder)
+        counted = count_phrases(docs, proposal, before).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+        frequent = hashed(counted.where((F.col("n") >= least) | (F.col("phrase") == "")).withColumn("words", words), proposal)
+        failed = ~F.col("known") & F.col("words").between(1, LONGEST - 1)
+        new, failures = materialize_counted(frequent, "phrases", counting=failed, inside=folder)
         found, passes = new if found is None else found.union(new), passes + 1
         if not failures:
             return found, passes
