@@ -201,7 +201,7 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", source_col
 
     ``labels`` has the id, ``quality`` and ``toxic``; where an id repeats there,
     any 1 counts. Rows of ``docs`` are counted one by one, ids may repeat or be
-    null. Null and empty sources are one part, null texts are empty, a text of
+    null (then without labels). Null and empty sources are one part, null texts are empty, a text of
     any length is read whole. Other columns are ignored. An empty table gives
     an empty result.
     """

@@ -127,7 +127,8 @@ def count_chunk(
             old[number] = was_in[at] & was_in[at + 1]
             new = np.flatnonzero(~old)
             yield from send(code[new], text.take(pa.array(new)), n[new])
-            was_in = _spread(before.has(h)[number], at, len(word))
+            # What the last pass did not admit, it did not go on from either.
+            was_in = _spread((before.has(h) & old)[number], at, len(word))
         gram, is_in = _spread(number, at, len(word)), _spread(known[number], at, len(word))
 
 
@@ -140,6 +141,7 @@ def _spread(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 def count_phrases(docs: DataFrame, current: Proposal, before: Proposal | None) -> DataFrame:
     """One pass over (text, lang): (lang, phrase, n), partial counts of each chunk."""
     shared = docs.sparkSession.sparkContext.broadcast((current, before))
+    chunk_words, slice_bytes = CHUNK_WORDS, SLICE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, earlier = shared.value
@@ -154,7 +156,7 @@ def count_phrases(docs: DataFrame, current: Proposal, before: Proposal | None) -
             yield from count_chunk(words, lang, piece, pa.array(list(langs), pa.string()), now, earlier)
 
         for batch in batches:
-            for at, to in slices(batch.column(0), SLICE_BYTES):
+            for at, to in slices(batch.column(0), slice_bytes):
                 found = cut(batch.column(0).slice(at, to - at), CLASSES, lower=True)
                 if not len(found.text):
                     continue
@@ -163,7 +165,7 @@ def count_phrases(docs: DataFrame, current: Proposal, before: Proposal | None) -
                 piece = found.piece + np.int32(end)
                 held.append((found.text, codes[names.indices.to_numpy()][found.row], piece))
                 size, end = size + len(piece), int(piece[-1]) + 1
-                if size >= CHUNK_WORDS:
+                if size >= chunk_words:
                     yield from flush()
                     langs.clear()
                     size = end = 0
