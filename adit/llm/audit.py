@@ -29,7 +29,10 @@ FILTERS = "ABCDE"
 
 
 class Matrix(NamedTuple):
-    """``shards``: (shard, docs, indptr, columns, counts), ``columns`` being ids of ``dictionary`` (word, word_id)."""
+    """``shards``: (shard, docs, indptr, steps, counts, ids), entries packed, and ``dictionary``: (word, word_id).
+
+    ``ids`` are the words of the shard by their numbers in the dictionary.
+    """
 
     shards: DataFrame
     dictionary: DataFrame
@@ -83,25 +86,46 @@ def local_shards(docs: DataFrame, text_col: str, shard_bytes: int = SHARD_BYTES)
     return sent.mapInArrow(run, f"shard long, docs array<{doc}>, indptr array<int>, steps binary, counts binary, words array<string>")
 
 
-def renumbered(shards: DataFrame) -> DataFrame:
-    """Local shards with ``ids``, the global number of each of their words, as shards of the matrix."""
+def _entries(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row bounds, global columns and counts of one shard of a matrix."""
+    bounds, ids = row.column("indptr").flatten().to_numpy().astype(np.int64), row.column("ids").flatten().to_numpy()
+    n = int(bounds[-1])
+    if len(np.unique(ids)) < len(ids):
+        raise AssertionError("two words of a shard have one number")
+    total = np.concatenate([[0], np.cumsum(_unpack(row.column("steps")[0].as_py(), n))])
+    local = total[1:] - np.repeat(total[bounds[:-1]], np.diff(bounds))
+    columns = ids[local] if n else np.zeros(0, np.int64)
+    return bounds, columns, _unpack(row.column("counts")[0].as_py(), n)
+
+
+def unpacked(shards: DataFrame) -> DataFrame:
+    """(shard, docs, indptr, columns, counts) of a matrix, as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 row = batch.slice(k, 1)
-                indptr = row.column(2).flatten().to_numpy()
-                n, ids = int(indptr[-1]), row.column(5).flatten().to_numpy()
-                if n and len(np.unique(ids)) < len(ids):
-                    raise AssertionError("two words of a shard have one number")
-                total = np.concatenate([[0], np.cumsum(_unpack(row.column(3)[0].as_py(), n))])
-                local = total[1:] - np.repeat(total[indptr[:-1]], np.diff(indptr))
-                counts = _unpack(row.column(4)[0].as_py(), n).astype(np.int32)
-                lists = [_one_list(ids[local] if n else np.zeros(0, np.int64)), _one_list(counts)]
-                yield pa.record_batch([*row.columns[:3], *lists], ["shard", "docs", "indptr", "columns", "counts"])
+                _, columns, counts = _entries(row)
+                lists = [_one_list(columns), _one_list(counts)]
+                yield pa.record_batch([*row.select(["shard", "docs", "indptr"]).columns, *lists], ["shard", "docs", "indptr", "columns", "counts"])
 
     doc = shards.schema["docs"].dataType.simpleString()
-    return shards.mapInArrow(run, f"shard long, docs {doc}, indptr array<int>, columns array<long>, counts array<int>")
+    return shards.mapInArrow(run, f"shard long, docs {doc}, indptr array<int>, columns array<long>, counts array<long>")
+
+
+def row_statistics(shards: DataFrame) -> DataFrame:
+    """The documents of a matrix with ``n_words`` (sum of the row) and ``n_distinct`` (its non-zero entries)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1)
+                bounds, _, counts = _entries(row)
+                sums = np.concatenate([[0], np.cumsum(counts)])
+                yield pa.record_batch([row.column("docs").flatten(), pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), pa.array(np.diff(bounds))], ["doc", "n_words", "n_distinct"])
+
+    doc = shards.schema["docs"].dataType.elementType.simpleString()
+    return shards.mapInArrow(run, f"doc {doc}, n_words long, n_distinct long").select("doc.*", "n_words", "n_distinct")
 
 
 def document_term_matrix(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Matrix:
@@ -121,19 +145,10 @@ def document_term_matrix(docs: DataFrame, text_col: str = "text", shard_bytes: i
     # A shard of blank texts has no words.
     none = F.array().cast("array<bigint>")
     shards = local.drop("words").join(ids.select("shard", F.col("ids.word_id").alias("ids")), "shard", "left")
-    shards = renumbered(shards.select("shard", "docs", "indptr", "steps", "counts", F.coalesce("ids", none).alias("ids")))
+    shards = shards.select("shard", "docs", "indptr", "steps", "counts", F.coalesce("ids", none).alias("ids"))
     return Matrix(shards, coded.groupBy("word").agg(F.min("word_id").alias("word_id")))
 
 
-def row_statistics(shards: DataFrame) -> DataFrame:
-    """The documents of a matrix with ``n_words`` (sum of the row) and ``n_distinct`` (its non-zero entries)."""
-    at = F.col("indptr")
-    width = lambda k: F.get(at, k + 1) - F.get(at, k)
-    total = lambda k: F.aggregate(F.slice("counts", F.get(at, k) + 1, width(k)), F.lit(0).cast("long"), lambda a, b: a + b)
-    rows = F.transform("docs", lambda doc, k: F.struct(doc.alias("doc"), total(k).alias("n_words"), width(k).cast("long").alias("n_distinct")))
-    return shards.select(F.explode(rows).alias("r")).select("r.doc.*", "r.n_words", "r.n_distinct")
-
-
 def failures(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(id, part, failed): the bits of ``failed`` from the lowest on are filters A to E.
 

@@ -15,12 +15,14 @@ admits more; counts are kept by the words themselves and stay exact.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,12 @@ class Proposal:
         self.log2 = log2
         self.bits = np.zeros(max(1, (1 << log2) // 8), np.uint8) if bits is None else bits
 
+    def __getstate__(self) -> tuple[int, bytes]:
+        return self.log2, zlib.compress(self.bits, 1)
+
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        self.log2, self.bits = state[0], np.frombuffer(zlib.decompress(state[1]), np.uint8)
+
     def has(self, h: np.ndarray) -> np.ndarray:
         place = h & np.uint64((1 << self.log2) - 1)
         return (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -138,9 +146,11 @@ def _spread(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def count_phrases(docs: DataFrame, current: Proposal, before: Proposal | None) -> DataFrame:
-    """One pass over (text, lang): (lang, phrase, n), partial counts of each chunk."""
-    shared = docs.sparkSession.sparkContext.broadcast((current, before))
+def count_phrases(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """One pass over (text, lang): (lang, phrase, n), partial counts of each chunk.
+
+    ``shared`` holds the proposal and the one of the pass before, if any.
+    """
     chunk_words, slice_bytes = CHUNK_WORDS, SLICE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +185,8 @@ def count_phrases(docs: DataFrame, current: Proposal, before: Proposal | None) -
     return docs.mapInArrow(run, "lang string, phrase string, n long")
 
 
-def hashed(phrases: DataFrame, current: Proposal) -> DataFrame:
-    """Append ``h``, the hash that a proposal knows a phrase by, and ``known``, whether ``current`` has it."""
-    shared = phrases.sparkSession.sparkContext.broadcast(current)
+def hashed(phrases: DataFrame, shared: Broadcast) -> DataFrame:
+    """Append ``h``, the hash that a proposal knows a phrase by, and ``known``, whether the shared one has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +196,7 @@ def hashed(phrases: DataFrame, current: Proposal) -> DataFrame:
             for k in range(LONGEST):
                 more = np.flatnonzero(size > k)
                 h[more] = _join(h[more], word[at[more] + k])
-            yield pa.record_batch([*batch.columns, pa.array(h.view(np.int64)), pa.array(shared.value.has(h))], [*batch.schema.names, "h", "known"])
+            yield pa.record_batch([*batch.columns, pa.array(h.view(np.int64)), pa.array(shared.value[0].has(h))], [*batch.schema.names, "h", "known"])
 
     return phrases.mapInArrow(run, f"{', '.join(f'{c} {t}' for c, t in phrases.dtypes)}, h long, known boolean")
 
@@ -200,11 +209,13 @@ def frequent_phrases(docs: DataFrame, least: int, proposal: Proposal, folder: st
     """
     found, before, passes = None, None, 0
     while True:
-        counted = count_phrases(docs, proposal, before).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        shared = docs.sparkSession.sparkContext.broadcast((proposal, before))
+        counted = count_phrases(docs, shared).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
         words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-        frequent = hashed(counted.where((F.col("n") >= least) | (F.col("phrase") == "")).withColumn("words", words), proposal)
+        frequent = hashed(counted.where((F.col("n") >= least) | (F.col("phrase") == "")).withColumn("words", words), shared)
         failed = ~F.col("known") & F.col("words").between(1, LONGEST - 1)
         new, failures = materialize_counted(frequent, "phrases", counting=failed, inside=folder)
+        shared.destroy()
         found, passes = new if found is None else found.union(new), passes + 1
         if not failures:
             return found, passes

@@ -107,7 +107,7 @@ def test_matrix(spark):
     names = {r.word_id: r.word for r in matrix.dictionary.collect()}
     assert len(set(names.values())) == len(names) and set(names.values()) == {w for _, t in rows for w in split(t)}
     found = {}
-    for s in matrix.shards.collect():
+    for s in audit.unpacked(matrix.shards).collect():
         for k, doc in enumerate(s.docs):
             at = range(s.indptr[k], s.indptr[k + 1])
             found[doc.key] = Counter({names[s.columns[e]]: s.counts[e] for e in at})
@@ -199,7 +199,7 @@ def test_any_proposal_gives_the_same_counts(spark, share, tmp_path):
     some = [k for k in sorted(want) if rng.random() < share]
     nothing = collocations.Proposal(log2=20)
     listed = spark.createDataFrame(some, "lang string, phrase string") if some else None
-    proposal = nothing.with_phrases(collocations.hashed(listed, nothing)) if some else nothing
+    proposal = nothing.with_phrases(collocations.hashed(listed, spark.sparkContext.broadcast((nothing, None)))) if some else nothing
     found, passes = collocations.frequent_phrases(docs, 6, proposal, str(tmp_path))
     got = found.where("words > 0").collect()
     assert {(r.lang, r.phrase): r.n for r in got} == want and len(got) == len(want)
