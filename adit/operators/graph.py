@@ -15,10 +15,12 @@ from pyspark.sql import types as T
 
 from adit.functions.scores import GRAPH_WEIGHTS, exact_round, normalize, risk_level, weighted_sum
 from adit.operators.segments import node_degree, nodes
-from adit.workspace import loop_folder, materialize, materialize_counted, new_path, one_row
+from adit.workspace import loop_folder, materialize, materialize_counted, materialize_measured, new_path, one_row
 
 # Levels of the tree folded upwards per written table.
 FOLD_LEVELS = 4
+# Doublings of a walk, and of the pointers along passages, per written table.
+JUMPS_PER_TABLE, DOUBLINGS_PER_TABLE = 3, 2
 
 
 def both_ways() -> Column:
@@ -110,8 +112,9 @@ def chains(segments: DataFrame, keep: str) -> DataFrame:
     Tunnels are mostly passages: nodes with two segments and nothing else.
     Such runs are followed by pointer doubling, so a passage of n segments
     takes log2(n) rounds. Returns the segments with ``chain``, its end nodes
-    ``a`` and ``b`` and the number of segments ``to_a`` and ``to_b`` up to
-    them, this one included. ``keep`` never lies inside a passage. Segments
+    ``a`` and ``b``, the number of segments ``to_a`` and ``to_b`` up to
+    them, this one included, and ``forward``, whether ``to_node`` is the end
+    towards ``a``. ``keep`` never lies inside a passage. Segments
     of a ring without any other connection have a null ``chain``.
     """
     loops = segments.where(F.col("from_node") == F.col("to_node")).select(F.col("from_node").alias("node_id"))
@@ -138,24 +141,22 @@ def chains(segments: DataFrame, keep: str) -> DataFrame:
     # Every round ends some arcs of each unfinished passage; if none, only rings are left.
     while open_ and open_ != before:
         before = open_
-        ahead = state.select(
-            F.col("arc").alias("_arc"),
-            F.col("next").alias("_next"),
-            F.col("steps").alias("_steps"),
-            F.col("last").alias("_last"),
-            F.col("end").alias("_end"),
-        )
-        state, open_ = materialize_counted(
-            state.join(ahead, F.col("next") == F.col("_arc"), "left").select(
+        for _ in range(DOUBLINGS_PER_TABLE):
+            ahead = state.select(
+                F.col("arc").alias("_arc"),
+                F.col("next").alias("_next"),
+                F.col("steps").alias("_steps"),
+                F.col("last").alias("_last"),
+                F.col("end").alias("_end"),
+            )
+            state = state.join(ahead, F.col("next") == F.col("_arc"), "left").select(
                 "arc",
                 F.col("_next").alias("next"),
                 (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
                 F.coalesce("_last", "last").alias("last"),
                 F.coalesce("_end", "end").alias("end"),
-            ),
-            "passages",
-            pending,
-        )
+            )
+        state, open_ = materialize_counted(state, "passages", pending)
     ended = state.where(~pending)
     ahead = ended.select(
         F.shiftright("arc", 1).alias("seg_no"), (F.col("arc") % 2).alias("_way"), "steps", "last", "end"
@@ -170,6 +171,7 @@ def chains(segments: DataFrame, keep: str) -> DataFrame:
         low["end"].alias("b"),
         high["steps"].alias("to_a"),
         low["steps"].alias("to_b"),
+        (F.col("_f") == high).alias("forward"),
     )
     return materialize(segments.join(sides, "seg_no", "left"), "chains")
 
@@ -348,38 +350,51 @@ def graph_risk(segments: DataFrame, impact: DataFrame) -> DataFrame:
     )
 
 
-def walk(starts: DataFrame, tree: DataFrame) -> DataFrame:
+def leaps(tree: DataFrame, keys: list[str], folder: str) -> list[DataFrame]:
+    """Tables (keys, node, to) that lead 1, 2, 4 ... steps up, until nothing is that deep."""
+    leap = tree.where("parent IS NOT NULL").select(*keys, "node", F.col("parent").alias("to"))
+    found, nth = [], F.col("_nth")
+    while len(found) % JUMPS_PER_TABLE == 0:
+        batch = [leap]
+        for _ in range(1, JUMPS_PER_TABLE):
+            batch.append(_twice(batch[-1], keys))
+        stacked = reduce(DataFrame.unionByName, [b.withColumn("_nth", F.lit(k)) for k, b in enumerate(batch)])
+        table, deepest = materialize_measured(stacked, "leaps", F.coalesce(F.max(nth), F.lit(-1)), inside=folder)
+        found += [table.where(nth == k).drop("_nth") for k in range(deepest + 1)]
+        if deepest < 0:
+            break
+        leap = _twice(found[-1], keys)
+    return found
+
+
+def _twice(leap: DataFrame, keys: list[str]) -> DataFrame:
+    further = leap.select(*keys, F.col("node").alias("to"), F.col("to").alias("_to"))
+    return leap.join(further, [*keys, "to"]).select(*keys, "node", F.col("_to").alias("to"))
+
+
+def walk(starts: DataFrame, tree: DataFrame, jumps: list[DataFrame] | None = None) -> DataFrame:
     """Follow parents from each start node to the root, or out of the tree.
 
     ``starts``: (request_id, scenario, node); requests whose node is not in
-    the tree drop out. Adds ``route_nodes``, ``route_segments`` and the
-    ``weights`` of those segments (nulls in a tree without weights).
+    the tree drop out. Adds ``route_nodes`` and ``route_segments``, the
+    ``parent_segment`` of each but the last.
 
-    Pointers are doubled: after k rounds every request has the nodes less than
-    2^k steps ahead, one row each, and every node a pointer 2^k steps up.
+    After k rounds every request has the nodes less than 2^k steps ahead, one
+    row each; ``jumps`` are the :func:`leaps` of the tree, if there are any yet.
     """
-    weight = F.col("parent_weight") if "parent_weight" in tree.columns else F.lit(None).cast("double")
-    up = tree.select("scenario", "node", "parent", F.struct(F.col("parent_segment").alias("segment"), weight.alias("weight")).alias("via"))
+    up = tree.select("scenario", "node", "parent", F.col("parent_segment").alias("via"))
     with loop_folder(tree.sparkSession, "walk") as folder:
+        if jumps is None:
+            jumps = leaps(up, ["scenario"], folder)
         here = starts.join(up.select("scenario", "node"), ["scenario", "node"], "left_semi")
-        place, count = materialize_counted(here.select("request_id", "scenario", F.lit(0).alias("at"), "node"), "places", inside=folder)
-        leap = materialize(up.where("parent IS NOT NULL").select("scenario", "node", F.col("parent").alias("to")), "leaps", inside=folder)
-        places, width = [place], 1
-        while count:
-            known = reduce(DataFrame.unionByName, places)
-            ahead = known.join(leap, ["scenario", "node"]).select("request_id", "scenario", (F.col("at") + width).alias("at"), F.col("to").alias("node"))
-            place, count = materialize_counted(ahead, "places", inside=folder)
-            places.append(place)
-            further = leap.select("scenario", F.col("node").alias("to"), F.col("to").alias("_to"))
-            leap = materialize(leap.join(further, ["scenario", "to"]).select("scenario", "node", F.col("_to").alias("to")), "leaps", inside=folder)
-            width *= 2
-        passed = reduce(DataFrame.unionByName, places).join(up.select("scenario", "node", "via"), ["scenario", "node"], "left")
+        known = here.select("request_id", "scenario", F.lit(0).alias("at"), "node")
+        for k, leap in enumerate(jumps):
+            ahead = known.join(leap, ["scenario", "node"]).select("request_id", "scenario", (F.col("at") + (1 << k)).alias("at"), F.col("to").alias("node"))
+            known = known.unionByName(ahead)
+            if k % JUMPS_PER_TABLE == JUMPS_PER_TABLE - 1 and k + 1 < len(jumps):
+                known = materialize(known, "places", inside=folder)
+        passed = known.join(up.select("scenario", "node", "via"), ["scenario", "node"], "left")
         route = F.sort_array(F.collect_list(F.struct("at", "node", "via")))
         routes = passed.groupBy("request_id", "scenario").agg(route.alias("r"))
-        taken = F.filter(F.col("r.via"), lambda v: v["segment"].isNotNull())
-        return materialize(
-            routes.select("request_id", "scenario", F.col("r.node").alias("route_nodes"), taken.alias("t")).select(
-                "request_id", "scenario", "route_nodes", F.col("t.segment").alias("route_segments"), F.col("t.weight").alias("weights")
-            ),
-            "routes",
-        )
+        taken = F.filter(F.col("r.via"), lambda v: v.isNotNull())
+        return materialize(routes.select("request_id", "scenario", F.col("r.node").alias("route_nodes"), taken.alias("route_segments")), "routes")

@@ -41,24 +41,20 @@ def scan_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
     """Append ``out``: the row's position in its files, in (file, offset) order.
 
     ``df`` is a plain file scan, of the wanted columns alone. Its splits are
-    ordered already, so nothing is sorted, shuffled or copied: one pass counts
-    the rows of each split, which gives the offsets, and the caller's pass adds
-    them while it reads. The second pass must cut files like the first, so both
-    read the same scan in one session.
+    ordered already, so nothing is sorted or shuffled. How files are split
+    follows the cluster of the moment, so the scan is written once, each row
+    with its split and its place in it, and numbered from what was written.
     """
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     # Rows of one split follow each other within one task, so their ids do too.
-    placed = df.select(*df.columns, place.alias("p"), F.monotonically_increasing_id().alias("_id"))
-    counts = placed.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("_first"))
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row per split, no data
-    shift = F.coalesce(F.sum("n").over(before), F.lit(0))
-    shifts = materialize(counts.select("p", "_first", shift.alias("_shift")), "scan-splits")
-    return placed.join(shifts, "p").select(*df.columns, (F.col("_id") - F.col("_first") + F.col("_shift")).cast("bigint").alias(out))
+    placed = materialize(df.select(*df.columns, place.alias("_split"), F.monotonically_increasing_id().alias("_pos")), "scan")
+    return _number(placed, ["_split"], [], df.columns, out, 0)
 
 
 def _number(rows: DataFrame, piece: list[str], keys: list[str], columns: list[str], out: str, start: int) -> DataFrame:
     """Turn positions inside ordered pieces into positions inside keys."""
     runs = rows.groupBy(*piece, *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    # One row per piece and key, no data.
     before = Window.partitionBy(*keys).orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
     shifts = runs.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop(
         "_n", "_first"

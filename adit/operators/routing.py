@@ -1,11 +1,8 @@
 """Lowest-cost escape routes for many workers, steps and blockages at once.
 
-One tree per time step is grown from the exit, over all segments, and serves
-every worker of the step. A blockage matters only to those whose route uses
-the blocked segment, and it moves only the nodes that hang below it in the
-tree: just these are searched again, starting from their untouched
-neighbours, so the work follows what a blockage cuts and not the graph size
-times the number of blockages.
+One tree per time step is grown from the exit and serves every worker of the
+step; a blockage moves only what hangs on the blocked passage. The search
+itself is in :mod:`adit.operators.overlay`.
 """
 
 from __future__ import annotations
@@ -16,18 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adit.functions.scores import edge_weight, exact_round
-from adit.operators.graph import adjacency, both_ways, exit_roots, hop_tree, walk
+from adit.operators import overlay
+from adit.operators.graph import both_ways
 from adit.workspace import loop_folder, materialize, materialize_counted, one_row, task_count
 
+ROUNDS_PER_MERGE = 8
 # Fixed value: name of the cost rule.
 COST_POLICY = "length + final_risk_score * 0.20"
-NO_BLOCK = ""
-LEVELS_PER_TABLE = 4
-ROUNDS_PER_MERGE = 8
 
 
 def risk_edges(segments: DataFrame, risks: DataFrame | None, steps: DataFrame) -> DataFrame:
-    """Weighted adjacency per time step: (time_step, src, dst, seg_no, segment_id, weight).
+    """Weighted adjacency per time step: (time_step, way, src, dst, seg_no, segment_id, weight).
 
     ``risks``: (time_step, segment_id, final_risk_score). ``steps`` has the
     distinct requested steps; a step without risk rows weighs lengths only.
@@ -47,7 +43,7 @@ def risk_edges(segments: DataFrame, risks: DataFrame | None, steps: DataFrame) -
     refused = F.raise_error(F.concat(F.lit("negative weight of segment "), F.col("segment_id"))).cast("double")
     weight = F.when(weight < 0, refused).otherwise(weight)
     return dense.select("time_step", "seg_no", "segment_id", weight.alias("weight"), both_ways().alias("_e")).select(
-        "time_step", "_e.src", "_e.dst", "seg_no", "segment_id", "weight"
+        "time_step", "_e.way", "_e.src", "_e.dst", "seg_no", "segment_id", "weight"
     )
 
 
@@ -120,107 +116,9 @@ def cost_trees(edges: DataFrame, exit_node: str) -> DataFrame:
     return materialize(with_parents(costs, links, costs, ["time_step"]), "tree")
 
 
-def detour_trees(edges: DataFrame, base: DataFrame, cuts: DataFrame) -> DataFrame:
-    """For each cut, new tree rows of the nodes that hung on the cut segment.
-
-    ``cuts``: distinct (time_step, blocked_segment). Nodes without another
-    way to the exit are absent.
-    """
-    keys = ["time_step", "blocked_segment"]
-    top = base.select("time_step", F.col("parent_segment").alias("blocked_segment"), "node")
-    below = base.select("time_step", F.col("parent").alias("node"), F.col("node").alias("_child"))
-    at = cuts.join(top, keys).select(*keys, "node", F.lit(0).alias("_level"))
-    cut_off, level, found = [], 0, 1
-    while found:
-        # Several levels of the tree per written table.
-        batch = [at]
-        for _ in range(LEVELS_PER_TABLE):
-            level += 1
-            at = at.join(below, ["time_step", "node"]).select(
-                *keys, F.col("_child").alias("node"), F.lit(level).alias("_level")
-            )
-            batch.append(at)
-        deepest = F.col("_level") == level
-        done, found = materialize_counted(reduce(DataFrame.unionByName, batch), "cut-off", deepest)
-        cut_off.append(done.where(~deepest).drop("_level"))
-        at = done.where(deepest)
-    affected = reduce(DataFrame.unionByName, cut_off)
-
-    inside = affected.select(*keys, F.col("node").alias("dst"), F.lit(True).alias("_inside"))
-    links = materialize(
-        affected.join(edges.withColumnRenamed("src", "node"), ["time_step", "node"])
-        .where((F.col("segment_id") != F.col("blocked_segment")) & (F.col("node") != F.col("dst")))
-        .join(inside, [*keys, "dst"], "left")
-        .withColumn("_inside", F.coalesce("_inside", F.lit(False))),
-        "detours",
-    )
-    untouched = base.select(
-        "time_step", F.col("node").alias("dst"), F.col("cost").alias("_c"), F.col("hops").alias("_h")
-    )
-    rim = materialize(
-        links.where(~F.col("_inside"))
-        .join(untouched, ["time_step", "dst"])
-        .select(*keys, "node", "dst", "seg_no", "segment_id", "weight", "_c", "_h"),
-        "rim",
-    )
-    entry = F.struct((F.col("_c") + F.col("weight")).alias("cost"), (F.col("_h") + 1).alias("hops"))
-    seeds = rim.groupBy(*keys, "node").agg(F.min(entry).alias("_e")).select(*keys, "node", "_e.cost", "_e.hops")
-    within = links.where("_inside").drop("_inside")
-    costs = settle(seeds, within, keys)
-    around = rim.select(
-        *keys, F.col("dst").alias("node"), F.col("_c").alias("cost"), F.col("_h").alias("hops")
-    ).distinct()
-    every = within.unionByName(rim.drop("_c", "_h"))
-    return materialize(with_parents(costs, every, costs.unionByName(around), keys), "detour-tree")
-
-
-def best_routes(edges: DataFrame, base: DataFrame, starts: DataFrame) -> DataFrame:
-    """Routes for (start_id, time_step, blocked_segment, node); '' blocks nothing.
-
-    Returns start_id, route_nodes, route_segments, weights; starts without a
-    way to the exit drop out.
-    """
-    columns = ["route_nodes", "route_segments", "weights"]
-
-    def along_base(places: DataFrame) -> DataFrame:
-        # Starts at one node share a walk.
-        asked = places.select("time_step", "node").distinct()
-        place = F.struct("time_step", "node").alias("request_id")
-        keyed = asked.select(place, F.col("time_step").alias("scenario"), "node")
-        routes = walk(keyed, base.withColumnRenamed("time_step", "scenario"))
-        return routes.select("request_id.*", *columns)
-
-    plain = starts.join(along_base(starts), ["time_step", "node"])
-    plain = plain.withColumn("_hit", F.array_contains("route_segments", F.col("blocked_segment")))
-    direct = plain.where(~F.col("_hit")).select("start_id", *columns)
-    cut_starts, hit = materialize_counted(
-        plain.where("_hit").select("start_id", "time_step", "blocked_segment", "node"), "cut-starts"
-    )
-    if not hit:
-        return direct
-    trees = detour_trees(edges, base, cut_starts.select("time_step", "blocked_segment").distinct())
-    scenario = F.struct("time_step", "blocked_segment").alias("scenario")
-    # The walk leaves the detour tree at the first node the cut did not move.
-    head = materialize(
-        walk(
-            cut_starts.select(F.col("start_id").alias("request_id"), scenario, "node"),
-            trees.select(scenario, "node", "parent", "parent_segment", "parent_weight"),
-        ).select(
-            F.col("request_id").alias("start_id"),
-            F.col("scenario.time_step").alias("time_step"),
-            F.element_at("route_nodes", -1).alias("node"),
-            *[F.col(c).alias(f"_{c}") for c in columns],
-        ),
-        "heads",
-    )
-    rest = F.slice("route_nodes", F.lit(2), F.greatest(F.size("route_nodes") - 1, F.lit(0)))
-    around = head.join(along_base(head), ["time_step", "node"]).select(
-        "start_id",
-        F.concat("_route_nodes", rest).alias("route_nodes"),
-        F.concat("_route_segments", "route_segments").alias("route_segments"),
-        F.concat("_weights", "weights").alias("weights"),
-    )
-    return direct.unionByName(around)
+def segment_weights(edges: DataFrame) -> DataFrame:
+    """One row per step and segment of the weighted adjacency."""
+    return edges.where("way = 0").select("time_step", "seg_no", "weight")
 
 
 def hop_routes(segments: DataFrame, requests: DataFrame, exit_node: str) -> DataFrame:
@@ -229,32 +127,14 @@ def hop_routes(segments: DataFrame, requests: DataFrame, exit_node: str) -> Data
     ``requests``: (request_id, start_node, blocked_segment). All columns are
     kept; ``route_nodes`` is null where the exit cannot be reached.
     """
-    edges = materialize(
-        adjacency(segments).select(
-            F.lit(0).alias("time_step"), "src", "dst", "seg_no", "segment_id", F.lit(1.0).alias("weight")
-        ),
-        "hops",
-    )
-    tree, _ = hop_tree(segments, exit_roots(segments, exit_node))
-    base = materialize(
-        tree.select(
-            F.lit(0).alias("time_step"),
-            "node",
-            F.col("depth").cast("double").alias("cost"),
-            F.col("depth").alias("hops"),
-            "parent",
-            "parent_segment",
-            F.lit(1.0).alias("parent_weight"),
-        ),
-        "hop-tree",
-    )
+    weights = segments.select(F.lit(0).alias("time_step"), "seg_no", F.lit(1.0).alias("weight"))
     starts = requests.select(
         F.col("request_id").alias("start_id"),
         F.lit(0).alias("time_step"),
-        F.coalesce("blocked_segment", F.lit(NO_BLOCK)).alias("blocked_segment"),
+        F.coalesce("blocked_segment", F.lit(overlay.NO_BLOCK)).alias("blocked_segment"),
         F.col("start_node").alias("node"),
     )
-    routes = best_routes(edges, base, starts).withColumnRenamed("start_id", "request_id")
+    routes = overlay.best_routes(segments, weights, exit_node, starts).withColumnRenamed("start_id", "request_id")
     return requests.join(routes.drop("weights"), "request_id", "left")
 
 
@@ -290,7 +170,7 @@ def emergency_routes(
     )
     asked = materialize(
         risk_step(requests, risks)
-        .withColumn("_block", F.coalesce("blocked_segment", F.lit(NO_BLOCK)))
+        .withColumn("_block", F.coalesce("blocked_segment", F.lit(overlay.NO_BLOCK)))
         .join(ends, "start_segment", "left"),
         "requests",
     )
@@ -312,7 +192,7 @@ def emergency_routes(
         "starts",
     )
     edges = materialize(risk_edges(segments, risks, starts.select("time_step").distinct()), "weighted")
-    routes = best_routes(edges, cost_trees(edges, exit_node), starts)
+    routes = overlay.best_routes(segments, segment_weights(edges), exit_node, starts)
     # Added up from the start, the way a traveller would.
     total = F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w)
     choice = F.struct(

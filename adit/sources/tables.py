@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 from adit import schemas
 from adit.operators.indexing import ordered_index, scan_index
+from adit.sources import lines
+
+CELLS = {"escape": '"'}
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV by column name, all cells as text; a byte-order mark is ignored.
 
-    Nothing is inferred: only the header line is read ahead.
+    Nothing is inferred: only the header line is read ahead. Quotes inside a
+    quoted cell are doubled.
     """
-    return spark.read.option("header", True).csv(path)
+    return spark.read.options(header=True, **CELLS).csv(path)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -27,16 +35,29 @@ def read_indexed_csv(
     columns: tuple[str, ...] | None = None,
     max_rows: int | None = None,
     index: str = "row_idx",
+    range_bytes: int = lines.RANGE_BYTES,
 ) -> DataFrame:
-    """A CSV with its rows numbered; ``max_rows`` keeps only the first ones."""
-    rows = read_csv(spark, path)
-    if columns is None:
-        rows = scan_index(rows, index)
+    """A CSV with its rows numbered in file order; ``max_rows`` keeps only the first ones.
+
+    All cells are text, an empty cell is null, a row that is too short is filled
+    up with nulls. Numbers come from byte ranges planned once (:mod:`lines`);
+    where only Spark can open the path, from one pinned scan.
+    """
+    if not lines.opens(path):
+        rows = read_csv(spark, path)
+        rows = scan_index(rows if columns is None else rows.select([c for c in columns if c in rows.columns]), index)
+        names = [c for c in rows.columns if c != index]
+        rows = rows if max_rows is None else rows.where(F.col(index) < max_rows)
     else:
-        kept = scan_index(rows.select([c for c in columns if c in rows.columns]), index)
-        missing = F.lit(None).cast("string")
-        rows = kept.select(index, *[F.col(c) if c in kept.columns else missing.alias(c) for c in columns])
-    return rows if max_rows is None else rows.where(F.col(index) < max_rows)
+        plan = lines.count_lines(spark, lines.plan_lines(path, range_bytes=range_bytes))
+        names = lines.header_names(plan)
+        schema = ", ".join(f"{quoted(c)} string" for c in names)
+        numbered = lines.load(spark, plan, max_rows).withColumnRenamed("row_idx", index)
+        rows = numbered.select(index, F.from_csv("line", schema, CELLS).alias("_cells")).select(index, "_cells.*") if names else numbered.select(index)
+    if columns is None:
+        return rows.select(*[F.col(quoted(c)) for c in names], index)
+    missing = F.lit(None).cast("string")
+    return rows.select(index, *[F.col(quoted(c)) if c in names else missing.alias(c) for c in columns])
 
 
 def read_drift_lines(
@@ -47,11 +68,11 @@ def read_drift_lines(
     A batch is a ``.dat`` file, or a folder of that name with text parts.
     """
     name = F.regexp_extract("_metadata.file_path", r"([^/=]+\.dat)(/|$)", 1)
-    lines = spark.read.text(f"{path}/{pattern}")
+    read = spark.read.text(f"{path}/{pattern}")
     if max_lines is None:
-        named = lines.select(name.alias("file_name"), F.col("value").alias("line"))
+        named = read.select(name.alias("file_name"), F.col("value").alias("line"))
     else:
-        placed = lines.select(
+        placed = read.select(
             name.alias("file_name"),
             F.col("value").alias("line"),
             F.col("_metadata.file_path").alias("_file"),
@@ -103,7 +124,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, **CELLS).csv(path)
 
 
 def publish(df: DataFrame, *paths: str, partition_by: str | None = None) -> None:

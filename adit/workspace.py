@@ -42,10 +42,15 @@ def materialize_counted(
     ``counting`` restricts the count to rows it holds for; ``inside`` puts the
     table below the folder of a :func:`loop_folder`, ``at`` into a given folder.
     """
+    number = F.count(F.lit(1)) if counting is None else F.count_if(counting)
+    return materialize_measured(df, name, number, inside, at)
+
+
+def materialize_measured(df: DataFrame, name: str, number: Column, inside: str | None = None, at: str | None = None) -> tuple[DataFrame, int]:
+    """As :func:`materialize_counted`, with any aggregate of the rows."""
     spark = df.sparkSession
     path = at or (f"{inside}/{name}-{uuid.uuid4().hex}" if inside else new_path(spark, name))
     seen = Observation()
-    number = F.count(F.lit(1)) if counting is None else F.count_if(counting)
     df.observe(seen, number.alias("n")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 

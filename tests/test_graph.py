@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from adit.operators import graph, routing, segments
+from adit import workspace
+from adit.operators import graph, overlay, routing, segments
 from adit.operators.segments import nodes
 from adit.workspace import one_row
 
@@ -248,3 +249,66 @@ def test_negative_weights_are_refused(spark):
     asks = spark.createDataFrame([("q", 0, s.first().segment_id, None)], "request_id string, time_step int, start_segment string, blocked_segment string")
     with pytest.raises(Exception, match="negative weight of segment"):
         routing.emergency_routes(s, asks, "3").collect()
+
+
+def counted_tables(monkeypatch):
+    """Names of the tables that loops write from here on."""
+    written = []
+    plain = workspace.materialize_measured
+
+    def spy(df, name, *args, **kw):
+        written.append(name)
+        return plain(df, name, *args, **kw)
+
+    monkeypatch.setattr(workspace, "materialize_measured", spy)
+    monkeypatch.setattr(graph, "materialize_measured", spy)
+    return written
+
+
+def test_routes_along_a_chain_take_few_rounds(spark, monkeypatch):
+    """10,000 segments in a row, with a loop at the far end that a blockage can be passed by."""
+    n = 10_000
+    ids = spark.range(n).select(F.col("id").alias("row_no"), F.col("id").cast("string").alias("FROM"), (F.col("id") + 1).cast("string").alias("TO"))
+    back = spark.createDataFrame([(n, str(n), str(n - 50)), (n + 1, "x", "y")], ids.schema)
+    rows = ids.unionByName(back).withColumn("LENGTH", F.lit("1")).withColumn("NOTES", F.lit(""))
+    s = segments.build_segments(rows).cache()
+    asks = spark.createDataFrame(
+        [("far", str(n), None), ("cut", str(n), f"SEG_{n:03d}"), ("lost", "7000", "SEG_005"), ("mid", "7000", "SEG_8000"), ("off", "x", None)],
+        "request_id string, start_node string, blocked_segment string",
+    )
+    written = counted_tables(monkeypatch)
+    got = {r.request_id: r.route_nodes for r in routing.hop_routes(s, asks, "0").collect()}
+    assert got["far"] == [str(n), *map(str, range(n - 50, -1, -1))] and got["mid"] == list(map(str, range(7000, -1, -1)))
+    assert got["cut"] == got["far"] and got["lost"] is None and got["off"] is None
+    assert len(written) <= 30, written
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_routes_of_all_nodes_match_a_plain_search(spark, seed):
+    """Cost, length and ties of every node, on graphs with long passages, rings and parallel ways."""
+    rng = random.Random(seed)
+    edges, node = [("j0", "j1", 1.0, "")], 0
+    for _ in range(14):
+        a, b = f"j{rng.randrange(6)}", f"j{rng.randrange(6)}"
+        path = [a, *[f"n{node + i}" for i in range(rng.randrange(0, 6))], b]
+        node += len(path)
+        edges += [(p, q, rng.choice([0.25, 1.0, 1.0, 2.5]), "") for p, q in zip(path, path[1:])]
+    edges += [("r1", "r2", 1.0, ""), ("r2", "r3", 1.0, ""), ("r3", "r1", 1.0, "")]
+    s = build(spark, edges)
+    weights = s.select(F.lit(0).alias("time_step"), "seg_no", F.col("length").alias("weight"))
+    starts = nodes(s).select(F.col("node_id").alias("start_id"), F.lit(0).alias("time_step"), F.lit("").alias("blocked_segment"), F.col("node_id").alias("node"))
+    got = {r.start_id: r for r in overlay.best_routes(s, weights, "j0", starts).collect()}
+    near = lambda at: [(q, w) for x, y, w, _ in edges for p, q in ((x, y), (y, x)) if p == at]
+    want, heap = {}, [(0.0, 0, "j0")]
+    while heap:
+        c, h, at = heapq.heappop(heap)
+        if at not in want:
+            want[at] = (c, h)
+            for q, w in near(at):
+                heapq.heappush(heap, (c + w, h + 1, q))
+    assert {k: (sum(r.weights), len(r.route_segments)) for k, r in got.items()} == want
+    for k, r in got.items():
+        assert r.route_nodes[0] == k and r.route_nodes[-1] == "j0" and len(r.route_nodes) == len(r.route_segments) + 1
+        if k != "j0":
+            # Of all equally good next nodes the smallest.
+            assert r.route_nodes[1] == min(q for q, w in near(k) if want.get(q) == (want[k][0] - w, want[k][1] - 1))
