@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adit.llm.wordbytes import byte_classes, cut, slices
@@ -35,7 +36,9 @@ SAMPLE, LOWERED = 8, 0.6
 #: log2 of the bits of a proposal: 8 MB. More phrases than that admit more than they need.
 FILTER_BITS = 26
 #: Words that a task counts at a time, bytes of text cut at a time, and rows sent on at a time.
-CHUNK_WORDS, SLICE_BYTES, SENT_ROWS = 1 << 20, 2 << 20, 1 << 16
+CHUNK_WORDS, SLICE_BYTES, SENT_ROWS = 1 << 19, 2 << 20, 1 << 16
+#: Texts that go from Spark to a task's Python worker at a time.
+TEXTS_AT_A_TIME = 500
 BUCKET = 32768
 
 CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -84,7 +87,7 @@ def _hashes(words: list[str]) -> np.ndarray:
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of each key, the distinct keys)"""
     coded = pa.array(keys).dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
+    return coded.indices.to_numpy(), coded.dictionary.to_numpy()
 
 
 def count_chunk(
@@ -101,7 +104,7 @@ def count_chunk(
             yield pa.record_batch([langs.take(pa.array(code[part])), text[part], pa.array(n[part].astype(np.int64))], ["lang", "phrase", "n"])
 
     coded = words.dictionary_encode()
-    vocabulary, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    vocabulary, word = coded.dictionary, coded.indices.to_numpy()
     wide = max(1, len(vocabulary))
     word_hash, lang_hash = _hashes(vocabulary.to_pylist()), _hashes(langs.to_pylist())
     gram, keys = _numbered(lang.astype(np.int64) * wide + word)
@@ -123,7 +126,7 @@ def count_chunk(
         at = at[at + size <= len(word)]
         if not len(at):
             return
-        number, keys = _numbered(gram[at] * wide + word[at + size - 1])
+        number, keys = _numbered(gram[at].astype(np.int64) * wide + word[at + size - 1])
         first, last = keys // wide, keys % wide
         code, h = code[first], _join(h[first], word_hash[last])
         text = pc.binary_join_element_wise(text.take(pa.array(first)), vocabulary.take(pa.array(last)), " ")
@@ -179,6 +182,7 @@ def count_phrases(docs: DataFrame, shared: Broadcast) -> DataFrame:
                     yield from flush()
                     langs.clear()
                     size = end = 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from flush()
 
@@ -201,6 +205,18 @@ def hashed(phrases: DataFrame, shared: Broadcast) -> DataFrame:
     return phrases.mapInArrow(run, f"{', '.join(f'{c} {t}' for c, t in phrases.dtypes)}, h long, known boolean")
 
 
+@contextmanager
+def smaller_batches(spark: SparkSession, rows: int = TEXTS_AT_A_TIME) -> Iterator[None]:
+    """Fewer texts in an Arrow batch while a pass runs: tasks hold a batch on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def frequent_phrases(docs: DataFrame, least: int, proposal: Proposal, folder: str) -> tuple[DataFrame, int]:
     """All phrases of one to five words found at least ``least`` times, and the number of passes.
 
@@ -214,7 +230,8 @@ def frequent_phrases(docs: DataFrame, least: int, proposal: Proposal, folder: st
         words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
         frequent = hashed(counted.where((F.col("n") >= least) | (F.col("phrase") == "")).withColumn("words", words), shared)
         failed = ~F.col("known") & F.col("words").between(1, LONGEST - 1)
-        new, failures = materialize_counted(frequent, "phrases", counting=failed, inside=folder)
+        with smaller_batches(docs.sparkSession):
+            new, failures = materialize_counted(frequent, "phrases", counting=failed, inside=folder)
         shared.destroy()
         found, passes = new if found is None else found.union(new), passes + 1
         if not failures:
