@@ -26,8 +26,8 @@ def op1_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    learn = docs.where(~toxicity.held_out(F.col("doc_id"))).join(labels.select("doc_id", "toxic"), "doc_id").select("text", "toxic")
-    found = toxicity.score(docs.select("doc_id", "text"), toxicity.train(learn))
+    learn = docs.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "text")
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.train(learn, labels=labels))
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
