@@ -16,9 +16,12 @@ from adit.workspace import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that score below 0.7; the model learns from all labelled rows. Null texts stay."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic"))
+    """Rows that score below 0.7; the model learns from all labelled rows.
+
+    Null texts stay; labels that repeat an id count once. Without rows or
+    labels every text stays.
+    """
+    model = toxicity.train(docs.select("doc_id", "text"), labels=table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
