@@ -456,6 +456,9 @@ oracle("stored_points", "numbered_cloud", sql="""
 oracle("published_timeline", "fused", sql="""
   SELECT zone, time_step, count(*) AS rows, max(final_segment_risk) AS top_risk
   FROM fused, (VALUES ('ready'), ('served')) z(zone) GROUP BY zone, time_step""")
+oracle("served_step", "fused", sql="""
+  SELECT asked, time_step, segment_id, final_segment_risk, risk_level FROM fused, (VALUES ('7'), ('100000'), ('all')) a(asked)
+  WHERE CASE asked WHEN '7' THEN time_step = 7 WHEN 'all' THEN true ELSE time_step = (SELECT min(time_step) FROM fused) END""")
 oracle("decimate", "sampled", sql="SELECT worker_id, time_step, pose_x, pose_y FROM sampled")
 oracle("point_decimation", "numbered_cloud", sql="SELECT point_idx, x, y, z FROM numbered_cloud WHERE point_idx % 500 = 0")
 view("sample_plan", sql="""

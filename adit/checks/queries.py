@@ -17,7 +17,7 @@ from adit.operators import anomaly, events, fusion, gas, geometry, graph, neares
 from adit.operators import sampling, segments, steps
 from adit.plans import jobs, testtables
 from adit.plans.pipeline import Pipeline
-from adit.sources import files, las, tables
+from adit.sources import files, las, published, tables
 from adit.workspace import materialize, new_path
 
 EXIT = testtables.SETTINGS.exit_node
@@ -181,10 +181,10 @@ def q_las_numbering(spark, sf):
 
 
 def q_las_window_sample(spark, sf):
-    """Windows read from written files: one file here, so numbers follow the table."""
+    """Windows read from written files; ranges of the table become files in name order, so numbers follow the table."""
     path = new_path(spark, "las-sample")
     points = testtables.numbered_cloud(spark, sf)
-    las.write_las(points.coalesce(1).sortWithinPartitions("point_idx"), path)
+    las.write_las(points.repartitionByRange("point_idx").sortWithinPartitions("point_idx"), path)
     total = las.point_total(path)
     sample = las.read_las(spark, path, ranges=sampling.window_ranges(spark, total, total // 4))
     return sample.select("point_idx", *[scores.exact_round(F.col(c), 2).alias(c) for c in "xyz"])
@@ -242,13 +242,22 @@ def q_expected_sources(spark, sf):
 def q_published_timeline(spark, sf):
     fused = stages(spark, sf).fused
     zones = {name: new_path(spark, name) for name in ("ready", "served")}
-    tables.publish(fused, *zones.values(), partition_by="time_step")
-    back = [spark.read.schema(schemas.FUSED).parquet(path).withColumn("zone", F.lit(zone)) for zone, path in zones.items()]
+    published.publish(fused, *zones.values(), partition_by="time_step")
+    back = [published.read_published(spark, path, schemas.FUSED).withColumn("zone", F.lit(zone)) for zone, path in zones.items()]
     return back[0].unionByName(back[1]).groupBy("zone", "time_step").agg(
         F.count(F.lit(1)).alias("rows"), F.max("final_segment_risk").alias("top_risk")
     )
 
 
+def q_served_step(spark, sf):
+    """One step from its own folder: one that occurs, the fallback for one that never does, and all of them."""
+    zone = new_path(spark, "served-steps")
+    published.publish(stages(spark, sf).fused, zone, partition_by="time_step")
+    asked = {"7": 7, "100000": 100_000, "all": None}
+    rows = [published.read_step(spark, zone, schemas.FUSED, step).withColumn("asked", F.lit(name)) for name, step in asked.items()]
+    return reduce(DataFrame.unionByName, rows).select("asked", "time_step", "segment_id", "final_segment_risk", "risk_level")
+
+
 # Sampling
 
 

@@ -83,5 +83,6 @@ def nearest_segment(positions: DataFrame, centres: DataFrame, axes=("x", "y", "z
         return F.when(gap.isNotNull(), F.struct(gap.alias("d"), c["_s"]["seg_no"].alias("n"), c["_s"]["segment_id"].alias("s")))
 
     best = at.join(leaves, "_node", "left").withColumn("_w", F.array_min(F.transform("_centres", found)))
-    won = best.groupBy("pos_id").agg(F.first("_row").alias("_row"), F.min("_w").alias("_w"))
+    # Below a single leaf nothing was unfolded, so there is nothing to gather.
+    won = best if levels == 1 else best.groupBy("pos_id").agg(F.first("_row").alias("_row"), F.min("_w").alias("_w"))
     return won.select("_row.*", F.col("_w.s").alias("segment_id"), F.col("_w.d").alias("distance"))

@@ -125,16 +125,3 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, **CELLS).csv(path)
-
-
-def publish(df: DataFrame, *paths: str, partition_by: str | None = None) -> None:
-    """Write one result to several places, computing it once."""
-    df = df.persist()
-    try:
-        for path in paths:
-            writer = df.write.mode("overwrite")
-            if partition_by:
-                writer = writer.partitionBy(partition_by)
-            writer.parquet(path)
-    finally:
-        df.unpersist()

@@ -1,6 +1,7 @@
 """Indexing, percentiles, nearest neighbours and rolling windows against brute force."""
 
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from adit.operators import anomaly, nearest, sampling
 from adit.operators.indexing import ordered_index
 from adit.operators.quantiles import percentiles, value_counts
+from adit.operators.running import running_totals
 
 
 def test_index_is_dense_per_key_with_a_hot_key(spark):
@@ -110,4 +112,32 @@ def test_decimation_reaches_the_end_of_every_series(spark):
     for k, n in sizes.items():
         last = max(r.v for r in got if r.worker_id == k)
         assert last + got[0].step_rows >= n
-    assert max(r.time_step for r in got) < 90
\ No newline at end of file
+    assert max(r.time_step for r in got) < 90
+
+@pytest.mark.parametrize("seed", range(2))
+def test_running_totals(spark, seed):
+    """A hot key, null keys, null values, ties and negative values against plain addition."""
+    rng = random.Random(seed)
+    rows = [(rng.choice(["hot"] * 6 + ["a", None]), rng.randrange(-50, 50), rng.choice([None, 0, 3, -7, 10**12]), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t int, v long, id int").repartition(9)
+    got = running_totals(df, {"before": "v", "places": "id"}, ["t", "id"], ["k"]).collect()
+    sums, want = defaultdict(lambda: [0, 0]), {}
+    for k, t, v, i in sorted(rows, key=lambda r: (r[1], r[3])):
+        want[i] = tuple(sums[k])
+        sums[k][0] += v or 0
+        sums[k][1] += i
+    assert {r.id: (r.before, r.places) for r in got} == want and len(got) == len(rows)
+    total = {r.id: r.before for r in running_totals(df, {"before": "v"}, ["t", "id"]).collect()}
+    so_far = 0
+    for k, t, v, i in sorted(rows, key=lambda r: (r[1], r[3])):
+        assert total[i] == so_far
+        so_far += v or 0
+    # Rows alike in the order follow each other in some order.
+    same = running_totals(df.select("k", F.lit(1).alias("t"), F.lit(2).cast("long").alias("v")), {"before": "v"}, ["t"], ["k"])
+    for k, n in same.groupBy("k").count().collect():
+        found = sorted(r.before for r in same.where(F.col("k").eqNullSafe(k)).collect())
+        assert found == list(range(0, 2 * n, 2))
+
+
+def test_running_totals_of_nothing(spark):
+    assert running_totals(spark.createDataFrame([], "k string, v long"), {"before": "v"}, ["k"]).count() == 0

@@ -7,7 +7,7 @@ from adit import schemas
 from adit.operators import segments
 from adit.operators.sampling import window_ranges
 from adit.plans import jobs
-from adit.sources import files, las, tables
+from adit.sources import files, las, published, tables
 
 
 def test_edge_csv_with_byte_order_mark(spark, tmp_path):
@@ -53,13 +53,17 @@ def test_json_document_and_default(spark, tmp_path):
         tables.read_json(spark, gone, schemas.GAS)
 
 
+STEPS = "point_idx bigint, x double, y double, z double, time_step bigint"
+
+
 def test_points_round_trip_and_publish(spark, tmp_path):
     points = spark.range(50).select(F.col("id").alias("point_idx"), *[(F.col("id") * 0.5).alias(c) for c in "xyz"])
     tables.write_points(points, str(tmp_path / "p"))
     assert tables.read_points(spark, str(tmp_path / "p"), limit=9).count() == 9
     a, b = str(tmp_path / "a"), str(tmp_path / "b")
-    tables.publish(points.withColumn("time_step", F.col("point_idx") % 3), a, b, partition_by="time_step")
-    assert spark.read.parquet(a).where("time_step = 1").count() == spark.read.parquet(b).where("time_step = 1").count() == 17
+    published.publish(points.withColumn("time_step", F.col("point_idx") % 3), a, b, partition_by="time_step")
+    for zone in (a, b):
+        assert published.read_published(spark, zone, STEPS).where("time_step = 1").count() == 17
     tables.write_csv(points, str(tmp_path / "c"))
     assert tables.read_csv(spark, str(tmp_path / "c")).columns == ["point_idx", "x", "y", "z"]
 
@@ -218,3 +222,45 @@ def test_inventory_job(spark, tmp_path):
     found = jobs.inventory(spark, [str(tmp_path)], expected)
     assert found.listing.count() == 1 and found.large_files.count() == 0
     assert found.headers.first().header.point_count == 5 and found.expected.first().exists is False
+
+
+def test_a_failed_publication_shows_the_old_result_in_both_zones(spark, tmp_path, monkeypatch):
+    zones = [str(tmp_path / "ready"), str(tmp_path / "served")]
+    rows = lambda n: spark.range(n).select((F.col("id") % 4 - 1).alias("time_step"), "id")
+    kind = "time_step bigint, id bigint"
+    seen = lambda: [published.read_published(spark, z, kind).count() for z in zones]
+    with pytest.raises(FileNotFoundError):
+        published.current(spark, zones[0])
+    first = published.publish(rows(10), *zones, partition_by="time_step")
+    reader = published.read_published(spark, zones[1], kind)
+    assert seen() == [10, 10]
+
+    # The second zone can't be written: a file stands where its folder would be.
+    plain = published.uuid.uuid4
+    (tmp_path / "served" / "versions" / "taken").write_text("")
+    monkeypatch.setattr(published.uuid, "uuid4", lambda: type("U", (), {"hex": "taken"})())
+    with pytest.raises(Exception):
+        published.publish(rows(20), *zones, partition_by="time_step")
+    monkeypatch.setattr(published.uuid, "uuid4", plain)
+    assert seen() == [10, 10] and published.current(spark, zones[0])[1]["version"] == first
+    assert not (tmp_path / "ready" / "versions" / "taken").exists()
+
+    second = published.publish(rows(30), *zones, partition_by="time_step")
+    assert seen() == [30, 30] and reader.count() == 10
+    third = published.publish(rows(40), *zones, partition_by="time_step")
+    for zone in zones:
+        assert sorted(x.name for x in (tmp_path / zone / "versions").iterdir()) == sorted([second, third])
+
+
+def test_a_step_is_read_from_its_folder(spark, tmp_path):
+    zone = str(tmp_path / "zone")
+    rows = spark.range(60).select((F.col("id") % 6 - 2).cast("int").alias("time_step"), "id")
+    published.publish(rows, zone, partition_by="time_step")
+    kind = "time_step int, id bigint"
+    for asked, step in ((3, 3), (-1, -1), (99, -2)):
+        got = published.read_step(spark, zone, kind, asked)
+        assert {r.time_step for r in got.collect()} == {step} and got.count() == 10
+        assert {f.rsplit("/", 2)[1] for f in got.inputFiles()} == {f"time_step={step}"}
+    assert published.read_step(spark, zone, kind, None).count() == 60
+    published.publish(rows.where("false"), zone, partition_by="time_step")
+    assert published.read_step(spark, zone, kind, 3).count() == 0
