@@ -16,6 +16,7 @@ counts once and the counts of gapless sections add up to the document's.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,9 @@ from adit.llm.bpe import in_worker
 RULES = ("majority", "start", "end")
 # Fixed value: pre-split pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space that the pattern above counts as such, and the length from which its matcher is spared a run of it.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 50_000
 
 
 class Encoder:
@@ -39,10 +43,27 @@ class Encoder:
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.long_run = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
+
+    def ids(self, text: str) -> list[int]:
+        """Token ids of a text of any length.
+
+        The matcher remembers every sign of a run of white space, to step back
+        from it, and runs out of memory for that. By the pattern a run is one
+        piece, without its last sign if anything follows; so long ones are
+        encoded as such a piece.
+        """
+        found, at = [], 0
+        for run in self.long_run.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            found += self.encoding.encode_ordinary(text[at : run.start()])
+            found += self.encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return found + self.encoding.encode_ordinary(text[at:])
 
     def spans(self, text: str) -> np.ndarray:
         """Character span [start, stop) of every token; never empty."""
-        ids = np.array(self.encoding.encode_ordinary(text), np.int64)
+        ids = np.array(self.ids(text), np.int64)
         stop = np.cumsum(self.sizes[ids])
         start = stop - self.sizes[ids]
         if not text.isascii():
@@ -93,7 +114,9 @@ def attribute(docs: DataFrame, vocabulary_path: str, rule: str = "majority", id_
     Sections come from ``spans_col`` (array of structs start, stop in
     code points, sorted, without overlap) or from ``sections(text)``. Null text
     counts as empty and has one empty section; a null or empty list of spans
-    gives no rows. Ids may repeat or be null, other columns are ignored.
+    gives no rows. Ids may repeat or be null, other columns are ignored. A text
+    of any length is one row and is encoded whole, long runs of white space
+    included; an empty table gives an empty result.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

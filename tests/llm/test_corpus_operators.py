@@ -310,3 +310,24 @@ def test_mix_of_nothing(spark):
 def test_packed_numbers():
     for values in ([], [0], [1, 2**32 - 1, 7], list(range(5000))):
         assert audit._unpack(audit._pack(np.array(values, np.int64)), len(values)).tolist() == values
+
+
+# Token attribution of very long runs
+
+
+def test_long_runs_of_white_space(monkeypatch):
+    from adit.llm import attribution
+    from adit.llm.queries import BYTE_BPE
+
+    rng = random.Random(9)
+    monkeypatch.setattr(attribution, "LONG_RUN", 3)
+    encoder = attribution.Encoder(BYTE_BPE)
+    signs = [" ", " ", " ", "\n", "\t", "\xa0", "　", "\x1c", "a", "é", "1", "."]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) * rng.choice([1, 1, 2, 5, 30]) for _ in range(rng.randrange(0, 12)))
+        assert encoder.ids(text) == encoder.encoding.encode_ordinary(text), repr(text)
+    monkeypatch.undo()
+    encoder = attribution.Encoder(BYTE_BPE)
+    text = "word" + " " * 2_000_000 + "\n" + "\n" * 1_200_000 + "end"
+    spans = encoder.spans(text)
+    assert spans[0].tolist() == [0, 4] and spans[-1][1] == len(text) and (spans[1:, 0] == spans[:-1, 1]).all()
