@@ -141,7 +141,7 @@ def document_term_matrix(docs: DataFrame, text_col: str = "text", shard_bytes: i
     dealt = words.withColumn("bucket", F.pmod(F.xxhash64("word"), buckets))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")).cast("long") - 1
     coded = dealt.select("shard", "place", "word", (rank * buckets + F.col("bucket")).alias("word_id"))
-    ids = coded.select("shard", "place", "word_id").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", "word_id"))).alias("ids"))
+    ids = coded.select("shard", "place", "word_id").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "word_id"))).alias("ids"))
     # A shard of blank texts has no words.
     none = F.array().cast("array<bigint>")
     shards = local.drop("words").join(ids.select("shard", F.col("ids.word_id").alias("ids")), "shard", "left")
