@@ -8,7 +8,7 @@ costs. A character language model and the arcs together pick the cheapest path
 letters has one path, itself, and is passed through.
 
 The score rests on words, and on how often word beginnings recur in a text, that
-labelled texts show to be toxic; it is learned from a bounded sample.
+labelled texts show to be toxic; it is learned from all of them.
 """
 
 from __future__ import annotations
@@ -17,13 +17,16 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import DenseMatrix, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +34,8 @@ from adit.llm import maxent
 from adit.llm.bpe import in_worker
 from adit.workspace import materialize
 
-#: Distinct labelled texts per class that word evidence and calibration are fitted on, chosen by hash.
+#: Texts per class that :func:`_sample` shows, chosen by hash; training reads all.
 PER_CLASS = 10_000
-#: Labelled texts per class for the character model.
-LANGUAGE_TEXTS = 2_000
 #: Words and beginnings kept, n-grams kept.
 MOST_WORDS, MOST_GRAMS = 50_000, 200_000
 ORDER = 5
@@ -303,10 +304,26 @@ class Model:
         found = self.older.get(chunk)
         if found is None:
             words = _WORD.findall(self.restore_chunk(chunk))
-            found = tuple((w, tuple(b for b in beginnings(w) if b in self.stems)) for w in words if self.knows(w))
+            found = tuple((w, self.parts(w)) for w in words if self.knows(w))
         self.chunks[chunk] = found
         return found
 
+    def parts(self, word: str) -> tuple[str, ...]:
+        """Beginnings of a word that some feature is about."""
+        return tuple(b for b in beginnings(word) if b in self.stems)
+
+    def met(self, words: Iterable[tuple[str, tuple[str, ...], int]]) -> list[str]:
+        """Features with a weight among words, their beginnings and the times they occur."""
+        stems: Counter = Counter()
+        found = []
+        for word, own, n in words:
+            if word in self.weights:
+                found.append(word)
+            for b in own:
+                stems[b] += n
+        found += (f"{b}-{k}" for b, n in stems.items() for k in range(1, min(n, TIMES) + 1))
+        return [f for f in found if f in self.weights]
+
     def signs(self, text: str) -> list[str]:
         """Features of the restored text that have a weight."""
         text = self._joined(normal(text))
@@ -342,16 +359,15 @@ def near_keys(texts: list[str]) -> np.ndarray:
     return np.minimum.reduceat(keys, starts).view(np.int64)
 
 
-def _sample(docs: DataFrame, label: str, text: str, labels: DataFrame | None, id_col: str) -> DataFrame:
-    """Labelled texts (text, y, rank, n), about ``PER_CLASS`` of each class, by hash.
+def _distinct(docs: DataFrame, label: str, text: str, labels: DataFrame | None, id_col: str) -> DataFrame:
+    """All labelled texts (y, key, text), copies once.
 
     Of texts that share the smallest hash of their four-word shingles, as copies
     and most near copies do, one is kept: words of a much copied text are no
-    evidence. ``n`` is the number of such groups in the class; shares are taken
-    of the groups, so that copies neither thin out the others nor weigh.
+    evidence.
 
-    Labels meet the hashes of texts, not the texts; those that are chosen, about
-    ``PER_CLASS`` of a class whatever the input, are picked from a second scan.
+    Labels meet the hashes of texts, not the texts; those that are kept come
+    from a second scan.
     """
     ids = F.col(id_col) if labels is not None else F.lit(None).cast("long")
     own = F.lit(None).cast("int") if labels is not None else F.col(label).cast("int")
@@ -370,106 +386,125 @@ def _sample(docs: DataFrame, label: str, text: str, labels: DataFrame | None, id
         hashed = hashed.drop("y").join(given, "id")
     groups = hashed.groupBy("y", "key").agg(F.min(F.struct("h", "id")).alias("_m")).select("y", "key", "_m.h", "_m.id")
     groups = materialize(groups, "toxicity-groups")
-    sizes = groups.groupBy("y").agg(F.count("*").alias("n"))
+    on, other = (["id", "h"], "y") if labels is not None else (["y", "h"], "id")
+    rows = known.drop(other).join(groups if labels is not None else groups.drop("id"), on)
+    # Repeated rows meet in the partition of the join.
+    return rows.groupBy(*on, *({"y", "key"} - {*on})).agg(F.min("text").alias("text")).select("y", "key", "text")
+
+
+def _sample(docs: DataFrame, label: str, text: str, labels: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """A look at the texts that :func:`train` reads: (text, y, rank, n), about ``PER_CLASS`` of each class, by hash.
+
+    ``n`` is the number of distinct texts in the class.
+    """
+    rows = materialize(_distinct(docs, label, text, labels, id_col), "toxicity-distinct")
     rank = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30) * F.col("n")
-    chosen = groups.join(F.broadcast(sizes), "y").select("y", "h", "id", "n", rank.alias("rank")).where(F.col("rank") < PER_CLASS)
-    chosen = F.broadcast(materialize(chosen, "toxicity-chosen"))
-    few = known.drop("y").join(chosen, ["id", "h"]) if labels is not None else known.drop("id").join(chosen.drop("id"), ["y", "h"])
-    return few.groupBy("y", "n", "h", "rank").agg(F.min("text").alias("text")).drop("h")
+    sizes = rows.groupBy("y").agg(F.count("*").alias("n"))
+    return rows.join(F.broadcast(sizes), "y").select("text", "y", rank.alias("rank"), "n").where(F.col("rank") < PER_CLASS)
 
 
-def _logistic(docs: list[tuple[int, list[int], int]], evidence: np.ndarray, steps: int = 1500) -> tuple[float, np.ndarray]:
-    """Bias and weights of binary features from (label, features, times seen) rows.
+def _fit(rows: DataFrame, evidence: np.ndarray) -> tuple[float, np.ndarray]:
+    """Bias and weights of binary features from (y, signs, n) rows: label, numbers of features, times seen.
 
     Weights stay at zero or above: features are kept for speaking of toxicity.
-    The more evidence a feature has by itself, the less its weight is held back.
+    The more evidence a feature has by itself, the less its weight is held back:
+    its value is as large as its evidence, and one ridge serves all.
     """
-    n, ridge = len(evidence), 0.04 * (3 / evidence) ** 2
-    y = np.array([d[0] for d in docs], float)
-    times = np.array([d[2] for d in docs], float)
-    rows = np.repeat(np.arange(len(docs)), [len(d[1]) for d in docs])
-    cols = np.array([f for d in docs for f in d[1]], np.int64)
-    size = times * (1 + np.bincount(rows, minlength=len(docs)))
-    # Upper bounds of the curvature by coordinate.
-    bound, bound0 = ridge + 0.25 * np.bincount(cols, size[rows], minlength=n), 0.25 * size.sum()
-    w, bias = np.zeros(n), -2.0
-    ahead, ahead0, t = w, bias, 1.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(ahead0 + np.bincount(rows, ahead[cols], minlength=len(docs)), -30, 30)))
-        off = times * (p - y)
-        new = np.maximum(0, ahead - (np.bincount(cols, off[rows], minlength=n) + ridge * ahead) / bound)
-        new0 = ahead0 - off.sum() / bound0
-        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        ahead, ahead0 = new + (t - 1) / t2 * (new - w), new0 + (t - 1) / t2 * (new0 - bias)
-        w, bias, t = new, new0, t2
-    return bias, w
+    scale, size = evidence / 3, len(evidence)
+    vector = F.udf(lambda signs: Vectors.sparse(size, signs, scale[signs]), VectorUDT())
+    times = rows.agg(F.sum("n")).first()[0]
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="n", regParam=0.04 / times, standardization=False, maxIter=500, tol=1e-9)
+    fitted.setLowerBoundsOnCoefficients(DenseMatrix(1, size, np.zeros(size)))
+    model = fitted.fit(rows.select(F.col("y").cast("double"), F.col("n").cast("double"), vector("signs").alias("x")))
+    return model.intercept, model.coefficients.toArray() * scale
+
+
+def _tally(texts: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
+    """(kind, name, n): texts that have a feature (``w``), of those ``among`` some or all, and how often a word occurs (``g``)."""
+    shared = texts.sparkSession.sparkContext.broadcast(among)
+
+    def rows(kind: str, counts: Counter) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([kind] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "name", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = shared.value
+        model = None if among is None else Model(dict.fromkeys(among, 1.0), CharModel({}))
+        parts = None if model is None else lru_cache(CACHE_CHUNKS)(model.parts)
+        counts, words = Counter(), Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                found = Counter(_WORD.findall(normal(t)))
+                counts.update(features(found) if model is None else model.met((w, parts(w), n) for w, n in found.items()))
+                words.update(found)
+                # Counts go out in parts, so that a task holds few of them.
+                if len(counts) > TALLY_NAMES:
+                    yield rows("w", counts)
+                    counts.clear()
+                if len(words) > TALLY_NAMES:
+                    yield rows("g", words)
+                    words.clear()
+        yield rows("w", counts)
+        yield rows("g", words)
+
+    return texts.select("text").mapInArrow(run, "kind string, name string, n long").groupBy("kind", "name").agg(F.sum("n").alias("n"))
+
+
+def _grams(words: DataFrame) -> DataFrame:
+    """(name, n): n-grams of words (name, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = CharModel.count(Counter(dict(zip(*(c.to_pylist() for c in batch.columns)))))
+            yield pa.record_batch([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["name", "n"])
+
+    every = words.groupBy("name").agg(F.sum("n").alias("n"))
+    return every.mapInArrow(run, "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, label: str = "toxic", text: str = "text", least: int = 5, labels: DataFrame | None = None, id_col: str = "doc_id") -> Model:
-    """Fit on labelled texts; rows with null text or a label other than 0 and 1 teach nothing.
+    """Fit on all labelled texts; rows with null text or a label other than 0 and 1 teach nothing.
 
     The label is a column of ``docs`` or, by id, of ``labels``; there a null id
     has no label, and a text with both labels counts in both classes. Repeated
-    rows and labels count once; texts of any length are read whole. Other
-    columns are ignored. Empty tables give the model of no toxic text.
+    rows and labels count once, and so do near copies; texts of any length are
+    read whole. Other columns are ignored. Empty tables give the model of no
+    toxic text.
 
     A word's evidence is the log ratio of the shares of toxic and clean texts
     that hold it, if at least ``least`` toxic ones do, and likewise a
     beginning's. A beginning that one of its continuations explains is left to that. With no toxic text every score
-    is low.
+    is low. Clean texts are searched for the features of toxic ones only.
     """
-    sample = materialize(_sample(docs, label, text, labels, id_col), "toxicity-sample")
-
-    def rows(kind: str, toxic: Counter, clean: Counter) -> Iterator[pa.RecordBatch]:
-        names = [*toxic, *(k for k in clean if k not in toxic)]
-        columns = [pa.array([kind] * len(names)), pa.array(names, pa.string()), pa.array([toxic[k] for k in names], pa.int64()), pa.array([clean[k] for k in names], pa.int64())]
-        yield pa.record_batch(columns, ["kind", "name", "toxic", "clean"])
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        words: Counter = Counter()
-        for batch in batches:
-            for t, y, rank in zip(*(c.to_pylist() for c in batch.columns)):
-                found = _WORD.findall(normal(t))
-                counts[y].update(features(Counter(found)))
-                if rank < LANGUAGE_TEXTS:
-                    words.update(found)
-                # Counts go out in parts, so that a task holds few of them.
-                if len(counts[0]) + len(counts[1]) > TALLY_NAMES:
-                    yield from rows("w", counts[1], counts[0])
-                    counts[0].clear()
-                    counts[1].clear()
-                if len(words) > TALLY_NAMES // 5:
-                    yield from rows("g", CharModel.count(words), Counter())
-                    words.clear()
-        yield from rows("w", counts[1], counts[0])
-        yield from rows("g", CharModel.count(words), Counter())
-
-    tallied = sample.select("text", "y", "rank").mapInArrow(tally, "kind string, name string, toxic long, clean long")
-    sums = materialize(tallied.groupBy("kind", "name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-counts")
-    sizes = {r["y"]: r for r in sample.groupBy("y").agg(F.count("*").alias("kept"), F.max("n").alias("n")).collect()}
-    toxic, clean = (sizes[y]["kept"] if y in sizes else 0 for y in (1, 0))
-    # A sampled clean text stands for so many times the texts that a toxic one stands for.
-    times = (sizes[0]["n"] / clean) / (sizes[1]["n"] / toxic) if toxic and clean else 1.0
+    texts = materialize(_distinct(docs, label, text, labels, id_col), "toxicity-texts")
+    sizes = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    toxic, clean = (sizes.get(y, 0) for y in (1, 0))
+    in_toxic = materialize(_tally(texts.where("y = 1")), "toxicity-toxic")
+    often = in_toxic.where((F.col("kind") == "w") & (F.col("n") >= least)).select("name", F.col("n").alias("toxic"))
+    in_clean = materialize(_tally(texts.where("y = 0"), frozenset(often.toArrow()["name"].to_pylist())), "toxicity-clean")
+    met = often.join(in_clean.where("kind = 'w'").select("name", F.col("n").alias("clean")), "name", "left").fillna(0, ["clean"])
     ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 1.5) / (clean + 1.0))
-    marks = sums.where((F.col("kind") == "w") & (F.col("toxic") >= least)).select("name", "toxic", "clean", ratio.alias("e")).where("e > 1.5").orderBy(F.desc("e"), "name").limit(MOST_WORDS).toArrow().to_pandas()
-    grams = sums.where((F.col("kind") == "g") & (F.col("toxic") > 1)).select("name", "toxic").orderBy(F.desc("toxic"), "name").limit(MOST_GRAMS).toArrow().to_pandas()
-    model = Model(_unexplained(marks), CharModel(dict(zip(grams["name"], grams["toxic"].astype(float)))))
+    marks = met.select("name", "toxic", "clean", ratio.alias("e")).where("e > 1.5").orderBy(F.desc("e"), "name").limit(MOST_WORDS).toArrow().to_pandas()
+    grams = _grams(in_toxic.unionByName(in_clean).where("kind = 'g'").select("name", "n"))
+    grams = grams.where("n > 1").orderBy(F.desc("n"), "name").limit(MOST_GRAMS).toArrow().to_pandas()
+    model = Model(_unexplained(marks), CharModel(dict(zip(grams["name"], grams["n"].astype(float)))))
     if not toxic or not clean:
         return model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = sorted(model.weights)
+    if not names:
+        return Model({}, model.chars, math.log(toxic / clean))
+    number = {f: i for i, f in enumerate(names)}
+    shared = docs.sparkSession.sparkContext.broadcast((model, number))
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value.ready()
+        model, number = shared.value
+        model.ready()
         for batch in batches:
-            yield pa.record_batch([batch.column(1), pa.array([model.signs(t) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["y", "signs"])
+            found = [[number[f] for f in model.signs(t)] for t in batch.column(0).to_pylist()]
+            yield pa.record_batch([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["y", "signs"])
 
-    seen = sample.select("text", "y").mapInArrow(signs, "y int, signs array<string>").groupBy("y", "signs").count().collect()
-    names = sorted(model.weights)
-    number = {f: i for i, f in enumerate(names)}
-    rows = sorted((r["y"], [number[f] for f in r["signs"]], r["count"]) for r in seen)
-    bias, w = _logistic(rows, np.array([model.weights[f] for f in names]))
-    sure = marks["toxic"] / (marks["toxic"] + times * marks["clean"] + 10)
+    seen = texts.select("text", "y").mapInArrow(signs, "y int, signs array<int>").groupBy("y", "signs").agg(F.count("*").alias("n"))
+    bias, w = _fit(materialize(seen, "toxicity-signs"), np.array([model.weights[f] for f in names]))
+    sure = marks["toxic"] / (marks["toxic"] + marks["clean"] + 10)
     floors = {f: float(p) for f, p in zip(marks["name"], sure) if p >= 0.75 and f in number}
     return Model({f: float(x) for f, x in zip(names, w) if x > 0.01 or f in floors}, model.chars, float(bias), floors)
 

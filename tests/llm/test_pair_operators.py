@@ -334,3 +334,34 @@ def test_training_without_labels(documents, spark):
 def test_evidence_drops_explained_beginnings():
     marks = pd.DataFrame({"name": ["lowe-1", "lowei-1", "lower", "lowerx"], "toxic": [100, 95, 3, 3], "clean": [0, 0, 0, 0], "e": [3.0, 4.0, 2.0, 2.0]})
     assert "lowe-1" not in toxicity._unexplained(marks) and "lowei-1" in toxicity._unexplained(marks)
+
+
+def test_all_labelled_texts_teach(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(toxicity, "PER_CLASS", 20)
+    monkeypatch.setattr(toxicity, "LANGUAGE_TEXTS", 5, raising=False)
+    rare = ["q" + c * 2 + "vbmq" for c in "bcdfghjk"]
+    rows = [(words(rng, 15, "aeinrstlodhc", 7) + " " + rare[i % 8], 1) for i in range(160)] + [(words(rng, 15, "aeinrstlodhc", 7), 0) for _ in range(160)]
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"))
+    assert all(model.score(f"the rest of it {w} and more") >= 0.7 for w in rare) and model.score("the rest of it and more") < 0.3
+    # The character model has counted every word of every text.
+    assert model.chars.grams["^q"] == 160
+
+
+def test_fitted_weights_are_the_best_ones(spark):
+    rng = np.random.default_rng(1)
+    evidence = np.array([2.0, 3.0, 4.0, 5.0])
+    rows = [(int(y), sorted(set(rng.choice(4, 2).tolist())) if y or k % 5 == 0 else [], int(n)) for k, (y, n) in enumerate(zip(rng.integers(0, 2, 60), rng.integers(1, 9, 60)))]
+    bias, w = toxicity._fit(spark.createDataFrame(rows, "y int, signs array<int>, n long"), evidence)
+
+    def loss(b, v):
+        z = np.array([b + v[s].sum() for _, s, _ in rows])
+        y, n = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+        return (n * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (0.04 * (3 / evidence) ** 2 * v * v).sum()
+
+    best = loss(bias, w)
+    assert (w >= 0).all()
+    for k in range(4):
+        for step in (-0.02, 0.02):
+            assert loss(bias, np.maximum(0, w + step * np.eye(4)[k])) >= best - 1e-6
+    assert min(loss(bias - 0.02, w), loss(bias + 0.02, w)) >= best
