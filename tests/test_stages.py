@@ -275,3 +275,20 @@ def test_pipeline_end_to_end(spark):
     )
     answer = p.route_answers(asks).first()
     assert answer.worker_id == "WORKER_01" and answer.reachable is not None
+
+
+def test_reasons_of_a_segment_are_written_before_the_steps(spark, line):
+    df, _ = fused_of(spark, line, [(9, "A", "SEG_002", 50.0)], [(0, "w1", "SEG_002", "moving")])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # A plan is printed from its end to its beginning.
+    assert plan.index("Generate explode(sequence(") < plan.index("LiDAR geometry risk")
+    assert {r.reason_breakdown["gas"] for r in df.where("time_step = 1").collect()} == {"Methane risk 0.0, confidence-adjusted 0.0"}
+
+
+def test_playback_sends_no_table_to_the_driver(spark, line):
+    _, w = fused_of(spark, line, [], [(0, "w1", "SEG_001", "moving"), (1, "w1", "SEG_002", "moving")])
+    event = "struct<event_type: string>"
+    fate = spark.createDataFrame([(1, "w1", "SEG_002", True, ("E",))], f"time_step int, worker_id string, worker_segment string, exit_reachable_after_blockage boolean, event {event}")
+    states = events.worker_playback(w, fate, F.lit(2))
+    assert len(states.collect()) == 3
+    assert "Broadcast" not in states._jdf.queryExecution().executedPlan().toString()
