@@ -68,16 +68,21 @@ def publish(df: DataFrame, *zones: str, partition_by: str | None = None) -> str:
     The first zone keeps the manifest, for good. The version before stays for
     those who read it; older ones are deleted. A failure leaves everything as
     it was.
+
+    ``df`` is computed once, for the first zone; the others get what was written
+    there. Rows of one partition are brought together first, so a folder has a
+    file per large share of its rows and not one per task.
     """
     store, version = Store(df.sparkSession), uuid.uuid4().hex
     manifest = f"{zones[0].rstrip('/')}/{MANIFEST}"
     before = store.read(manifest) if store.exists(manifest) else {}
     folders = [f"{zone.rstrip('/')}/{VERSIONS}/{version}" for zone in zones]
-    df = df.persist()
+    dealt = df if partition_by is None else df.hint("rebalance", partition_by)
     try:
         for folder in folders:
-            writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+            writer = dealt.write if partition_by is None else dealt.write.partitionBy(partition_by)
             writer.parquet(folder)
+            dealt = df.sparkSession.read.schema(df.schema).parquet(folders[0]).select(*df.columns)
         values = [name.split("=", 1)[1] for name in store.folders(folders[0])] if partition_by else None
         for zone in zones:
             pointer = f"{zone.rstrip('/')}/{POINTER}"
@@ -88,8 +93,6 @@ def publish(df: DataFrame, *zones: str, partition_by: str | None = None) -> str:
         for folder in folders:
             store.remove(folder)
         raise
-    finally:
-        df.unpersist()
     for zone in zones:
         for name in store.folders(f"{zone.rstrip('/')}/{VERSIONS}"):
             if name not in (version, before.get("version")):

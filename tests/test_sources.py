@@ -264,3 +264,33 @@ def test_a_step_is_read_from_its_folder(spark, tmp_path):
     assert published.read_step(spark, zone, kind, None).count() == 60
     published.publish(rows.where("false"), zone, partition_by="time_step")
     assert published.read_step(spark, zone, kind, 3).count() == 0
+
+
+def test_a_step_is_published_in_few_files(spark, tmp_path):
+    rows = spark.range(2000, numPartitions=20).select((F.col("id") % 3).cast("int").alias("time_step"), "id")
+    zones = [f"{tmp_path}/{z}" for z in "ab"]
+    version = published.publish(rows, *zones, partition_by="time_step")
+    for zone in zones:
+        assert all(len(list((tmp_path / zone / "versions" / version / f"time_step={k}").glob("*.parquet"))) <= 2 for k in range(3))
+        assert sorted(r.id for r in published.read_published(spark, zone, "time_step int, id bigint").collect()) == list(range(2000))
+
+
+def test_las_writer_holds_little_more_than_it_writes(tmp_path, monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0))
+    n, k = 300_000, 10_000
+    batches = (pa.record_batch([np.arange(i, i + k, dtype=float)] * 3, ["x", "y", "z"]) for i in range(0, n, k))
+    tracemalloc.start()
+    writer = las.LasWriter({"path": str(tmp_path)})
+    writer.commit([writer.write(batches)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * n
+    header = las.read_header(las.point_files(str(tmp_path))[0])
+    assert header["point_count"] == n and header["maxs"] == [n - 1.0] * 3 and header["mins"] == [0.0] * 3
