@@ -212,37 +212,39 @@ class LasWriter(DataSourceArrowWriter):
         held, size, names = [], 0, []
         for batch in batches:
             columns = [np.asarray(batch.column(batch.schema.get_field_index(a)), dtype=np.float64) for a in "xyz"]
-            points = np.stack(columns, axis=1)
+            # Points are held as they are written, half the size.
+            points = np.rint(np.stack(columns, axis=1) / self.scale).astype("<i4")
             while size + len(points) >= FILE_RECORDS:
                 cut = FILE_RECORDS - size
-                names.append(self._file(np.concatenate([*held, points[:cut]]), TaskContext.get(), len(names)))
+                names.append(self._file([*held, points[:cut]], TaskContext.get(), len(names)))
                 held, size, points = [], 0, points[cut:]
             if len(points):
                 held.append(points)
                 size += len(points)
         if size:
-            names.append(self._file(np.concatenate(held), TaskContext.get(), len(names)))
+            names.append(self._file(held, TaskContext.get(), len(names)))
         return WrittenFiles(names)
 
-    def _file(self, points: np.ndarray, task, number: int) -> str:
+    def _file(self, grids: list[np.ndarray], task, number: int) -> str:
+        """Write the pieces of one file one after the other."""
         filesystem, staging = open_fs(self.staging)
-        grid = np.rint(points / self.scale).astype("<i4")
-        body = np.zeros(len(grid), record_type(self.RECORD_LENGTH))
-        body["p"] = grid
-        back = grid * self.scale
+        grids = [g for g in grids if len(g)]
+        most, least = (f([f(g, axis=0) for g in grids], axis=0) * self.scale for f in (np.max, np.min))
         header = bytearray(HEADER_MIN_BYTES)
         header[:4] = MAGIC
         header[AT_VERSION : AT_VERSION + 2] = bytes((1, 2))
         struct.pack_into("<HI", header, AT_HEADER_SIZE, HEADER_MIN_BYTES, HEADER_MIN_BYTES)
-        struct.pack_into("<BHI", header, AT_POINT_FORMAT, 0, self.RECORD_LENGTH, len(grid))
+        struct.pack_into("<BHI", header, AT_POINT_FORMAT, 0, self.RECORD_LENGTH, sum(map(len, grids)))
         struct.pack_into("<3d", header, AT_SCALES, *[self.scale] * 3)
-        bounds = [f(back[:, a]) for a in range(3) for f in (np.max, np.min)]
-        struct.pack_into("<6d", header, AT_BOUNDS, *bounds)
+        struct.pack_into("<6d", header, AT_BOUNDS, *[bound[a] for a in range(3) for bound in (most, least)])
         name = f"part-{task.partitionId():05d}-{number:04d}-{task.taskAttemptId()}.las"
         filesystem.create_dir(staging, recursive=True)
         with filesystem.open_output_stream(f"{staging}/{name}") as out:
             out.write(bytes(header))
-            out.write(body.tobytes())
+            for grid in grids:
+                body = np.zeros(len(grid), record_type(self.RECORD_LENGTH))
+                body["p"] = grid
+                out.write(body.tobytes())
         return name
 
     def commit(self, messages):
