@@ -17,9 +17,8 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +31,8 @@ from pyspark.sql import functions as F
 
 from adit.llm import maxent
 from adit.llm.bpe import in_worker
+from adit.llm.collocations import Proposal
+from adit.llm.wordbytes import slices
 from adit.workspace import materialize
 
 #: Texts per class that :func:`_sample` shows, chosen by hash; training reads all.
@@ -45,8 +46,10 @@ TIMES = 3
 #: Stretches of one generation that a Python worker remembers (it keeps two), and n-gram costs.
 CACHE_CHUNKS = 100_000
 CACHE_COSTS = 100_000
-#: Names that a task counts before it sends them.
-TALLY_NAMES = 100_000
+#: Names that a task counts before it sends them, and characters of text that it counts at a time.
+TALLY_NAMES, TALLY_CHARS = 300_000, 2_000_000
+#: log2 of the bits by which a scan tells texts that training keeps: 8 MB. More texts than that let more others pass to the join.
+KEPT_BITS = 26
 #: Doubled letters of a word up to which all forms are looked up; words with more are decoded anyway.
 MOST_DOUBLES = 6
 #: Cost of leaving out the first character of an unknown context.
@@ -73,6 +76,7 @@ _SIGN = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
 _MAYBE_SPACED = re.compile(r"(?:^|\s)\S\s+\S\s+\S")
 _SPACED = regex.compile(r"(?<!\S)[\p{L}0-9@$!|](?:\s+[\p{L}0-9@$!|]){2,}(?![^\s.,;:!?])")
 _GAP = regex.compile(r"\s+")
+_ASCII_LETTERS = "".join(chr(i) if chr(i).isalpha() else " " for i in range(128))
 
 
 def normal(text: str) -> str:
@@ -82,6 +86,11 @@ def normal(text: str) -> str:
     return _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters of a text in normal form."""
+    return text.translate(_ASCII_LETTERS).split() if text.isascii() else _WORD.findall(text)
+
+
 class CharModel:
     """Character n-grams of words with back-off; ``^`` and ``$`` bound a word."""
 
@@ -224,15 +233,6 @@ def beginnings(word: str) -> list[str]:
     return [word[:n] for n in BEGINNINGS if len(word) >= n]
 
 
-def features(words: Counter) -> list[str]:
-    """Words of a text, and beginnings with the times they are met (``stem-1``, ``stem-2``, ...)."""
-    stems: Counter = Counter()
-    for word, n in words.items():
-        for b in beginnings(word):
-            stems[b] += n
-    return [*words, *(f"{b}-{k}" for b, n in stems.items() for k in range(1, min(n, TIMES) + 1))]
-
-
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -297,14 +297,16 @@ class Model:
         return self.chars.decode(_GAP.sub(lambda m: " " if len(m[0]) <= usual + 1 else "  ", stretch))
 
     def _chunk(self, chunk: str) -> tuple:
+        """(words with a weight, known beginnings of all words) of a restored stretch; empty if there are none."""
         if len(self.chunks) >= CACHE_CHUNKS:
             self.older.clear()
             self.older.update(self.chunks)
             self.chunks.clear()
         found = self.older.get(chunk)
         if found is None:
-            words = _WORD.findall(self.restore_chunk(chunk))
-            found = tuple((w, self.parts(w)) for w in words if self.knows(w))
+            words = words_of(self.restore_chunk(chunk))
+            found = tuple(w for w in words if w in self.weights), tuple(b for w in words for b in self.parts(w))
+            found = found if any(found) else ()
         self.chunks[chunk] = found
         return found
 
@@ -312,32 +314,20 @@ class Model:
         """Beginnings of a word that some feature is about."""
         return tuple(b for b in beginnings(word) if b in self.stems)
 
-    def met(self, words: Iterable[tuple[str, tuple[str, ...], int]]) -> list[str]:
-        """Features with a weight among words, their beginnings and the times they occur."""
-        stems: Counter = Counter()
-        found = []
-        for word, own, n in words:
-            if word in self.weights:
-                found.append(word)
-            for b in own:
-                stems[b] += n
-        found += (f"{b}-{k}" for b, n in stems.items() for k in range(1, min(n, TIMES) + 1))
-        return [f for f in found if f in self.weights]
-
     def signs(self, text: str) -> list[str]:
         """Features of the restored text that have a weight."""
         text = self._joined(normal(text))
         get = self.chunks.get
         words: set[str] = set()
-        stems: Counter = Counter()
+        stems: list[str] = []
         for c in text.split():
             found = get(c)
             if found is None:
                 found = self._chunk(c)
-            for word, own in found:
-                words.add(word)
-                stems.update(own)
-        met = [*words, *(f"{b}-{k}" for b, n in stems.items() for k in range(1, min(n, TIMES) + 1))]
+            if found:
+                words.update(found[0])
+                stems += found[1]
+        met = [*words, *(f"{b}-{k}" for b, n in Counter(stems).items() for k in range(1, min(n, TIMES) + 1))]
         return sorted(f for f in met if f in self.weights)
 
     def score(self, text: str) -> float:
@@ -359,6 +349,18 @@ def near_keys(texts: list[str]) -> np.ndarray:
     return np.minimum.reduceat(keys, starts).view(np.int64)
 
 
+def _passed(rows: DataFrame, marks: Proposal) -> DataFrame:
+    """Rows whose ``mark`` may be among ``marks``, without it."""
+    shared, at = rows.sparkSession.sparkContext.broadcast(marks), rows.columns.index("mark")
+    others = [c for c in range(len(rows.columns)) if c != at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.has(batch.column(at).to_numpy().view(np.uint64)))).select(others)
+
+    return rows.mapInArrow(run, rows.drop("mark").schema)
+
+
 def _distinct(docs: DataFrame, label: str, text: str, labels: DataFrame | None, id_col: str) -> DataFrame:
     """All labelled texts (y, key, text), copies once.
 
@@ -367,7 +369,8 @@ def _distinct(docs: DataFrame, label: str, text: str, labels: DataFrame | None,
     evidence.
 
     Labels meet the hashes of texts, not the texts; those that are kept come
-    from a second scan.
+    from a second scan. A bitmap of fixed size holds back the others there, so
+    that hardly any other text is shuffled; the join after it is exact.
     """
     ids = F.col(id_col) if labels is not None else F.lit(None).cast("long")
     own = F.lit(None).cast("int") if labels is not None else F.col(label).cast("int")
@@ -386,10 +389,14 @@ def _distinct(docs: DataFrame, label: str, text: str, labels: DataFrame | None,
         hashed = hashed.drop("y").join(given, "id")
     groups = hashed.groupBy("y", "key").agg(F.min(F.struct("h", "id")).alias("_m")).select("y", "key", "_m.h", "_m.id")
     groups = materialize(groups, "toxicity-groups")
-    on, other = (["id", "h"], "y") if labels is not None else (["y", "h"], "id")
-    rows = known.drop(other).join(groups if labels is not None else groups.drop("id"), on)
-    # Repeated rows meet in the partition of the join.
-    return rows.groupBy(*on, *({"y", "key"} - {*on})).agg(F.min("text").alias("text")).select("y", "key", "text")
+    on = ["id", "h"] if labels is not None else ["y", "h"]
+    rest = [c for c in ("y", "key") if c not in on]
+    mark = F.xxhash64(*on).alias("mark")
+    few = _passed(known.select(*on, "text", mark), Proposal(log2=KEPT_BITS).with_phrases(groups.select(F.xxhash64(*on).alias("h"))))
+    wanted = groups.groupBy(*on).agg(F.collect_list(F.struct(*rest)).alias("kept"))
+    # Repeated rows meet in the partition of the join, in its order.
+    rows = few.join(wanted, on).groupBy(*on).agg(F.min("text").alias("text"), F.first("kept").alias("kept"))
+    return rows.select("*", F.inline("kept")).select("y", "key", "text")
 
 
 def _sample(docs: DataFrame, label: str, text: str, labels: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -419,32 +426,58 @@ def _fit(rows: DataFrame, evidence: np.ndarray) -> tuple[float, np.ndarray]:
     return model.intercept, model.coefficients.toArray() * scale
 
 
+def _counted(texts: list[str], among: frozenset[str] | None, stems: frozenset[str] | None) -> tuple[dict[str, int], dict[str, int]]:
+    """How many texts have a feature, of those ``among`` some or all, and how often each word occurs.
+
+    Features are the words of a text, and beginnings with the times they are met
+    (``stem-1``, ``stem-2``, ...). ``stems`` are the beginnings that ``among`` is about.
+    """
+    found = [words_of(normal(t)) for t in texts]
+    coded = pa.array([w for own in found for w in own], pa.string()).dictionary_encode()
+    code, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    wide = max(1, len(vocabulary))
+    pairs, n = np.unique(np.repeat(np.arange(len(found)), [len(own) for own in found]) * wide + code, return_counts=True)
+    text, word = pairs // wide, pairs % wide
+    holding = np.bincount(word, minlength=len(vocabulary)).tolist()
+    counts = {w: k for w, k in zip(vocabulary, holding) if among is None or w in among}
+    number: dict[str, int] = {}
+    own = [[number.setdefault(b, len(number)) for b in beginnings(w) if stems is None or b in stems] for w in vocabulary]
+    sizes = np.array([len(b) for b in own], np.int64)
+    flat, first = np.array([b for bs in own for b in bs], np.int64), np.cumsum(sizes) - sizes
+    # Every word of a text once for each of its beginnings.
+    each = sizes[word]
+    at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[word], each)
+    wide = max(1, len(number))
+    met, place = np.unique(np.repeat(text, each) * wide + flat[at], return_inverse=True)
+    times = np.bincount(place, np.repeat(n, each), minlength=len(met))
+    for k in range(1, TIMES + 1):
+        holding = np.bincount(met[times >= k] % wide, minlength=len(number)).tolist()
+        named = ((f"{b}-{k}", c) for b, c in zip(number, holding) if c)
+        counts.update(named if among is None else ((f, c) for f, c in named if f in among))
+    return counts, dict(zip(vocabulary, np.bincount(code, minlength=len(vocabulary)).tolist()))
+
+
 def _tally(texts: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
     """(kind, name, n): texts that have a feature (``w``), of those ``among`` some or all, and how often a word occurs (``g``)."""
-    shared = texts.sparkSession.sparkContext.broadcast(among)
+    stems = None if among is None else frozenset(f.rpartition("-")[0] for f in among if "-" in f)
+    shared = texts.sparkSession.sparkContext.broadcast((among, stems))
 
-    def rows(kind: str, counts: Counter) -> pa.RecordBatch:
+    def rows(kind: str, counts: dict[str, int]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([kind] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "name", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        among = shared.value
-        model = None if among is None else Model(dict.fromkeys(among, 1.0), CharModel({}))
-        parts = None if model is None else lru_cache(CACHE_CHUNKS)(model.parts)
-        counts, words = Counter(), Counter()
+        among, stems = shared.value
+        held: dict[str, Counter] = {"w": Counter(), "g": Counter()}
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found = Counter(_WORD.findall(normal(t)))
-                counts.update(features(found) if model is None else model.met((w, parts(w), n) for w, n in found.items()))
-                words.update(found)
-                # Counts go out in parts, so that a task holds few of them.
-                if len(counts) > TALLY_NAMES:
-                    yield rows("w", counts)
-                    counts.clear()
-                if len(words) > TALLY_NAMES:
-                    yield rows("g", words)
-                    words.clear()
-        yield rows("w", counts)
-        yield rows("g", words)
+            for at, to in slices(batch.column(0), TALLY_CHARS):
+                for kind, some in zip(held, _counted(batch.column(0).slice(at, to - at).to_pylist(), among, stems)):
+                    held[kind].update(some)
+                    # Counts go out in parts, so that a task holds few of them.
+                    if len(held[kind]) > TALLY_NAMES:
+                        yield rows(kind, held[kind])
+                        held[kind].clear()
+        for kind, counts in held.items():
+            yield rows(kind, counts)
 
     return texts.select("text").mapInArrow(run, "kind string, name string, n long").groupBy("kind", "name").agg(F.sum("n").alias("n"))
 

@@ -348,6 +348,44 @@ def test_all_labelled_texts_teach(spark, monkeypatch):
     assert model.chars.grams["^q"] == 160
 
 
+def test_texts_are_counted_as_by_a_plain_loop():
+    rng = random.Random(9)
+    texts = [words(rng, 40, "aeinrst", 9) + rng.choice([" Größe GROSSE Größen", " x²y ａｂｃｄ", "a1b_c", ""]) for _ in range(60)] + ODD
+    features, occurring = Counter(), Counter()
+    for t in texts:
+        found = toxicity._WORD.findall(toxicity.normal(t))
+        stems = Counter(b for w in found for b in toxicity.beginnings(w))
+        features.update({*found, *(f"{b}-{k}" for b, n in stems.items() for k in range(1, min(n, toxicity.TIMES) + 1))})
+        occurring.update(found)
+    assert toxicity._counted(texts, None, None) == (features, occurring)
+    among = frozenset(rng.sample(sorted(features), len(features) // 3))
+    stems = frozenset(f.rpartition("-")[0] for f in among if "-" in f)
+    assert toxicity._counted(texts, among, stems) == ({f: n for f, n in features.items() if f in among}, occurring)
+    assert toxicity._counted([], None, None) == toxicity._counted(["", "1 2"], None, None) == ({}, {})
+
+
+@pytest.mark.parametrize("bits", [0, 3, 26])
+def test_few_texts_but_those_kept_are_shuffled(spark, monkeypatch, bits):
+    """Whatever the bitmap lets pass, a text of each group and class is kept; a large one lets little else pass."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(toxicity, "KEPT_BITS", bits)
+    rng = random.Random(6)
+    own = [words(rng, 30, "aeinrstlodhc", 7) for _ in range(40)]
+    rows = [(i, own[i % 40]) for i in range(400)] + [(1, own[1]), (None, own[2]), (900, None)]
+    labels = [(i, int(i % 40 < 10)) for i in range(200)] + [(0, 0), (0, 1), (0, 1), (7, None), (8, 5), (None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = toxicity._distinct(docs, "toxic", "text", spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id")
+    want = sorted([(int(k < 10), own[k]) for k in range(40)] + [(0, own[0])])
+    assert sorted((r.y, r.text) for r in kept.collect()) == want
+    given = spark.createDataFrame([(t, i % 2) for i, t in rows if i is not None], "text string, toxic int")
+    alone = toxicity._distinct(given, "toxic", "text", None, "doc_id")
+    assert sorted((r.y, r.text) for r in alone.collect()) == sorted({(i % 2, t) for i, t in rows if i is not None and t})
+    if bits == 26:
+        marks = toxicity.Proposal(log2=bits).with_phrases(docs.where("doc_id < 5").select(F.xxhash64("doc_id").alias("h")))
+        assert toxicity._passed(docs.select(F.xxhash64("doc_id").alias("mark"), "text"), marks).count() == 6
+
+
 def test_fitted_weights_are_the_best_ones(spark):
     rng = np.random.default_rng(1)
     evidence = np.array([2.0, 3.0, 4.0, 5.0])
