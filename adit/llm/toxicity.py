@@ -104,13 +104,24 @@ class CharModel:
         self.steps: dict[tuple[str, str], tuple[float, str]] = {}
 
     @staticmethod
-    def count(words: Counter) -> Counter:
+    def count(words: dict[str, int]) -> Counter:
+        """How often n-grams of at most ``ORDER`` characters occur in words, given how often these do."""
+        padded, times = [f"^{w}$" for w in words], np.array(list(words.values()), np.int64)
+        sizes = np.array([len(w) for w in padded], np.int64)
+        alphabet, code = np.unique(np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        times = np.repeat(times, sizes)
         grams: Counter = Counter()
-        for word, n in words.items():
-            padded = f"^{word}$"
-            for i in range(1, len(padded)):
-                for k in range(min(ORDER, i + 1)):
-                    grams[padded[i - k : i + 1]] += n
+        # An n-gram by the number of its first characters and its last character.
+        number, texts = np.zeros(len(code), np.int64), [""]
+        for k in range(ORDER):
+            keys = np.where(place >= k, np.r_[0, number[:-1]] if k else number, 0) * len(alphabet) + code
+            keys, number = np.unique(keys, return_inverse=True)
+            texts = [texts[first] + chr(last) for first, last in zip((keys // len(alphabet)).tolist(), alphabet[keys % len(alphabet)].tolist())]
+            met = (place >= k) & (place > 0)
+            n = np.bincount(number[met], times[met], minlength=len(texts)).astype(np.int64)
+            some = np.flatnonzero(n)
+            grams.update({texts[i]: c for i, c in zip(some.tolist(), n[some].tolist())})
         return grams
 
     def cost(self, context: str, char: str) -> float:
@@ -245,6 +256,8 @@ class Model:
 
     def __post_init__(self):
         self.stems = {name.rpartition("-")[0] for name in self.weights if "-" in name}
+        # Most words are told apart from all stems by how they begin.
+        self.roots = {stem[: BEGINNINGS[0]] for stem in self.stems}
 
     def __getstate__(self):
         return self.__dict__ | {"chunks": {}, "older": {}}
@@ -255,7 +268,7 @@ class Model:
         return self
 
     def knows(self, word: str) -> bool:
-        return word in self.weights or any(b in self.stems for b in beginnings(word))
+        return word in self.weights or bool(self.parts(word))
 
     def restore_chunk(self, chunk: str) -> str:
         """Restored form of a stretch between white space (normal form)."""
@@ -304,24 +317,27 @@ class Model:
             self.chunks.clear()
         found = self.older.get(chunk)
         if found is None:
-            words = words_of(self.restore_chunk(chunk))
-            found = tuple(w for w in words if w in self.weights), tuple(b for w in words for b in self.parts(w))
-            found = found if any(found) else ()
+            core = chunk.lstrip(_EDGES_LEFT).rstrip(_EDGES_RIGHT)
+            # A plain word is what restoring it gives.
+            plain = core.isascii() and core.isalpha() and not _RUN.search(core)
+            words = [core] if plain else words_of(self.restore_chunk(chunk))
+            words = [w for w in words if w in self.weights or w[: BEGINNINGS[0]] in self.roots]
+            found = ()
+            if words:
+                found = tuple(w for w in words if w in self.weights), tuple(b for w in words for b in self.parts(w))
         self.chunks[chunk] = found
         return found
 
     def parts(self, word: str) -> tuple[str, ...]:
         """Beginnings of a word that some feature is about."""
-        return tuple(b for b in beginnings(word) if b in self.stems)
+        return tuple(b for b in beginnings(word) if b in self.stems) if word[: BEGINNINGS[0]] in self.roots else ()
 
     def signs(self, text: str) -> list[str]:
         """Features of the restored text that have a weight."""
         text = self._joined(normal(text))
-        get = self.chunks.get
-        words: set[str] = set()
+        chunks, words = text.split(), set()
         stems: list[str] = []
-        for c in text.split():
-            found = get(c)
+        for c, found in zip(chunks, map(self.chunks.get, chunks)):
             if found is None:
                 found = self._chunk(c)
             if found:
@@ -487,7 +503,7 @@ def _grams(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = CharModel.count(Counter(dict(zip(*(c.to_pylist() for c in batch.columns)))))
+            grams = CharModel.count(dict(zip(*(c.to_pylist() for c in batch.columns))))
             yield pa.record_batch([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["name", "n"])
 
     every = words.groupBy("name").agg(F.sum("n").alias("n"))
