@@ -207,6 +207,21 @@ def test_any_proposal_gives_the_same_counts(spark, share, tmp_path):
     assert passes == 1 if share == 1.0 else passes > 1
 
 
+def test_the_border_goes_by_hash_and_later_passes_read_its_pieces_only(spark, tmp_path, monkeypatch):
+    rows = [("Of the of the, x y. " + ("rare one here." if i < 9 else f"only w{i}"), "en") for i in range(60)] + [("rare one", "fr")] * 3
+    docs, nothing = spark.createDataFrame(rows, "text string, lang string"), collocations.Proposal(log2=26)
+    listed = [("en", p) for p in ["of", "the", "x", "y", "only", "of the", "the of", "of the of", "the of the", "of the of the", "x y"]]
+    proposal = nothing.with_phrases(collocations.hashed(spark.createDataFrame(listed, "lang string, phrase string"), spark.sparkContext.broadcast((nothing, None))))
+    sent = collocations.count_phrases(docs, spark.sparkContext.broadcast((proposal, None, False))).collect()
+    assert {r.phrase for r in sent if r.phrase} == {p for _, p in listed} and any(r.phrase is None and r.h is not None for r in sent)
+    read, count = [], collocations.count_phrases
+    monkeypatch.setattr(collocations, "count_phrases", lambda d, shared: (read.append(d), count(d, shared))[1])
+    found, passes = collocations.frequent_phrases(docs, 6, proposal, str(tmp_path))
+    want = {k: n for k, n in plain_counts([(0, t, x) for t, x in rows]).items() if n >= 6}
+    assert {(r.lang, r.phrase): r.n for r in found.where("words > 0").collect()} == want
+    assert passes == len(read) > 1 and {r.text for r in read[-1].collect()} == {"rare one here"}
+
+
 def test_exact_scores(spark):
     """Products past 64 bits; floors that tie go to the earlier cut."""
     found = spark.createDataFrame(
