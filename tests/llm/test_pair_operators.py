@@ -148,6 +148,70 @@ def test_embeddings_without_a_sound_vector(spark):
     assert itq.near_duplicates(spark.createDataFrame([(1, None, 1), (2, [1.0], None)], kind).repartition(1)).count() == 2
 
 
+def drawn(seed, dim=32):
+    """Loose and dense clusters, one of them large, over two labels."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for size, spread in [(1, 0)] * 200 + [(6, 0.08)] * 30 + [(150, 0.06), (40, 0.12)]:
+        centre = rng.normal(size=dim)
+        rows += [((centre + rng.normal(size=dim) * spread).astype(np.float32).tolist(), size % 2) for _ in range(size)]
+    return [(i, v, label) for i, (v, label) in enumerate(rows)]
+
+
+def test_embedding_links_do_not_depend_on_how_groups_are_split(spark, monkeypatch):
+    table = spark.createDataFrame(drawn(5), "vec_id long, embedding array<float>, label int")
+    at_once = sorted(itq.near_duplicates(table).collect())
+    assert sum(r["n_links"] > 100 for r in at_once) > 50
+    for name, value in (("PER_GROUP", 24), ("PER_BLOCK", 16), ("SMALL", 4), ("CANDIDATES_AT_ONCE", 50)):
+        monkeypatch.setattr(itq, name, value)
+    assert sorted(itq.near_duplicates(table).collect()) == at_once
+
+
+def test_embeddings_send_codes_and_fetch_linked_vectors(spark, monkeypatch):
+    rows = drawn(6)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    kind, sent = type(table), []
+    for name in ("mapInArrow", "groupBy"):
+
+        def noted(self, *args, f=getattr(kind, name), name=name, **more):
+            out = f(self, *args, **more)
+            sent.append((name, args, out if name == "mapInArrow" else self))
+            return out
+
+        monkeypatch.setattr(kind, name, noted)
+    itq.near_duplicates(table)
+    codes = [df for name, _, df in sent if name == "mapInArrow"][-1]
+    assert {t for _, t in codes.dtypes} == {"int", "bigint"} and codes.count() <= itq.TABLES * len(rows)
+    fetched = next(df for name, args, df in sent if name == "groupBy" and args == ("block",))
+    # The 200 vectors without a neighbour stay where they are.
+    assert fetched.select("cid").distinct().count() <= len(rows) - 200
+
+
+@pytest.mark.parametrize("length, radius, whole", [(12, 1, True), (13, 1, False), (14, 2, True), (14, 2, False)])
+def test_substrings_meet_once(length, radius, whole):
+    tests = itq.probes(length, radius, whole)
+    rng = random.Random(length)
+    for _ in range(200):
+        a = rng.getrandbits(length)
+        b = a ^ sum(1 << p for p in rng.sample(range(length), rng.randrange(5)))
+        met = sum((a & mask) == (b & mask) and (a ^ b) in flips.tolist() for mask, flips in tests)
+        assert met == ((a ^ b).bit_count() <= radius)
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(8)
+    x = itq.unit(rng.normal(size=(2000, 24)) * np.linspace(3, 0.2, 24))
+    q = itq.Quantiser(x, 60)
+    for cosine in (0.98, 0.7, 0.2):
+        aside = rng.normal(size=x.shape)
+        aside = itq.unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+        y = cosine * x + math.sqrt(1 - cosine**2) * aside
+        apart = np.square(q.sketch(x).astype(int) - q.sketch(y)).sum(axis=1)
+        assert (apart <= itq.sketch_limit(cosine)).all()
+    strangers = np.square(q.sketch(x).astype(int) - q.sketch(x[::-1].copy())).sum(axis=1)
+    assert (strangers > itq.sketch_limit(0.98)).mean() > 0.9
+
+
 def test_rotation_balances_and_keeps_neighbours():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 24)) * np.linspace(3, 0.2, 24)
