@@ -212,6 +212,25 @@ def test_emergency_routes_are_cheapest_under_every_blockage(spark, seed):
             assert {p, q} == set(edges[k][:2])
 
 
+def test_requests_at_one_place_share_a_route(spark, monkeypatch):
+    written = {}
+
+    def counted(df, name, inside=None, f=overlay.materialize):
+        written[name] = f(df, name, inside)
+        return written[name]
+
+    monkeypatch.setattr(overlay, "materialize", counted)
+    blocks = [None, "SEG_001", "SEG_002", "SEG_003"]
+    rows = [(n, 1, "SEG_007", blocks[n % 4]) for n in range(200)]
+    requests = spark.createDataFrame(rows, "request_id int, time_step int, start_segment string, blocked_segment string")
+    got = {r.request_id: r for r in routing.emergency_routes(build(spark, LADDER), requests, "3").collect()}
+    # Two ends of one segment; each blockage may add a way around it.
+    assert len(got) == 200 and written["routes"].count() <= 2 * len(blocks)
+    for n, r in got.items():
+        first = got[n % 4]
+        assert (r.reason, r.route_nodes, r.route_segments, r.total_cost) == (first.reason, first.route_nodes, first.route_segments, first.total_cost)
+
+
 def test_route_requests_fall_back(spark):
     s = segments.segment_view(build(spark, LADDER))
     workers = spark.createDataFrame(
