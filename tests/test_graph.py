@@ -231,6 +231,19 @@ def test_requests_at_one_place_share_a_route(spark, monkeypatch):
         assert (r.reason, r.route_nodes, r.route_segments, r.total_cost) == (first.reason, first.route_nodes, first.route_segments, first.total_cost)
 
 
+def test_worker_status_reads_no_routes(spark):
+    s = segments.segment_view(build(spark, LADDER))
+    workers = spark.createDataFrame([("w1", 1, "S007", "ok"), ("w2", 1, "S003", "ok")], "worker_id string, time_step int, current_segment string, status string")
+    asks = spark.createDataFrame([("a", "w1", 1, None, "S001"), ("b", "w2", 1, None, None)], "request_id string, worker_id string, time_step int, segment_id string, blocked_segment string")
+    resolved = routing.resolve_requests(asks, workers, spark.createDataFrame([("S005",)], "blocked_segment string"))
+    answers = routing.answer_requests(s, resolved, "3")
+    status = routing.worker_status(workers, answers)
+    trapped = {r.worker_id: r.trapped for r in answers.collect()}
+    assert {r.worker_id: r.status for r in status.collect()} == {w: "trapped" if t else "safe" for w, t in trapped.items()}
+    read = [line for line in status._jdf.queryExecution().sparkPlan().toString().splitlines() if "FileScan" in line]
+    assert read and not any("route_nodes" in line or "route_segments" in line for line in read)
+
+
 def test_route_requests_fall_back(spark):
     s = segments.segment_view(build(spark, LADDER))
     workers = spark.createDataFrame(
